@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 KEY_SUFFIXES = ["_id", "_code", "_key", "_pk", "_fk"]
 KEY_NAMES = ["id", "code", "key"]
 
+DATE_MARKS = ["-", "/", "T"]
 BLANK_PATTERN = r"^\s*$"
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 ISO_DATE_PATTERN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
@@ -28,23 +29,16 @@ def key_like(name: Column) -> Column:
     return F.lower(name).rlike(KEY_PATTERN)
 
 
-def is_blank(c: Column) -> Column:
-    return c.rlike(BLANK_PATTERN)
-
-
-def is_number_like(c: Column) -> Column:
-    return c.rlike(NUMBER_PATTERN)
-
-
-def is_date_like(c: Column) -> Column:
-    return c.contains("-") | c.contains("/") | c.contains("T")
-
-
 def text_key(c: Column) -> Column:
     """A short stand-in for a text: itself when short, its md5 when long."""
     return F.when(F.length(c) > KEY_TEXT_LENGTH, F.md5(c)).otherwise(c)
 
 
+def text_key_sql(c: str) -> str:
+    """``text_key`` as SQL text."""
+    return f"if(length({c}) > {KEY_TEXT_LENGTH}, md5({c}), {c})"
+
+
 def percent_text(part: Column, whole: Column) -> Column:
     """``part / whole`` as text with one decimal, e.g. ``12.5%``; 0.0% for an empty whole."""
     tenths = F.coalesce(

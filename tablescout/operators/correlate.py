@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tablescout.functions.sqltext import ident, inline_rows
 from tablescout.functions.types import NUMERIC, col, names_of, nan_to_null, union_all
 from tablescout.operators.ordering import cumulative
 
@@ -19,12 +20,9 @@ def _pair_matrix(
     There are as many groups as column pairs, combined before the shuffle. One short grouped
     aggregate runs several times faster than one aggregate list as wide as the pair list.
     """
-    rows = [
-        F.struct(F.lit(i).alias("i"), col(a).alias("a"), col(b).alias("b"))
-        for i, (a, b) in enumerate(pairs)
-    ]
+    rows = [{"i": str(i), "a": ident(a), "b": ident(b)} for i, (a, b) in enumerate(pairs)]
     moments = (
-        df.select(F.inline(F.array(*rows)))
+        df.select(inline_rows(rows))
         .where("a IS NOT NULL AND b IS NOT NULL")
         .groupBy("i")
         .agg(

@@ -8,17 +8,17 @@ reduced to one row per map task before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablescout.functions.text import text_key
+from tablescout.functions.sqltext import ident, inline_rows, label_of
+from tablescout.functions.text import text_key_sql
 from tablescout.functions.types import (
     BOOLEAN,
     DATETIME,
     NUMERIC,
     TEXT,
-    col,
     family,
     is_integral,
     names_of,
@@ -30,36 +30,28 @@ KEYS = ["int_key", "float_key", "text_key"]
 COUNTABLE = (NUMERIC, DATETIME, TEXT, BOOLEAN)
 
 
-def _micros(c: Column) -> Column:
-    return F.unix_micros(c.cast("timestamp"))
-
-
-def key_slots(field: T.StructField) -> list[Column]:
+def key_slots(field: T.StructField) -> dict[str, str]:
     """The three typed key slots of one column; exactly one is set for a present value."""
-    c, kind = col(field.name), family(field.dataType)
-    no_int, no_float, no_text = (F.lit(None).cast(t) for t in ("bigint", "double", "string"))
-    if isinstance(field.dataType, T.DecimalType):
-        slots = (no_int, no_float, c.cast("string"))
+    c, kind = ident(field.name), family(field.dataType)
+    slots = {"int_key": "NULL", "float_key": "NULL", "text_key": "NULL"}
+    if isinstance(field.dataType, T.DecimalType) or kind == BOOLEAN:
+        slots["text_key"] = f"CAST({c} AS STRING)"
     elif is_integral(field.dataType):
-        slots = (c.cast("bigint"), no_float, no_text)
+        slots["int_key"] = c
     elif kind == NUMERIC:
-        slots = (no_int, c.cast("double"), no_text)
+        slots["float_key"] = c
     elif kind == DATETIME:
-        slots = (_micros(c), no_float, no_text)
-    elif kind == BOOLEAN:
-        slots = (no_int, no_float, c.cast("string"))
+        slots["int_key"] = f"unix_micros(CAST({c} AS TIMESTAMP))"
     else:
-        slots = (no_int, no_float, text_key(c))
-    return [slot.alias(name) for slot, name in zip(slots, KEYS)]
+        slots["text_key"] = text_key_sql(c)
+    return {k: f"CAST({slots[k]} AS {t})" for k, t in zip(KEYS, ("BIGINT", "DOUBLE", "STRING"))}
 
 
 def column_values(df: DataFrame, columns: list[str]) -> DataFrame:
     """Unpivot to ``(ordinal, int_key, float_key, text_key)``, missing values left out."""
     fields = {f.name: (i, f) for i, f in enumerate(df.schema.fields)}
-    rows = [
-        F.struct(F.lit(fields[c][0]).alias("ordinal"), *key_slots(fields[c][1])) for c in columns
-    ]
-    values = nan_to_null(df).select(F.inline(F.array(*rows)))
+    rows = [{"ordinal": str(fields[c][0]), **key_slots(fields[c][1])} for c in columns]
+    values = nan_to_null(df).select(inline_rows(rows))
     return values.where("int_key IS NOT NULL OR float_key IS NOT NULL OR text_key IS NOT NULL")
 
 
@@ -69,17 +61,11 @@ def frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     counted = (
         column_values(df, names).groupBy("ordinal", *KEYS).agg(F.count(F.lit(1)).alias("n"))
     )
-    labels = F.array(*[F.lit(c) for c in df.columns])
     return counted.select(
-        "ordinal", F.get(labels, F.col("ordinal")).alias("column_name"), *KEYS, "n"
+        "ordinal", label_of("ordinal", df.columns).alias("column_name"), *KEYS, "n"
     )
 
 
-def numeric_value() -> Column:
-    """The key of a numeric column as a double."""
-    return F.coalesce("float_key", F.col("int_key").cast("double"), F.col("text_key").cast("double"))
-
-
 def distinct_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """Exact distinct non-missing values of every countable column."""
     parts = []
@@ -91,8 +77,7 @@ def distinct_counts(tables: dict[str, DataFrame]) -> DataFrame:
             F.count(F.lit(1)).alias("distinct_count")
         )
         # An all-missing column has no keys; the label list is as long as the schema.
-        labels = F.array(*[F.lit(c) for c in names])
-        all_names = df.sparkSession.range(1).select(F.explode(labels).alias("column_name"))
+        all_names = df.sparkSession.createDataFrame([(c,) for c in names], "column_name string")
         parts.append(
             all_names.join(counts, "column_name", "left").select(
                 F.lit(table).alias("table_name"),

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tablescout.functions.sqltext import ident, inline_rows, literal
 from tablescout.functions.text import (
+    BLANK_PATTERN,
+    DATE_MARKS,
     ISO_DATE_PATTERN,
     KEY_TEXT_LENGTH,
-    is_blank,
-    is_date_like,
-    is_number_like,
+    NUMBER_PATTERN,
     text_key,
 )
 from tablescout.functions.types import (
@@ -70,35 +71,37 @@ def table_profile(tables: dict[str, DataFrame]) -> DataFrame:
     return union_all(parts)
 
 
-def _column_aggregates(name: str, kind: str, fractional: bool) -> dict[str, Column]:
+def _column_aggregates(name: str, kind: str, fractional: bool) -> dict[str, str]:
     """Cheap aggregates of one column; all columns of a table share one scan."""
-    c = col(name)
-    out = {"present": F.count(c)}
+    c = ident(name)
+    out = {"present": f"count({c})"}
     if kind == NUMERIC:
-        d = c.cast("double")
+        d = f"CAST({c} AS DOUBLE)"
         out |= {
-            "min_value": F.min(c).cast("double"),
-            "max_value": F.max(c).cast("double"),
-            "mean_value": F.avg(d),
-            "std_value": F.stddev_samp(d),
-            "negative_count": F.count_if(c < 0),
-            "zero_count": F.count_if(c == 0),
+            "min_value": f"min({c})",
+            "max_value": f"max({c})",
+            "mean_value": f"avg({d})",
+            "std_value": f"stddev_samp({d})",
+            "negative_count": f"count_if({c} < 0)",
+            "zero_count": f"count_if({c} = 0)",
         }
         if fractional:
-            out["fraction_count"] = F.count_if(c % 1 != 0)
+            out["fraction_count"] = f"count_if({c} % 1 <> 0)"
     elif kind == DATETIME:
         out |= {
-            "min_time": F.date_format(F.min(c), TIME_FORMAT),
-            "max_time": F.date_format(F.max(c), TIME_FORMAT),
+            "min_time": f"date_format(min({c}), '{TIME_FORMAT}')",
+            "max_time": f"date_format(max({c}), '{TIME_FORMAT}')",
         }
     elif kind == TEXT:
         out |= {
-            "blank_count": F.count_if(is_blank(c)),
-            "date_like_count": F.count_if(is_date_like(c)),
-            "email_like_count": F.count_if(c.contains("@")),
-            "number_like_count": F.count_if(is_number_like(c)),
-            "iso_date_count": F.count_if(c.rlike(ISO_DATE_PATTERN)),
-            "max_length": F.max(F.length(c)),
+            "blank_count": f"count_if({c} RLIKE {literal(BLANK_PATTERN)})",
+            "date_like_count": "count_if("
+            + " OR ".join(f"contains({c}, '{mark}')" for mark in DATE_MARKS)
+            + ")",
+            "email_like_count": f"count_if(contains({c}, '@'))",
+            "number_like_count": f"count_if({c} RLIKE {literal(NUMBER_PATTERN)})",
+            "iso_date_count": f"count_if({c} RLIKE {literal(ISO_DATE_PATTERN)})",
+            "max_length": f"max(length({c}))",
         }
     return out
 
@@ -126,36 +129,29 @@ def column_stats(tables: dict[str, DataFrame]) -> DataFrame:
     """One row per column with every statistic that needs no grouping: one scan per table."""
     parts = []
     for table, df in tables.items():
-        aggregates, rows = [F.count(F.lit(1)).alias("n")], []
+        aggregates, rows = ["count(1) AS n"], []
         for i, f in enumerate(df.schema.fields):
             kind = family(f.dataType)
             stats = _column_aggregates(f.name, kind, not is_integral(f.dataType))
-            aggregates += [expr.alias(f"{stat}_{i}") for stat, expr in stats.items()]
-            present = F.col(f"present_{i}")
-            typed = [
-                (
-                    F.coalesce(F.col(f"{stat}_{i}").cast(dtype), F.lit(0 if dtype == "bigint" else None))
-                    if stat in stats
-                    else F.lit(0 if dtype == "bigint" else None).cast(dtype)
-                ).alias(stat)
-                for stat, dtype in _STAT_TYPES.items()
-            ]
-            rows.append(
-                F.struct(
-                    F.lit(table).alias("table_name"),
-                    F.lit(f.name).alias("column_name"),
-                    F.lit(i).alias("ordinal"),
-                    F.lit(f.dataType.simpleString()).alias("dtype"),
-                    F.lit(kind).alias("family"),
-                    F.lit(is_integral(f.dataType)).alias("integral"),
-                    F.col("n").alias("row_count"),
-                    (F.col("n") - present).alias("null_count"),
-                    present.alias("present_count"),
-                    *typed,
-                )
-            )
-        wide = nan_to_null(df).agg(*aggregates)
-        parts.append(wide.select(F.inline(F.array(*rows))))
+            aggregates += [f"{sql} AS {stat}_{i}" for stat, sql in stats.items()]
+            row = {
+                "table_name": literal(table),
+                "column_name": literal(f.name),
+                "ordinal": str(i),
+                "dtype": literal(f.dataType.simpleString()),
+                "family": literal(kind),
+                "integral": str(is_integral(f.dataType)),
+                "row_count": "n",
+                "null_count": f"n - present_{i}",
+                "present_count": f"present_{i}",
+            }
+            for stat, dtype in _STAT_TYPES.items():
+                empty = "0" if dtype == "bigint" else "NULL"
+                value = f"{stat}_{i}" if stat in stats else empty
+                row[stat] = f"coalesce(CAST({value} AS {dtype}), {empty})"
+            rows.append(row)
+        wide = nan_to_null(df).agg(*[F.expr(a) for a in aggregates])
+        parts.append(wide.select(inline_rows(rows)))
     stats = union_all(parts)
     # One present value has no sample deviation: report 0.
     std = F.when(F.col("mean_value").isNotNull(), F.coalesce("std_value", F.lit(0.0)))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tablescout.functions.sqltext import ident, inline_rows, label_of, literal
 from tablescout.functions.types import NUMERIC, col, names_of, nan_to_null, union_all
 
 ACCURACY = 10_000
@@ -39,22 +40,18 @@ def _brackets(
     parts = []
     for table, df in tables.items():
         names, aggregates, rows = names_of(df, NUMERIC), [], []
-        for i, c in enumerate(names):
-            sketch = F.percentile_approx(col(c), lows + highs, accuracy)
+        points = ", ".join(f"{p!r}D" for p in lows + highs)
+        for i, c in enumerate(ident(n) for n in names):
             aggregates += [
-                sketch.alias(f"edges_{i}"),
-                F.min(col(c)).alias(f"min_{i}"),
-                F.max(col(c)).alias(f"max_{i}"),
-                F.count(col(c)).alias(f"n_{i}"),
+                f"percentile_approx({c}, array({points}), {accuracy}) AS edges_{i}",
+                f"min({c}) AS min_{i}",
+                f"max({c}) AS max_{i}",
+                f"count({c}) AS n_{i}",
             ]
-            rows.append(
-                F.struct(
-                    F.lit(c).alias("column_name"),
-                    *[F.col(f"{x}_{i}").alias(x) for x in ("edges", "min", "max", "n")],
-                )
-            )
-        wide = _doubles(df).agg(*aggregates)
-        parts.append(wide.select(F.lit(table).alias("table_name"), F.inline(F.array(*rows))))
+            facts = {x: f"{x}_{i}" for x in ("edges", "min", "max", "n")}
+            rows.append({"column_name": literal(names[i]), **facts})
+        wide = _doubles(df).agg(*[F.expr(a) for a in aggregates])
+        parts.append(wide.select(F.lit(table).alias("table_name"), inline_rows(rows)))
     out = {}
     for r in union_all(parts).where("n > 0").collect():
         k = len(probabilities)
@@ -113,9 +110,7 @@ def _bracket_counts(
     fields = "".join(f", low_{j} double, high_{j} double" for j in range(k))
     edges = df.sparkSession.createDataFrame(rows, "i int" + fields)
     values = _doubles(df).select(
-        F.inline(
-            F.array(*[F.struct(F.lit(i).alias("i"), col(c).alias("v")) for i, c in enumerate(names)])
-        )
+        inline_rows([{"i": str(i), "v": ident(c)} for i, c in enumerate(names)])
     )
     # The edges are one row per numeric column: broadcasting them is bounded by the schema.
     counts = (
@@ -125,10 +120,9 @@ def _bracket_counts(
         .groupBy("i", "cell", "between")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    labels = F.array(*[F.lit(c) for c in names])
     return counts.select(
         F.lit(table).alias("table_name"),
-        F.get(labels, F.col("i")).alias("column_name"),
+        label_of("i", names).alias("column_name"),
         "cell",
         "between",
         "n",

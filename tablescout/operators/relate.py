@@ -12,32 +12,32 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablescout.functions.text import is_key_like, key_like, text_key
+from tablescout.functions.sqltext import ident, inline_rows
+from tablescout.functions.text import is_key_like, key_like, text_key_sql
 from tablescout.functions.types import DATETIME, NUMERIC, TEXT, col, family, nan_to_null, union_all
-from tablescout.operators.frequency import COUNTABLE
+from tablescout.operators.frequency import COUNTABLE, KEYS
 
 BITS = 62  # columns per bitmap word
 
 
-def _shared_key(field: T.StructField) -> list[Column]:
+def _shared_key(field: T.StructField) -> dict[str, str]:
     """Key slots that are equal whenever the values are equal as numbers, texts or times."""
-    c, kind = col(field.name), family(field.dataType)
-    int_key, float_key, text = (F.lit(None).cast(t) for t in ("bigint", "double", "string"))
-    if kind == NUMERIC:
-        if isinstance(field.dataType, (T.FloatType, T.DoubleType, T.DecimalType)):
-            d = c.cast("double")
-            whole = (d == F.floor(d)) & (F.abs(d) < F.lit(9.0e18))
-            int_key = F.when(whole, c).try_cast("bigint")
-            float_key = F.when(~whole, d)
-        else:
-            int_key = c.cast("bigint")
+    c, kind = ident(field.name), family(field.dataType)
+    slots = {"int_key": "NULL", "float_key": "NULL", "text_key": "NULL"}
+    if kind == NUMERIC and isinstance(
+        field.dataType, (T.FloatType, T.DoubleType, T.DecimalType)
+    ):
+        d = f"CAST({c} AS DOUBLE)"
+        whole = f"({d} = floor({d}) AND abs({d}) < 9.0e18D)"
+        slots["int_key"] = f"if({whole}, try_cast({c} AS BIGINT), NULL)"
+        slots["float_key"] = f"if({whole}, NULL, {d})"
     elif kind == DATETIME:
-        int_key = F.unix_micros(c.cast("timestamp"))
+        slots["int_key"] = f"unix_micros(CAST({c} AS TIMESTAMP))"
     elif kind == TEXT:
-        text = text_key(c)
+        slots["text_key"] = text_key_sql(c)
     else:
-        int_key = c.cast("bigint")
-    return [int_key.alias("int_key"), float_key.alias("float_key"), text.alias("text_key")]
+        slots["int_key"] = c
+    return {k: f"CAST({slots[k]} AS {t})" for k, t in zip(KEYS, ("BIGINT", "DOUBLE", "STRING"))}
 
 
 class ColumnSets:
@@ -62,30 +62,28 @@ class ColumnSets:
                 if family(f.dataType) not in COUNTABLE:
                     continue
                 i = words_of[t, f.name]
-                bits = [
-                    F.lit(1 << (i % BITS) if i // BITS == w else 0).cast("bigint").alias(f"w{w}")
+                bits = {
+                    f"w{w}": f"{1 << (i % BITS) if i // BITS == w else 0}L"
                     for w in range(self.words)
-                ]
-                kind = F.lit(COUNTABLE.index(family(f.dataType))).alias("family")
-                rows.append(F.struct(kind, *_shared_key(f), *bits))
+                }
+                kind = str(COUNTABLE.index(family(f.dataType)))
+                rows.append({"family": kind, **_shared_key(f), **bits})
             if rows:
-                parts.append(nan_to_null(df).select(F.inline(F.array(*rows))))
+                parts.append(nan_to_null(df).select(inline_rows(rows)))
         values = union_all(parts).where(
             "int_key IS NOT NULL OR float_key IS NOT NULL OR text_key IS NOT NULL"
         )
         words = [f"w{w}" for w in range(self.words)]
-        per_value = values.groupBy("family", "int_key", "float_key", "text_key").agg(
+        per_value = values.groupBy("family", *KEYS).agg(
             *[F.bit_or(w).alias(w) for w in words]
         )
         self.sets = per_value.groupBy(*words).agg(F.count(F.lit(1)).alias("n"))
 
     def members(self) -> DataFrame:
         """``(members array<int>, n)``: column numbers of each set."""
-        checks = [
-            F.when(F.col(f"w{i // BITS}").bitwiseAND(F.lit(1 << (i % BITS))) != 0, F.lit(i))
-            for i, *_ in self.columns
-        ]
-        return self.sets.select(F.array_compact(F.array(*checks)).alias("members"), "n")
+        checks = [f"if(w{i // BITS} & {1 << (i % BITS)}L <> 0, {i}, NULL)" for i, *_ in self.columns]
+        members = F.expr(f"array_compact(array({', '.join(checks)}))")
+        return self.sets.select(members.alias("members"), "n")
 
     def catalog(self) -> DataFrame:
         """One row per column of the tables."""
