@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescout.functions.local import pin
+from tablescout.functions.sqltext import ident, inline_rows, label_of
 from tablescout.functions.text import percent_text
 from tablescout.functions.types import NUMERIC, TEXT, col, names_of, nan_to_null, union_all
 from tablescout.operators.frequency import distinct_counts
@@ -200,7 +201,8 @@ def referential_integrity(
 
 def iqr_bounds(tables: dict[str, DataFrame]) -> DataFrame:
     """Quartiles and the 1.5 IQR fences of every numeric column with a positive IQR."""
-    quartiles = column_quantiles(tables, {"q1": 0.25, "q3": 0.75})
+    numeric = {t: df for t, df in tables.items() if names_of(df, NUMERIC)}
+    quartiles = column_quantiles(numeric, {"q1": 0.25, "q3": 0.75})
     width = F.col("q3") - F.col("q1")
     return quartiles.where(width > 0).select(
         "table_name",
@@ -214,38 +216,46 @@ def iqr_bounds(tables: dict[str, DataFrame]) -> DataFrame:
 
 def outlier_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """Values outside the IQR fences per numeric column."""
-    bounds = iqr_bounds(tables)
+    # Two numbers per numeric column, read by one count per table.
+    fences: dict[str, list[tuple]] = {}
+    for r in iqr_bounds(tables).collect():
+        fences.setdefault(r["table_name"], []).append(
+            (r["column_name"], r["lower_bound"], r["upper_bound"])
+        )
     parts = []
-    for table, df in tables.items():
-        names = names_of(df, NUMERIC)
-        if not names:
-            continue
-        labels = F.array(*[F.lit(c) for c in names])
-        cells = [
-            F.struct(F.lit(i).alias("i"), col(c).cast("double").alias("v"))
-            for i, c in enumerate(names)
-        ]
-        values = nan_to_null(df).select(F.inline(F.array(*cells))).where("v IS NOT NULL")
-        fences = bounds.where(F.col("table_name") == table).select(
-            (F.array_position(labels, F.col("column_name")) - 1).cast("int").alias("i"),
-            "lower_bound",
-            "upper_bound",
+    for table, rows in fences.items():
+        df = tables[table]
+        names = [name for name, _, _ in rows]
+        values = nan_to_null(df).select(
+            inline_rows(
+                [{"i": str(i), "v": f"CAST({ident(c)} AS DOUBLE)"} for i, c in enumerate(names)]
+            )
+        )
+        edges = df.sparkSession.createDataFrame(
+            [(i, low, high) for i, (_, low, high) in enumerate(rows)],
+            "i int, lower_bound double, upper_bound double",
         )
-        # One fence row per numeric column, hence the broadcast.
-        outside = (F.col("v") < F.col("lower_bound")) | (F.col("v") > F.col("upper_bound"))
         counted = (
-            values.join(F.broadcast(fences), "i")
+            values.where("v IS NOT NULL")
+            .join(F.broadcast(edges), "i")
             .groupBy("i")
-            .agg(F.count(F.lit(1)).alias("present_count"), F.count_if(outside).alias("outliers"))
+            .agg(
+                F.count(F.lit(1)).alias("present_count"),
+                F.expr("count_if(v < lower_bound OR v > upper_bound)").alias("outliers"),
+            )
         )
         parts.append(
             counted.select(
                 F.lit(table).alias("table_name"),
-                F.get(labels, F.col("i")).alias("column_name"),
+                label_of("i", names).alias("column_name"),
                 "present_count",
                 "outliers",
             )
         )
+    if not parts:
+        return next(iter(tables.values())).sparkSession.createDataFrame(
+            [], "table_name string, column_name string, present_count bigint, outliers bigint"
+        )
     return union_all(parts)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tablescout.functions.text import (
     BLANK_PATTERN,
     ISO_DATE_PATTERN,
+    KEY_PATTERN,
     KEY_TEXT_LENGTH,
     NUMBER_PATTERN,
 )
