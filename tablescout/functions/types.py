@@ -56,8 +56,16 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns(fixed) if fixed else df
 
 
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    """Concatenate frames that share a schema."""
+def union_all(
+    frames: list[DataFrame], tables: dict[str, DataFrame] | None = None, schema: str = ""
+) -> DataFrame:
+    """Concatenate frames that share a schema.
+
+    Where no table has a column of the wanted kind there are no frames: the result is then an
+    empty frame of ``schema`` in the session of ``tables``.
+    """
+    if not frames and tables:
+        return next(iter(tables.values())).sparkSession.createDataFrame([], schema)
     out = frames[0]
     for frame in frames[1:]:
         out = out.unionByName(frame)

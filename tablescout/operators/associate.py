@@ -93,4 +93,5 @@ def column_entropy(tables: dict[str, DataFrame]) -> DataFrame:
             .agg(F.greatest(entropy, F.lit(0.0)).alias("entropy"), F.count(F.lit(1)).alias("distinct_count"))
             .select(F.lit(table).alias("table_name"), "column_name", "distinct_count", "entropy")
         )
-    return union_all(parts)
+    fields = "table_name string, column_name string, distinct_count bigint, entropy double"
+    return union_all(parts, tables, fields)

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from tablescout.functions.sqltext import ident, inline_rows
 from tablescout.functions.types import NUMERIC, col, names_of, nan_to_null, union_all
 from tablescout.operators.ordering import cumulative
+_CORRELATION = (
+    "table_name string, method string, col_a string, col_b string, r double, n bigint"
+)
+
 
 def _pair_matrix(
     df: DataFrame, table: str, pairs: list[tuple[str, str]], method: str
@@ -57,7 +61,7 @@ def pearson(tables: dict[str, DataFrame]) -> DataFrame:
         pairs = list(combinations(sorted(names_of(df, NUMERIC)), 2))
         if pairs:
             parts.append(_pair_matrix(_doubles(df), table, pairs, "pearson"))
-    return union_all(parts)
+    return union_all(parts, tables, _CORRELATION)
 
 
 def average_ranks(df: DataFrame, name: str) -> DataFrame:
@@ -104,7 +108,7 @@ def spearman(tables: dict[str, DataFrame]) -> DataFrame:
                 continue
             both = values.select(col(a), col(b)).where(col(a).isNotNull() & col(b).isNotNull())
             parts.append(_pair_matrix(_ranked(both, [a, b]), table, [(a, b)], "spearman"))
-    return union_all(parts)
+    return union_all(parts, tables, _CORRELATION)
 
 
 def strong_pairs(correlations: DataFrame, threshold: float = 0.7) -> DataFrame:

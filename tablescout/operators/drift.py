@@ -97,4 +97,5 @@ def freshness(tables: dict[str, DataFrame], as_of: Column | None = None) -> Data
                 "age_days", F.datediff(as_of, "latest").cast("bigint")
             )
         )
-    return union_all(parts)
+    fields = "table_name string, column_name string, latest timestamp_ntz, age_days bigint"
+    return union_all(parts, tables, fields)

@@ -85,4 +85,5 @@ def distinct_counts(tables: dict[str, DataFrame]) -> DataFrame:
                 F.coalesce("distinct_count", F.lit(0)).alias("distinct_count"),
             )
         )
-    return union_all(parts)
+    fields = "table_name string, column_name string, distinct_count bigint"
+    return union_all(parts, tables, fields)

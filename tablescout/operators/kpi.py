@@ -360,7 +360,7 @@ def _formula_values(tables: dict[str, DataFrame]) -> DataFrame:
                     (F.col("ratio") * F.col("scale")).alias("result"),
                 )
             )
-    return union_all(parts)
+    return union_all(parts, tables, "table_name string, formula string, result double")
 
 
 def evaluate_kpis(

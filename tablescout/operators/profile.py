@@ -233,7 +233,8 @@ def top_values(tables: dict[str, DataFrame], k: int = 10) -> DataFrame:
                 F.col("n").alias("occurrences"),
             )
         )
-    return union_all(parts)
+    fields = "table_name string, column_name string, rank bigint, value string, occurrences bigint"
+    return union_all(parts, tables, fields)
 
 
 def column_profile(tables: dict[str, DataFrame], exact_quantiles: bool = True) -> DataFrame:

@@ -139,8 +139,13 @@ def column_quantiles(
 
     ``exact=False`` returns the sketch's own answers (elements, not interpolated) in one scan.
     """
-    tables = {t: df for t, df in tables.items() if names_of(df, NUMERIC)}
     labels, wanted = list(probabilities), list(probabilities.values())
+    empty = union_all(
+        [], tables, "table_name string, column_name string" + "".join(f", {x} double" for x in labels)
+    )
+    tables = {t: df for t, df in tables.items() if names_of(df, NUMERIC)}
+    if not tables:
+        return empty
     if not exact:
         parts = []
         for table, df in tables.items():
@@ -163,15 +168,11 @@ def column_quantiles(
         return union_all(parts)
 
     keys = ["table_name", "column_name"]
-    if not tables:
-        raise ValueError("no numeric columns to take quantiles of")
     brackets = _brackets(tables, wanted, accuracy)
     counted = [_bracket_counts(t, df, brackets) for t, df in tables.items()]
     counted = [c for c in counted if c is not None]
     if not counted:
-        spark = next(iter(tables.values())).sparkSession
-        fields = "table_name string, column_name string"
-        return spark.createDataFrame([], fields + "".join(f", {x} double" for x in labels))
+        return empty
     counts = union_all(counted)
     # Only bracket contents reach this window: a fixed small share of each column's rows.
     ordered = W.partitionBy(*keys).orderBy(F.asc_nulls_first("cell"), "between")

@@ -76,7 +76,7 @@ def histogram(tables: dict[str, DataFrame], bins: int = 10) -> DataFrame:
                 "n",
             )
         )
-    return union_all(parts)
+    return union_all(parts, tables, "table_name string, column_name string, bin bigint, n bigint")
 
 
 def box_stats(tables: dict[str, DataFrame]) -> DataFrame:
@@ -138,7 +138,9 @@ def sensitive_columns(tables: dict[str, DataFrame], min_share: float = 0.0) -> D
         parts.append(
             df.agg(*aggregates).select(F.lit(table).alias("table_name"), F.inline(F.array(*rows)))
         )
-    return union_all(parts).where((F.col("matches") > 0) & (F.col("share") >= min_share))
+    fields = "table_name string, column_name string, kind string, matches bigint, share double"
+    found = union_all(parts, tables, fields)
+    return found.where((F.col("matches") > 0) & (F.col("share") >= min_share))
 
 
 def redact(c: Column) -> Column:

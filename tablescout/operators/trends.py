@@ -108,7 +108,7 @@ def primary_time_columns(tables: dict[str, DataFrame]) -> DataFrame:
                 "time_column IS NOT NULL"
             )
         )
-    return union_all(parts)
+    return union_all(parts, tables, "table_name string, time_column string")
 
 
 def granularity_rule() -> Column:

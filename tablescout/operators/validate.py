@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tablescout.functions.local import pin
 from tablescout.functions.sqltext import ident, inline_rows, label_of
 from tablescout.functions.text import percent_text
-from tablescout.functions.types import NUMERIC, TEXT, col, names_of, nan_to_null, union_all
+from tablescout.functions.types import NUMERIC, TEXT, col, nan_to_null, union_all
 from tablescout.operators.frequency import distinct_counts
 from tablescout.operators.profile import column_stats, table_profile
 from tablescout.operators.quantiles import column_quantiles
@@ -201,8 +201,7 @@ def referential_integrity(
 
 def iqr_bounds(tables: dict[str, DataFrame]) -> DataFrame:
     """Quartiles and the 1.5 IQR fences of every numeric column with a positive IQR."""
-    numeric = {t: df for t, df in tables.items() if names_of(df, NUMERIC)}
-    quartiles = column_quantiles(numeric, {"q1": 0.25, "q3": 0.75})
+    quartiles = column_quantiles(tables, {"q1": 0.25, "q3": 0.75})
     width = F.col("q3") - F.col("q1")
     return quartiles.where(width > 0).select(
         "table_name",
@@ -252,11 +251,8 @@ def outlier_counts(tables: dict[str, DataFrame]) -> DataFrame:
                 "outliers",
             )
         )
-    if not parts:
-        return next(iter(tables.values())).sparkSession.createDataFrame(
-            [], "table_name string, column_name string, present_count bigint, outliers bigint"
-        )
-    return union_all(parts)
+    fields = "table_name string, column_name string, present_count bigint, outliers bigint"
+    return union_all(parts, tables, fields)
 
 
 def iqr_outliers(tables: dict[str, DataFrame]) -> DataFrame:
