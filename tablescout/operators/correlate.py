@@ -51,7 +51,8 @@ def _pair_matrix(
 
 
 def _doubles(df: DataFrame) -> DataFrame:
-    return nan_to_null(df).select(*[col(c).cast("double").alias(c) for c in names_of(df, NUMERIC)])
+    casts = [f"CAST({c} AS DOUBLE) AS {c}" for c in map(ident, names_of(df, NUMERIC))]
+    return nan_to_null(df).selectExpr(*casts)
 
 
 def pearson(tables: dict[str, DataFrame]) -> DataFrame:
@@ -66,8 +67,9 @@ def pearson(tables: dict[str, DataFrame]) -> DataFrame:
 
 def average_ranks(df: DataFrame, name: str) -> DataFrame:
     """``(name, rank)`` per distinct value: the mean of the positions its ties would take."""
-    counts = df.where(col(name).isNotNull()).groupBy(col(name)).agg(F.count(F.lit(1)).alias("n"))
-    total = cumulative(counts, name, "n")
+    present = df.select(col(name)).where(col(name).isNotNull())
+    counts = present.groupBy(col(name)).agg(F.count(F.lit(1)).alias("n"))
+    total = cumulative(counts, name, "n", rows=present)
     return total.select(
         col(name), (F.col("after") - F.col("n") + (F.col("n") + 1) / 2).alias("rank")
     )

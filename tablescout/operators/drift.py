@@ -16,15 +16,14 @@ def ks_of(df: DataFrame, value: str, is_second: Column) -> DataFrame:
     Values are counted per sample, totalled in value order range by range, and compared.
     """
     clean = nan_to_null(df).select(col(value).cast("double").alias("v"), is_second.alias("second"))
-    counts = (
-        clean.where("v IS NOT NULL AND second IS NOT NULL")
-        .groupBy("v")
-        .agg(F.count_if(~F.col("second")).alias("n1"), F.count_if("second").alias("n2"))
+    clean = clean.where("v IS NOT NULL AND second IS NOT NULL")
+    counts = clean.groupBy("v").agg(
+        F.count_if(~F.col("second")).alias("n1"), F.count_if("second").alias("n2")
     )
     totals = counts.agg(F.sum("n1").alias("t1"), F.sum("n2").alias("t2"))
     # The running totals end at the sample sizes; one row carries both.
     sizes = totals.select(F.struct("t1", "t2").alias("t")).scalar()
-    running = cumulative(counts, "v", "n1", "n2").withColumn("t", sizes)
+    running = cumulative(counts, "v", "n1", "n2", rows=clean).withColumn("t", sizes)
     gap = F.abs(
         F.try_divide(F.col("after_n1"), F.col("t.t1")) - F.try_divide(F.col("after_n2"), F.col("t.t2"))
     )

@@ -35,14 +35,16 @@ def cumulative(
     df: DataFrame,
     value: str,
     *measures: str,
+    rows: DataFrame | None = None,
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Add ``after`` (or ``after_<measure>``): the measure summed up to and including the row.
 
-    ``df`` holds one row per distinct ``value``.
+    ``df`` holds one row per distinct ``value``. The ranges are cut from ``rows``, the values
+    before they were grouped, so that finding the edges needs no shuffle.
     """
     names = {m: "after" if len(measures) == 1 else f"after_{m}" for m in measures}
-    edges = range_edges(df, value, rows_per_range)
+    edges = range_edges(df if rows is None else rows, value, rows_per_range)
     if not edges:
         order = W.orderBy(col(value)).rowsBetween(W.unboundedPreceding, 0)
         return df.withColumns({out: F.sum(m).over(order) for m, out in names.items()})

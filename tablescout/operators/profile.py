@@ -150,7 +150,7 @@ def column_stats(tables: dict[str, DataFrame]) -> DataFrame:
                 value = f"{stat}_{i}" if stat in stats else empty
                 row[stat] = f"coalesce(CAST({value} AS {dtype}), {empty})"
             rows.append(row)
-        wide = nan_to_null(df).agg(*[F.expr(a) for a in aggregates])
+        wide = nan_to_null(df).selectExpr(*aggregates)
         parts.append(wide.select(inline_rows(rows)))
     stats = union_all(parts)
     # One present value has no sample deviation: report 0.
@@ -200,6 +200,8 @@ def top_values(tables: dict[str, DataFrame], k: int = 10) -> DataFrame:
         order = W.partitionBy("column_name").orderBy(F.desc("n"), "text_key")
         best = (
             frequencies(df, names)
+            # Always true; stated so that both uses of ``best`` below plan, and run, as one.
+            .where("text_key IS NOT NULL AND column_name IS NOT NULL")
             .withColumn("rank", F.row_number().over(order))
             .where(F.col("rank") <= k)
             .select("column_name", F.col("text_key").alias("key"), "n", "rank")

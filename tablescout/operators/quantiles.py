@@ -12,6 +12,7 @@ one row per numeric column to the driver.
 from __future__ import annotations
 
 from functools import reduce
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -20,11 +21,23 @@ from pyspark.sql import functions as F
 from tablescout.functions.sqltext import ident, inline_rows, label_of, literal
 from tablescout.functions.types import NUMERIC, col, names_of, nan_to_null, union_all
 
-ACCURACY = 10_000
+MIN_ACCURACY, MAX_ACCURACY = 10_000, 200_000
+
+
+def bracket_accuracy(tables: dict[str, DataFrame]) -> int:
+    """Sketch accuracy that keeps the brackets of the largest table short.
+
+    A bracket holds about ``4 / accuracy`` of the rows: with the square root of the row count
+    that is some millions of rows in a table of 10^12. Counting rows reads no column.
+    """
+    counts = union_all([df.agg(F.count(F.lit(1)).alias("n")) for df in tables.values()])
+    rows = counts.agg(F.max("n")).first()[0]
+    return max(MIN_ACCURACY, min(MAX_ACCURACY, isqrt(rows)))
 
 
 def _doubles(df: DataFrame) -> DataFrame:
-    return nan_to_null(df).select(*[col(c).cast("double").alias(c) for c in names_of(df, NUMERIC)])
+    casts = [f"CAST({c} AS DOUBLE) AS {c}" for c in map(ident, names_of(df, NUMERIC))]
+    return nan_to_null(df).selectExpr(*casts)
 
 
 def _brackets(
@@ -50,7 +63,7 @@ def _brackets(
             ]
             facts = {x: f"{x}_{i}" for x in ("edges", "min", "max", "n")}
             rows.append({"column_name": literal(names[i]), **facts})
-        wide = _doubles(df).agg(*[F.expr(a) for a in aggregates])
+        wide = _doubles(df).selectExpr(*aggregates)
         parts.append(wide.select(F.lit(table).alias("table_name"), inline_rows(rows)))
     out = {}
     for r in union_all(parts).where("n > 0").collect():
@@ -133,7 +146,7 @@ def column_quantiles(
     tables: dict[str, DataFrame],
     probabilities: dict[str, float],
     exact: bool = True,
-    accuracy: int = ACCURACY,
+    accuracy: int | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles of every numeric column, one output column per label.
 
@@ -146,6 +159,7 @@ def column_quantiles(
     tables = {t: df for t, df in tables.items() if names_of(df, NUMERIC)}
     if not tables:
         return empty
+    accuracy = bracket_accuracy(tables) if accuracy is None else accuracy
     if not exact:
         parts = []
         for table, df in tables.items():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil, floor
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from tablescout.functions.types import (
     col,
     family,
     is_fractional,
+    is_integral,
     names_of,
     nan_to_null,
     union_all,
@@ -71,7 +74,9 @@ def _outside(
         if c not in edges:
             continue
         below, above = edges[c]
-        # Plain comparisons with constants reach the parquet scan.
+        if is_integral(df.schema[c].dataType):
+            # Whole numbers on both sides, so that the comparison is pushed into the scan.
+            below, above = ceil(below), floor(above)
         beyond = (col(c) < below) | (col(c) > above)
         if is_fractional(df.schema[c].dataType):
             beyond = beyond & ~F.isnan(col(c))

@@ -159,7 +159,8 @@ def trend(
     Rows without a time or metric do not count. ``count_distinct`` accepts any metric type and
     is never gap-filled. An unknown aggregation sums and an unknown granularity is a day.
     """
-    clean = nan_to_null(df)
+    # The test for a missing time is pushed into the scan where the time is declared as one.
+    clean = nan_to_null(df).where(as_time(df, time).isNotNull())
     period = period_of(as_time(clean, time), granularity).alias("period")
     if aggregation == "count_distinct":
         if family(clean.schema[metric].dataType) == DATETIME:
@@ -167,13 +168,13 @@ def trend(
         kind = family(clean.schema[metric].dataType)
         key = text_key(col(metric)) if kind == TEXT else col(metric)
         # Distinct pairs first: a period that holds most rows is spread over its values.
-        pairs = clean.select(period, key.alias("value")).where("period IS NOT NULL").distinct()
+        pairs = clean.select(period, key.alias("value")).distinct()
         return pairs.groupBy("period").agg(F.count("value").alias("value"))
     value = as_metric(clean, metric).alias("value")
     aggregate = AGGREGATIONS.get(aggregation, F.sum)
     points = (
         clean.select(period, value)
-        .where("period IS NOT NULL AND value IS NOT NULL")
+        .where("value IS NOT NULL")
         .groupBy("period")
         .agg(aggregate("value").alias("value"))
     )
@@ -240,15 +241,21 @@ def categorical_trend(
 
     Every value is drawn over the periods of the whole table.
     """
-    period = period_of(as_time(df, time), granularity).alias("period")
+    at = as_time(df, time)
+    period = period_of(at, granularity).alias("period")
+    # At most 2 n values: rows of other values are dropped before anything is shuffled.
     values = ranked_categories(df, column, n).select("value")
     counts = (
-        df.select(period, text_key(col(column)).alias("value"))
-        .where("period IS NOT NULL")
+        df.where(at.isNotNull())
+        .select(period, text_key(col(column)).alias("value"))
+        .join(F.broadcast(values), "value")
         .groupBy("period", "value")
         .agg(F.count(F.lit(1)).alias("occurrences"))
     )
-    span = counts.agg(F.min("period").alias("first"), F.max("period").alias("last"))
+    span = df.agg(
+        period_of(F.min(at), granularity).alias("first"),
+        period_of(F.max(at), granularity).alias("last"),
+    )
     steps = span.select(_steps(F.col("first"), F.col("last"), granularity).alias("s")).scalar()
     # At most 10 values times the calendar.
     grid = values.withColumn("period", F.explode(steps))
@@ -366,6 +373,7 @@ def run_trends(spark, tables: dict[str, DataFrame], plans: list[dict]) -> DataFr
         table, time, grain = key
         group = [p for p in plans if (p["table"], p["time"], p["granularity"]) == key]
         df = nan_to_null(tables[table])
+        df = df.where(as_time(df, time).isNotNull())
         period = period_of(as_time(df, time), grain)
         plain = [p for p in group if p["aggregation"] != "count_distinct"]
         if plain:
@@ -377,7 +385,7 @@ def run_trends(spark, tables: dict[str, DataFrame], plans: list[dict]) -> DataFr
             ]
             sums = (
                 df.select(period.alias("period"), F.inline(F.array(*cells)))
-                .where("period IS NOT NULL AND value IS NOT NULL")
+                .where("value IS NOT NULL")
                 .groupBy("i", "period")
                 .agg(*[f("value").cast("double").alias(a) for a, f in AGGREGATIONS.items()])
             )
@@ -395,7 +403,6 @@ def run_trends(spark, tables: dict[str, DataFrame], plans: list[dict]) -> DataFr
             ]
             counts = (
                 df.select(period.alias("period"), F.inline(F.array(*cells)))
-                .where("period IS NOT NULL")
                 .distinct()
                 .groupBy("i", "period")
                 .agg(F.count("value").cast("double").alias("value"))

@@ -14,8 +14,16 @@ from pyspark.sql import functions as F
 
 from tablescout.functions.local import pin
 from tablescout.functions.sqltext import ident, inline_rows, label_of
-from tablescout.functions.text import percent_text
-from tablescout.functions.types import NUMERIC, TEXT, col, nan_to_null, union_all
+from tablescout.functions.text import percent_text, text_key
+from tablescout.functions.types import (
+    NUMERIC,
+    TEXT,
+    col,
+    family,
+    is_integral,
+    nan_to_null,
+    union_all,
+)
 from tablescout.operators.frequency import distinct_counts
 from tablescout.operators.profile import column_stats, table_profile
 from tablescout.operators.quantiles import column_quantiles
@@ -165,11 +173,20 @@ def referential_integrity(
     source_name: str,
     target_name: str,
 ) -> DataFrame:
-    """Distinct source values that the target lacks, as a left anti join of distinct values."""
+    """Distinct source values that the target lacks.
+
+    Numbers are compared as numbers whatever their types, everything else as text.
+    """
+    types = [source.schema[source_column].dataType, target.schema[target_column].dataType]
+    if all(family(t) == NUMERIC for t in types):
+        shared = "bigint" if all(is_integral(t) for t in types) else "double"
+    else:
+        shared = "string"
 
     def values(df: DataFrame, name: str) -> DataFrame:
-        text = col(name).cast("string").alias("value")
-        return nan_to_null(df).select(text).where("value IS NOT NULL").distinct()
+        value = col(name).cast(shared)
+        key = (text_key(value) if shared == "string" else value).alias("value")
+        return nan_to_null(df).select(key).where("value IS NOT NULL").distinct()
 
     wanted = values(source, source_column)
     known = values(target, target_column).withColumn("known", F.lit(1))
