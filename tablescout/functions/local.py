@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from tablescout.functions.sqltext import local_frame
+
 
 def pin(df: DataFrame) -> DataFrame:
     """Evaluate a frame of one row per column (or table) once, for several rules to read.
@@ -11,4 +13,4 @@ def pin(df: DataFrame) -> DataFrame:
     Only for frames whose size follows the schema and not the data: without it, every rule
     that reads the facts would scan the tables again.
     """
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+    return local_frame(df.sparkSession, df.collect(), df.schema)

@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablescout.functions.sqltext import local_frame
 from tablescout.functions.text import text_key
 from tablescout.functions.types import TEXT, col, names_of, union_all
 from tablescout.operators.frequency import frequencies
@@ -56,7 +57,8 @@ def associations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
             F.sum(n * F.ln(n / (r * c))).alias("logs"),
         )
     )
-    labels = df.sparkSession.createDataFrame(
+    labels = local_frame(
+        df.sparkSession,
         [(i, a, b) for i, (a, b) in enumerate(combinations(names, 2))],
         "pair int, col_a string, col_b string",
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tablescout.functions.sqltext import ident, inline_rows
+from tablescout.functions.sqltext import ident, inline_rows, local_frame
 from tablescout.functions.types import NUMERIC, col, names_of, nan_to_null, union_all
 from tablescout.operators.ordering import cumulative
 _CORRELATION = (
@@ -35,7 +35,8 @@ def _pair_matrix(
             F.count(F.lit(1)).alias("n"),
         )
     )
-    labels = df.sparkSession.createDataFrame(
+    labels = local_frame(
+        df.sparkSession,
         [(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, col_a string, col_b string"
     )
     # ``corr`` fails on a constant column in ANSI mode; here an undefined correlation is 0.
@@ -65,17 +66,17 @@ def pearson(tables: dict[str, DataFrame]) -> DataFrame:
     return union_all(parts, tables, _CORRELATION)
 
 
-def average_ranks(df: DataFrame, name: str) -> DataFrame:
+def average_ranks(df: DataFrame, name: str, row_count: int | None = None) -> DataFrame:
     """``(name, rank)`` per distinct value: the mean of the positions its ties would take."""
     present = df.select(col(name)).where(col(name).isNotNull())
     counts = present.groupBy(col(name)).agg(F.count(F.lit(1)).alias("n"))
-    total = cumulative(counts, name, "n", rows=present)
+    total = cumulative(counts, name, "n", rows=present, row_count=row_count)
     return total.select(
         col(name), (F.col("after") - F.col("n") + (F.col("n") + 1) / 2).alias("rank")
     )
 
 
-def _ranked(df: DataFrame, names: list[str]) -> DataFrame:
+def _ranked(df: DataFrame, names: list[str], row_count: int) -> DataFrame:
     """Replace each column by its average ranks.
 
     A rank table has one row per distinct value: the planner broadcasts the small ones by size
@@ -83,7 +84,7 @@ def _ranked(df: DataFrame, names: list[str]) -> DataFrame:
     """
     out = df
     for i, name in enumerate(names):
-        ranks = average_ranks(df, name).select(
+        ranks = average_ranks(df, name, row_count).select(
             col(name).alias(f"_v{i}"), F.col("rank").alias(f"_r{i}")
         )
         out = out.join(ranks, col(name) == F.col(f"_v{i}"), "left").drop(f"_v{i}")
@@ -98,18 +99,18 @@ def spearman(tables: dict[str, DataFrame]) -> DataFrame:
         if len(names) < 2:
             continue
         values = _doubles(df)
-        # One row with one null count per column decides which columns can share ranks.
-        nulls = values.agg(*[F.count_if(col(c).isNull()).alias(c) for c in names]).first()
-        whole = [c for c in names if nulls[c] == 0]
+        # One row with one count per column decides which columns can share ranks.
+        sizes = values.agg(F.count(F.lit(1)), *[F.count(col(c)) for c in names]).first()
+        whole = [c for c, n in zip(names, sizes[1:]) if n == sizes[0]]
         if len(whole) > 1:
             pairs = list(combinations(whole, 2))
-            ranked = _ranked(values.select(*[col(c) for c in whole]), whole)
+            ranked = _ranked(values.select(*[col(c) for c in whole]), whole, sizes[0])
             parts.append(_pair_matrix(ranked, table, pairs, "spearman"))
         for a, b in combinations(names, 2):
             if a in whole and b in whole:
                 continue
             both = values.select(col(a), col(b)).where(col(a).isNotNull() & col(b).isNotNull())
-            parts.append(_pair_matrix(_ranked(both, [a, b]), table, [(a, b)], "spearman"))
+            parts.append(_pair_matrix(_ranked(both, [a, b], sizes[0]), table, [(a, b)], "spearman"))
     return union_all(parts, tables, _CORRELATION)
 
 
@@ -144,7 +145,8 @@ def column_correlates(correlations: DataFrame, k: int = 10, threshold: float = 0
 def heatmap(correlations: DataFrame, columns: list[str]) -> DataFrame:
     """Wide matrix over ``columns``, with 1 on the diagonal."""
     pairs = both_directions(correlations).select("col_a", "col_b", "r")
-    diagonal = correlations.sparkSession.createDataFrame(
+    diagonal = local_frame(
+        correlations.sparkSession,
         [(c, c, 1.0) for c in columns], "col_a string, col_b string, r double"
     )
     return pairs.unionByName(diagonal).groupBy("col_a").pivot("col_b", columns).agg(F.first("r"))

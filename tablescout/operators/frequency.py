@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablescout.functions.sqltext import ident, inline_rows, label_of
+from tablescout.functions.sqltext import ident, inline_rows, label_of, local_frame
 from tablescout.functions.text import text_key_sql
 from tablescout.functions.types import (
     BOOLEAN,
@@ -77,7 +77,7 @@ def distinct_counts(tables: dict[str, DataFrame]) -> DataFrame:
             F.count(F.lit(1)).alias("distinct_count")
         )
         # An all-missing column has no keys; the label list is as long as the schema.
-        all_names = df.sparkSession.createDataFrame([(c,) for c in names], "column_name string")
+        all_names = local_frame(df.sparkSession, [(c,) for c in names], "column_name string")
         parts.append(
             all_names.join(counts, "column_name", "left").select(
                 F.lit(table).alias("table_name"),

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablescout.functions.local import pin
+from tablescout.functions.sqltext import local_frame
 from tablescout.functions.text import key_like
 from tablescout.functions.types import (
     BOOLEAN,
@@ -348,7 +349,8 @@ def _formula_values(tables: dict[str, DataFrame]) -> DataFrame:
                 .groupBy("i")
                 .agg(F.try_divide(F.sum("a"), F.sum("b")).alias("ratio"))
             )
-            texts = clean.sparkSession.createDataFrame(
+            texts = local_frame(
+                clean.sparkSession,
                 [row for i, (a, b) in enumerate(pairs)
                  for row in ((i, f"{a} / {b}", 1.0), (i, f"({a} / {b}) * 100", 100.0))],
                 "i int, formula string, scale double",

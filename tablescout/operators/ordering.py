@@ -14,16 +14,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tablescout.functions.sqltext import local_frame
 from tablescout.functions.types import col
 
 ROWS_PER_RANGE = 2_000_000
 MAX_RANGES = 4096
 
 
-def range_edges(df: DataFrame, value: str, rows_per_range: int = ROWS_PER_RANGE) -> list[float]:
+def range_edges(
+    df: DataFrame,
+    value: str,
+    rows_per_range: int = ROWS_PER_RANGE,
+    row_count: int | None = None,
+) -> list[float]:
     """Sorted distinct inner edges; empty when one range is enough."""
-    rows = df.count()
-    ranges = min(MAX_RANGES, ceil(rows / rows_per_range))
+    row_count = df.count() if row_count is None else row_count
+    ranges = min(MAX_RANGES, ceil(row_count / rows_per_range))
     if ranges <= 1:
         return []
     shares = [i / ranges for i in range(1, ranges)]
@@ -36,15 +42,17 @@ def cumulative(
     value: str,
     *measures: str,
     rows: DataFrame | None = None,
+    row_count: int | None = None,
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Add ``after`` (or ``after_<measure>``): the measure summed up to and including the row.
 
     ``df`` holds one row per distinct ``value``. The ranges are cut from ``rows``, the values
-    before they were grouped, so that finding the edges needs no shuffle.
+    before they were grouped, so that finding the edges needs no shuffle; ``row_count`` is
+    their number or a bound on it, if known.
     """
     names = {m: "after" if len(measures) == 1 else f"after_{m}" for m in measures}
-    edges = range_edges(df if rows is None else rows, value, rows_per_range)
+    edges = range_edges(df if rows is None else rows, value, rows_per_range, row_count)
     if not edges:
         order = W.orderBy(col(value)).rowsBetween(W.unboundedPreceding, 0)
         return df.withColumns({out: F.sum(m).over(order) for m, out in names.items()})
@@ -52,7 +60,8 @@ def cumulative(
     size = ceil(len(edges) ** 0.5)
     blocks = [edges[i : i + size] for i in range(0, len(edges), size)]
     spark = df.sparkSession
-    search = spark.createDataFrame(
+    search = local_frame(
+        spark,
         [([b[0] for b in blocks], blocks)], "firsts array<double>, blocks array<array<double>>"
     ).select(F.struct("firsts", "blocks")).scalar()
     v = col(value).cast("double")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tablescout.functions.sqltext import ident, inline_rows, label_of, literal
+from tablescout.functions.sqltext import ident, inline_rows, label_of, literal, local_frame
 from tablescout.functions.types import NUMERIC, col, names_of, nan_to_null, union_all
 
 MIN_ACCURACY, MAX_ACCURACY = 10_000, 200_000
@@ -121,7 +121,7 @@ def _bracket_counts(
         padded = spans + [(None, None)] * (k - len(spans))
         rows.append((i, *[edge for span in padded for edge in span]))
     fields = "".join(f", low_{j} double, high_{j} double" for j in range(k))
-    edges = df.sparkSession.createDataFrame(rows, "i int" + fields)
+    edges = local_frame(df.sparkSession, rows, "i int" + fields)
     values = _doubles(df).select(
         inline_rows([{"i": str(i), "v": ident(c)} for i, c in enumerate(names)])
     )

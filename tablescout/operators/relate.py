@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablescout.functions.sqltext import ident, inline_rows
-from tablescout.functions.text import is_key_like, key_like, text_key_sql
+from tablescout.functions.sqltext import ident, inline_rows, local_frame
+from tablescout.functions.text import key_like, text_key_sql
 from tablescout.functions.types import DATETIME, NUMERIC, TEXT, col, family, nan_to_null, union_all
 from tablescout.operators.frequency import COUNTABLE, KEYS
 
@@ -41,19 +41,21 @@ def _shared_key(field: T.StructField) -> dict[str, str]:
 
 
 class ColumnSets:
-    """Column sets with the number of distinct values each set shares exclusively."""
+    """Column sets with the number of distinct values each set shares exclusively.
 
-    def __init__(self, tables: dict[str, DataFrame], sources: dict[str, str] | None = None):
+    ``groups`` numbers the tables; columns of one group are not compared with each other.
+    """
+
+    def __init__(self, tables: dict[str, DataFrame], groups: dict[str, int]):
         self.spark: SparkSession = next(iter(tables.values())).sparkSession
-        self.columns: list[tuple[int, str, str, str, str]] = []
+        self.columns: list[tuple[int, int, str, str, str]] = []
         words_of, parts = {}, []
         for t, df in tables.items():
-            source = (sources or {}).get(t, "")
             for f in df.schema.fields:
                 if family(f.dataType) in COUNTABLE:
                     words_of[t, f.name] = len(self.columns)
                     self.columns.append(
-                        (len(self.columns), source, t, f.name, family(f.dataType))
+                        (len(self.columns), groups[t], t, f.name, family(f.dataType))
                     )
         self.words = max(1, -(-len(self.columns) // BITS))
         for t, df in tables.items():
@@ -85,12 +87,14 @@ class ColumnSets:
         members = F.expr(f"array_compact(array({', '.join(checks)}))")
         return self.sets.select(members.alias("members"), "n")
 
-    def catalog(self) -> DataFrame:
-        """One row per column of the tables."""
-        return self.spark.createDataFrame(
+    def catalog(self, side: str) -> DataFrame:
+        """One row per column of the tables, its fields prefixed by ``side``."""
+        names = ("id", "grp", "table", "column")
+        return local_frame(
+            self.spark,
             self.columns,
-            "id int, source string, table_name string, column_name string, family string",
-        )
+            "id int, grp int, table string, column string, family string",
+        ).withColumnsRenamed({n: f"{side}_{n}" for n in names})
 
 
 def _confidence(rate: Column, either_empty: Column) -> Column:
@@ -103,36 +107,31 @@ def _confidence(rate: Column, either_empty: Column) -> Column:
     )
 
 
-def _pairs(sets: ColumnSets, wanted) -> DataFrame:
-    """Overlap of the wanted ordered column pairs, from schema-sized inputs."""
-    # The column sets are re-used for sizes and overlaps; each is a few rows per schema.
+def _pairs(sets: ColumnSets, both_directions: bool = False) -> DataFrame:
+    """Overlap of all column pairs of one family in different groups, from schema-sized inputs."""
     single = sets.members().select(F.explode("members").alias("id"), "n")
     sizes = single.groupBy("id").agg(F.sum("n").alias("size"))
     both = (
         sets.members()
-        .select(F.explode("members").alias("a"), "members", "n")
-        .select("a", F.explode("members").alias("b"), "n")
-        .groupBy("a", "b")
+        .select(F.explode("members").alias("source_id"), "members", "n")
+        .select("source_id", F.explode("members").alias("target_id"), "n")
+        .groupBy("source_id", "target_id")
         .agg(F.sum("n").alias("overlap_count"))
     )
-    pairs = [
-        (x[0], x[1], x[2], x[3], y[0], y[1], y[2], y[3], is_key_like(x[3]))
-        for x in sets.columns
-        for y in sets.columns
-        if x[4] == y[4] and wanted(x, y)
-    ]
-    grid = sets.spark.createDataFrame(
-        pairs,
-        "a int, source_a string, source_table string, source_column string,"
-        "b int, source_b string, target_table string, target_column string, key_like boolean",
+    order = "source_grp <> target_grp" if both_directions else "source_grp < target_grp"
+    grid = (
+        sets.catalog("source")
+        .join(sets.catalog("target"), "family")
+        .where(order)
+        .withColumn("key_like", key_like(F.col("source_column")))
     )
-    a_size = sizes.select(F.col("id").alias("a"), F.col("size").alias("source_unique"))
-    b_size = sizes.select(F.col("id").alias("b"), F.col("size").alias("target_unique"))
+    source_size = sizes.select(F.col("id").alias("source_id"), F.col("size").alias("source_unique"))
+    target_size = sizes.select(F.col("id").alias("target_id"), F.col("size").alias("target_unique"))
     zero = F.lit(0).cast("bigint")
     out = (
-        grid.join(both, ["a", "b"], "left")
-        .join(a_size, "a", "left")
-        .join(b_size, "b", "left")
+        grid.join(both, ["source_id", "target_id"], "left")
+        .join(source_size, "source_id", "left")
+        .join(target_size, "target_id", "left")
         .withColumns(
             {c: F.coalesce(c, zero) for c in ("overlap_count", "source_unique", "target_unique")}
         )
@@ -166,12 +165,8 @@ def relationships(
 
     Tables are compared in the order given, earlier to later unless ``both_directions``.
     """
-    order = {t: i for i, t in enumerate(tables)}
-
-    def wanted(x, y) -> bool:
-        return order[x[2]] < order[y[2]] or (both_directions and x[2] != y[2])
-
-    pairs = _pairs(ColumnSets(tables), wanted)
+    groups = {t: i for i, t in enumerate(tables)}
+    pairs = _pairs(ColumnSets(tables, groups), both_directions)
     kind = F.when(F.col("match_rate") >= 0.95, "foreign_key").otherwise("foreign_key_candidate")
     return (
         pairs.where((F.col("match_rate") >= min_rate) | F.col("key_like"))
@@ -184,13 +179,12 @@ def cross_source_relationships(
     sources: dict[str, dict[str, DataFrame]], min_rate: float = 0.2
 ) -> DataFrame:
     """Column pairs of tables in different sources; table names carry their source."""
-    tables, source_of = {}, {}
-    for source, members in sources.items():
+    tables, groups = {}, {}
+    for i, (source, members) in enumerate(sources.items()):
         for t, df in members.items():
             tables[f"{source}.{t}"] = df
-            source_of[f"{source}.{t}"] = source
-    order = {s: i for i, s in enumerate(sources)}
-    pairs = _pairs(ColumnSets(tables, source_of), lambda x, y: order[x[1]] < order[y[1]])
+            groups[f"{source}.{t}"] = i
+    pairs = _pairs(ColumnSets(tables, groups))
     kind = F.when(F.col("match_rate") >= 0.7, "foreign_key_candidate").otherwise(
         "possible_relationship"
     )
@@ -209,7 +203,7 @@ def value_overlap(
         "source": source.select(col(source_column).alias("source")),
         "target": target.select(col(target_column).alias("target")),
     }
-    return _pairs(ColumnSets(pair), lambda x, y: x[2] == "source" and y[2] == "target").select(
+    return _pairs(ColumnSets(pair, {"source": 0, "target": 1})).select(
         "match_rate", "overlap_count", "source_unique", "target_unique", "confidence"
     )
 

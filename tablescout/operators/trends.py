@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablescout.functions.local import pin
+from tablescout.functions.sqltext import local_frame
 from tablescout.functions.text import is_key_like, text_key
 from tablescout.functions.types import (
     BOOLEAN,
@@ -412,7 +413,8 @@ def run_trends(spark, tables: dict[str, DataFrame], plans: list[dict]) -> DataFr
 
 
 def _labelled(spark, points: DataFrame, plans: list[dict]) -> DataFrame:
-    labels = spark.createDataFrame(
+    labels = local_frame(
+        spark,
         [
             (i, p["table"], p["column"], p["time"], p["metric"], p["aggregation"], p["granularity"])
             for i, p in enumerate(plans)
@@ -433,7 +435,7 @@ def trend_batch(
 ) -> tuple[DataFrame, DataFrame]:
     """Trends of the given columns, and the columns that have none with the reason."""
     plans, failures = plan_trends(tables, columns, overview, kpis)
-    return run_trends(spark, tables, plans), spark.createDataFrame(failures, _FAILURE)
+    return run_trends(spark, tables, plans), local_frame(spark, failures, _FAILURE)
 
 
 def trend_panel(trends: DataFrame, overview: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablescout.functions.local import pin
-from tablescout.functions.sqltext import ident, inline_rows, label_of
+from tablescout.functions.sqltext import ident, inline_rows, label_of, local_frame
 from tablescout.functions.text import percent_text, text_key
 from tablescout.functions.types import (
     NUMERIC,
@@ -247,7 +247,8 @@ def outlier_counts(tables: dict[str, DataFrame]) -> DataFrame:
                 [{"i": str(i), "v": f"CAST({ident(c)} AS DOUBLE)"} for i, c in enumerate(names)]
             )
         )
-        edges = df.sparkSession.createDataFrame(
+        edges = local_frame(
+            df.sparkSession,
             [(i, low, high) for i, (_, low, high) in enumerate(rows)],
             "i int, lower_bound double, upper_bound double",
         )

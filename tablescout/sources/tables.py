@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablescout.functions.sqltext import local_frame
 from tablescout.functions.types import col, family, union_all
 
 _SCHEMA = "table_name string, ordinal int, column_name string, dtype string, family string"
@@ -39,7 +40,7 @@ def list_tables(
 ) -> DataFrame:
     """Requested tables that exist, or all tables, ordered by name."""
     names = [t for t in sorted(source) if requested is None or t in requested]
-    return spark.createDataFrame([(t,) for t in names], "table_name string").orderBy("table_name")
+    return local_frame(spark, [(t,) for t in names], "table_name string").orderBy("table_name")
 
 
 def table_schema(spark: SparkSession, source: dict[str, DataFrame]) -> DataFrame:
@@ -49,7 +50,7 @@ def table_schema(spark: SparkSession, source: dict[str, DataFrame]) -> DataFrame
         for table, df in source.items()
         for i, f in enumerate(df.schema.fields)
     ]
-    return spark.createDataFrame(rows, _SCHEMA)
+    return local_frame(spark, rows, _SCHEMA)
 
 
 def table_metadata(spark: SparkSession, source: dict[str, DataFrame]) -> DataFrame:
