@@ -81,7 +81,8 @@ def _column_aggregates(name: str, kind: str, fractional: bool) -> dict[str, str]
             "min_value": f"min({c})",
             "max_value": f"max({c})",
             "mean_value": f"avg({d})",
-            "std_value": f"stddev_samp({d})",
+            # One present value has no sample deviation: report 0.
+            "std_value": f"if(count({c}) > 0, coalesce(stddev_samp({d}), 0.0D), NULL)",
             "negative_count": f"count_if({c} < 0)",
             "zero_count": f"count_if({c} = 0)",
         }
@@ -125,14 +126,26 @@ _STAT_TYPES = {
 }
 
 
-def column_stats(tables: dict[str, DataFrame]) -> DataFrame:
-    """One row per column with every statistic that needs no grouping: one scan per table."""
+def column_stats(
+    tables: dict[str, DataFrame],
+    only: list[str] | None = None,
+    families: list[str] | None = None,
+) -> DataFrame:
+    """One row per column with every statistic that needs no grouping: one scan per table.
+
+    ``only`` names the statistics to compute beside the counts of rows and missing values, and
+    ``families`` the kinds of columns to look at; columns left out are not read.
+    """
+    chosen = {s: t for s, t in _STAT_TYPES.items() if only is None or s in only}
     parts = []
     for table, df in tables.items():
         aggregates, rows = ["count(1) AS n"], []
         for i, f in enumerate(df.schema.fields):
             kind = family(f.dataType)
+            if families is not None and kind not in families:
+                continue
             stats = _column_aggregates(f.name, kind, not is_integral(f.dataType))
+            stats = {s: sql for s, sql in stats.items() if s == "present" or s in chosen}
             aggregates += [f"{sql} AS {stat}_{i}" for stat, sql in stats.items()]
             row = {
                 "table_name": literal(table),
@@ -145,18 +158,20 @@ def column_stats(tables: dict[str, DataFrame]) -> DataFrame:
                 "null_count": f"n - present_{i}",
                 "present_count": f"present_{i}",
             }
-            for stat, dtype in _STAT_TYPES.items():
+            for stat, dtype in chosen.items():
                 empty = "0" if dtype == "bigint" else "NULL"
                 value = f"{stat}_{i}" if stat in stats else empty
                 row[stat] = f"coalesce(CAST({value} AS {dtype}), {empty})"
             rows.append(row)
-        wide = nan_to_null(df).selectExpr(*aggregates)
-        parts.append(wide.select(inline_rows(rows)))
-    stats = union_all(parts)
-    # One present value has no sample deviation: report 0.
-    std = F.when(F.col("mean_value").isNotNull(), F.coalesce("std_value", F.lit(0.0)))
+        if rows:
+            wide = nan_to_null(df).selectExpr(*aggregates)
+            parts.append(wide.select(inline_rows(rows)))
+    fields = (
+        "table_name string, column_name string, ordinal int, dtype string, family string,"
+        "integral boolean, row_count bigint, null_count bigint, present_count bigint"
+    ) + "".join(f", {s} {t}" for s, t in chosen.items())
     null_pct = F.coalesce(F.try_divide(F.col("null_count"), F.col("row_count")), F.lit(0.0))
-    return stats.withColumns({"std_value": std, "null_pct": null_pct})
+    return union_all(parts, tables, fields).withColumn("null_pct", null_pct)
 
 
 def numeric_role() -> Column:

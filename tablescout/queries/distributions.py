@@ -132,7 +132,7 @@ CONFLICTING = ["events", "events_mixed", "events_text_time", "orders", "orders_d
 def _conflicts(spark, sf):
     """Conflicts beside the values at stake."""
     tables = i.tables(spark, sf, CONFLICTING)
-    values = column_stats(tables).groupBy("column_name").agg(F.sum("present_count").alias("values"))
+    values = column_stats(tables, []).groupBy("column_name").agg(F.sum("present_count").alias("values"))
     return s.schema_conflicts(table_schema(spark, tables)).join(values, "column_name")
 
 

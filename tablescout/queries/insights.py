@@ -22,7 +22,7 @@ TABLES = ["customer", "events", "lineitem_corr", "orders_dirty", "part"]
 
 def _found_insights(spark, sf):
     tables = i.tables(spark, sf, INSIGHT_INPUTS)
-    return n.missingness_insights(column_stats(tables)).unionByName(
+    return n.missingness_insights(column_stats(tables, [])).unionByName(
         n.correlation_insights(pearson(tables))
     )
 
@@ -32,7 +32,7 @@ def _shown(df):
 
 
 def _missingness(spark, sf):
-    return _shown(n.missingness_insights(column_stats(i.tables(spark, sf, i.PROFILED))))
+    return _shown(n.missingness_insights(column_stats(i.tables(spark, sf, i.PROFILED), [])))
 
 
 def _correlation(spark, sf):

@@ -28,7 +28,7 @@ def _shown(df):
 
 
 def _stats(spark, sf):
-    return column_stats(i.tables(spark, sf, TABLES))
+    return column_stats(i.tables(spark, sf, TABLES), ["min_value", "max_value", "std_value"])
 
 
 def _from_stats(rule):

@@ -13,8 +13,8 @@ QUANTILES = {"p1": 0.01, "p5": 0.05, "p50": 0.5, "p95": 0.95, "p99": 0.99}
 TABLES = i.PROFILED + ["doc_texts"]
 
 
-def _stats(spark, sf):
-    return p.column_stats(i.tables(spark, sf, i.PROFILED))
+def _stats(spark, sf, only=(), families=None):
+    return p.column_stats(i.tables(spark, sf, i.PROFILED), only, families)
 
 
 def _overview(spark, sf):
@@ -37,9 +37,8 @@ def _distinct_profile(spark, sf):
 
 
 def _numeric_stats(spark, sf):
-    stats = _stats(spark, sf).where("family = 'numeric'").select(
-        "table_name", "column_name", "min_value", "max_value", "mean_value", "std_value"
-    )
+    wanted = ["min_value", "max_value", "mean_value", "std_value"]
+    stats = _stats(spark, sf, wanted, ["numeric"]).select("table_name", "column_name", *wanted)
     return i.rounded(stats, 4, "mean_value", "std_value")
 
 
@@ -49,9 +48,8 @@ def _numeric_quantiles(spark, sf):
 
 
 def _datetime_profile(spark, sf):
-    return _stats(spark, sf).where("family = 'datetime'").select(
-        "table_name", "column_name", "min_time", "max_time"
-    )
+    wanted = ["min_time", "max_time"]
+    return _stats(spark, sf, wanted, ["datetime"]).select("table_name", "column_name", *wanted)
 
 
 def _topk_values(spark, sf):

@@ -32,7 +32,7 @@ def _list_tables(spark, sf):
 
 def _table_schema(spark, sf):
     given = i.tables(spark, sf, i.GIVEN)
-    present = column_stats(given).select("table_name", "column_name", "present_count")
+    present = column_stats(given, []).select("table_name", "column_name", "present_count")
     return (
         table_schema(spark, given)
         .join(present, ["table_name", "column_name"])
@@ -86,7 +86,7 @@ def _all_column_profiles(spark, sf):
 
 def _insights(spark, sf):
     tables = i.tables(spark, sf, ["lineitem_corr", "orders_dirty"])
-    found = missingness_insights(column_stats(tables)).unionByName(
+    found = missingness_insights(column_stats(tables, [])).unionByName(
         correlation_insights(pearson(tables))
     )
     return rank_insights(found)
@@ -100,7 +100,7 @@ def _sink_roundtrip(spark, sf):
     """Findings written as JSON and read again; the folder is the session's shared one if set."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     folder = f"{shared or tempfile.gettempdir()}/findings-{spark.sparkContext.applicationId}"
-    stats = column_stats(i.tables(spark, sf, i.CORE)).select(
+    stats = column_stats(i.tables(spark, sf, i.CORE), []).select(
         "table_name", "column_name", "row_count", "null_count"
     )
     write_findings({"stats": stats}, folder, fmt="json", by_table=True)

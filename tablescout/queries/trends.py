@@ -85,7 +85,9 @@ def _primary_time(spark, sf):
 
 
 def _time_columns(spark, sf):
-    stats = column_stats(i.tables(spark, sf, i.PROFILED))
+    stats = column_stats(
+        i.tables(spark, sf, i.PROFILED), ["min_time", "max_time"], ["datetime"]
+    )
     return t.time_columns(stats).join(
         stats.select("table_name", "column_name", "present_count", "min_time", "max_time"),
         ["table_name", "column_name"],

@@ -30,16 +30,16 @@ def _shown(df):
     return i.rounded(df.select(*COLUMNS), 6, "pct_bad")
 
 
-def _stats(spark, sf, names=TABLES):
-    return column_stats(i.tables(spark, sf, names))
+def _stats(spark, sf, only, families=None):
+    return column_stats(i.tables(spark, sf, TABLES), only, families)
 
 
-def _from_stats(check):
-    return lambda spark, sf: _shown(check(_stats(spark, sf)))
+def _from_stats(check, stat, families=None):
+    return lambda spark, sf: _shown(check(_stats(spark, sf, [stat], families)))
 
 
 def _empty_strings(spark, sf):
-    return i.rounded(v.blank_strings(_stats(spark, sf)), 6, "blank_pct")
+    return i.rounded(v.blank_strings(_stats(spark, sf, ["blank_count"], ["text"])), 6, "blank_pct")
 
 
 DUPLICATED = TABLES + ["doc_texts"]
@@ -85,17 +85,17 @@ def _panel(spark, sf):
 
 
 QUERIES = {
-    "check_completeness": _from_stats(v.completeness),
+    "check_completeness": _from_stats(v.completeness, "blank_count"),
     "check_empty_strings": _empty_strings,
     "check_duplicate_rows": _duplicates,
     "check_key_uniqueness": _key_uniqueness,
     "check_referential_integrity": _referential,
     "check_iqr_outliers": _outliers,
-    "check_negative_values": _from_stats(v.negative_values),
-    "check_zero_values": _from_stats(v.zero_values),
-    "check_date_like_strings": _from_stats(v.date_like_strings),
-    "check_email_like_strings": _from_stats(v.email_like_strings),
-    "check_mixed_types": _from_stats(v.mixed_types),
+    "check_negative_values": _from_stats(v.negative_values, "negative_count", ["numeric"]),
+    "check_zero_values": _from_stats(v.zero_values, "zero_count", ["numeric"]),
+    "check_date_like_strings": _from_stats(v.date_like_strings, "date_like_count", ["text"]),
+    "check_email_like_strings": _from_stats(v.email_like_strings, "email_like_count", ["text"]),
+    "check_mixed_types": _from_stats(v.mixed_types, "number_like_count", ["text"]),
     "validation_report": lambda spark, sf: _shown(_report(spark, sf)),
     "validation_summary": lambda spark, sf: v.validation_summary(_report(spark, sf)),
     "validation_panel": _panel,
