@@ -1,8 +1,11 @@
-"""Schema-sized facts on the driver."""
+"""Results that several later steps read: schema-sized facts, and findings on shared storage."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, SparkSession
 
 from tablescout.functions.sqltext import local_frame
 
@@ -14,3 +17,22 @@ def pin(df: DataFrame) -> DataFrame:
     that reads the facts would scan the tables again.
     """
     return local_frame(df.sparkSession, df.collect(), df.schema)
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder on the storage that the session names for checkpoints.
+
+    Only where none is named, as in local tests, is it a temporary folder of this machine.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared or tempfile.gettempdir()}/tablescout-{uuid4().hex}"
+
+
+def settle(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """Write findings once and read them from there, so that later steps do not scan again.
+
+    The files outlive any executor.
+    """
+    path = f"{folder}/{name}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -91,7 +91,10 @@ def _from_rules(columns: DataFrame, rules: list[Column]) -> DataFrame:
 
 
 def numeric_kpis(stats: DataFrame) -> DataFrame:
-    """Distinct count for key-like names, otherwise sum, average, count and percentage."""
+    """Distinct count for key-like names, otherwise sum, average, count and percentage.
+
+    The formula and description formats and the relevances here and below are fixed values.
+    """
     low, high = F.col("min_value"), F.col("max_value")
     key, plain = key_like(F.col("column_name")), ~key_like(F.col("column_name"))
     numeric = stats.where((F.col("family") == NUMERIC) & (F.col("present_count") > 0))

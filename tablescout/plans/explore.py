@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescout.functions.local import pin
+from tablescout.functions.local import pin, settle, work_folder
 from tablescout.functions.types import NUMERIC, names_of
 from tablescout.operators.correlate import column_correlates, pearson, spearman
 from tablescout.operators.insights import (
@@ -40,30 +40,41 @@ def explore(
     tables: dict[str, DataFrame],
     found: DataFrame | None = None,
     top_columns: int = 10,
+    folder: str | None = None,
 ) -> dict[str, DataFrame]:
-    """Every analysis of one source. ``found`` replaces the relationships within the source."""
+    """Every analysis of one source. ``found`` replaces the relationships within the source.
+
+    Findings that others build on are computed once and kept in ``folder``, by default below
+    the session's checkpoint folder.
+    """
+    folder = work_folder(spark) if folder is None else folder
+
+    def once(name: str, df: DataFrame) -> DataFrame:
+        return settle(df, folder, name)
+
     overview = pin(column_overview(tables))
+    profile = once("table_profile", table_profile(tables))
     numeric = {t: df for t, df in tables.items() if len(names_of(df, NUMERIC)) > 1}
-    correlations = pearson(numeric)
-    found = relationships(tables) if found is None else found
-    report = validation_report(tables, stats=overview)
-    kpis = kpi_suggestions(tables, overview)
+    correlations = once("pearson", pearson(numeric or tables))
+    found = once("relationship", relationships(tables) if found is None else found)
+    report = once("validation", validation_report(tables, stats=overview, profile=profile))
+    kpis = once("kpi", kpi_suggestions(tables, overview))
     insights = rank_insights(
         missingness_insights(overview).unionByName(correlation_insights(correlations))
     )
-    priority = column_priority(overview, insights, kpis, found)
+    priority = once("column_priority", column_priority(overview, insights, kpis, found))
     chosen = [
         (r["table_name"], r["column_name"])
         for r in top_priority_columns(priority, top_columns).collect()
     ]
     trends, failures = trend_batch(spark, tables, chosen, overview, kpis)
-    tasks = organize_tasks(insights, found, report, kpis)
+    tasks = once("task", organize_tasks(insights, found, report, kpis))
     return {
-        "table_profile": table_profile(tables),
+        "table_profile": profile,
         "column_overview": overview,
         "column_quantiles": column_quantiles(tables, QUANTILES),
         "top_values": top_values(tables),
-        "correlation": correlations.unionByName(spearman(numeric)),
+        "correlation": correlations.unionByName(spearman(numeric or tables)),
         "column_correlates": column_correlates(correlations),
         "validation": report,
         "validation_summary": validation_summary(report),

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
+from tablescout.functions.local import work_folder
 from tablescout.operators.correlate import pearson
 from tablescout.operators.insights import correlation_insights, missingness_insights, rank_insights
 from tablescout.operators.profile import column_overview, column_stats
@@ -98,8 +97,7 @@ def _insight_lines(spark, sf):
 
 def _sink_roundtrip(spark, sf):
     """Findings written as JSON and read again; the folder is the session's shared one if set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    folder = f"{shared or tempfile.gettempdir()}/findings-{spark.sparkContext.applicationId}"
+    folder = work_folder(spark)
     stats = column_stats(i.tables(spark, sf, i.CORE), []).select(
         "table_name", "column_name", "row_count", "null_count"
     )

@@ -12,6 +12,7 @@ from tablescout.operators.associate import associations, column_entropy
 from tablescout.operators.drift import ks_statistic
 from tablescout.operators.ordering import cumulative, range_edges
 from tablescout.operators.profile import column_stats, table_profile
+from tablescout.operators.validate import referential_integrity
 
 
 def stats(df):
@@ -219,3 +220,37 @@ def test_ks_of_disjoint_and_equal_samples(spark):
     high = low.select((F.col("v") + 100).alias("v"))
     assert ks_statistic(low, "v", high, "v").first()["ks"] == 1.0
     assert ks_statistic(low, "v", low, "v").first()["ks"] == 0.0
+
+
+def test_hot_values_change_nothing(spark):
+    """One value and one key hold more than a third of the rows."""
+    rng = random.Random(5)
+    rows = [
+        (7 if n % 5 < 2 else rng.randint(0, 900), 0.5 if n % 2 else rng.random(), n % 11)
+        for n in range(6000)
+    ]
+    hot = spark.createDataFrame(rows, "k int, v double, w int").repartition(6)
+    keys = spark.createDataFrame([(k,) for k in range(0, 1000, 2)], "k bigint")
+
+    def ranks(values):
+        place, total = {}, 0
+        for value in sorted(set(values)):
+            count = values.count(value)
+            place[value] = total + (count + 1) / 2
+            total += count
+        return [place[value] for value in values]
+
+    def correlation(x, y):
+        mx, my = sum(x) / len(x), sum(y) / len(y)
+        top = sum((a - mx) * (b - my) for a, b in zip(x, y))
+        return top / (sum((a - mx) ** 2 for a in x) * sum((b - my) ** 2 for b in y)) ** 0.5
+
+    k, v, _ = (list(column) for column in zip(*rows))
+    got = {(x["col_a"], x["col_b"]): x["r"] for x in c.spearman({"t": hot}).collect()}
+    assert got[("k", "v")] == pytest.approx(correlation(ranks(k), ranks(v)), abs=1e-9)
+    cover = r.join_coverage(hot, "k", keys, "k").first()
+    assert cover["matched_rows"] == sum(1 for key in k if key % 2 == 0)
+    overlap = r.value_overlap(hot, "k", keys, "k").first()
+    assert overlap["overlap_count"] == len({key for key in k if key % 2 == 0})
+    missing = len({key for key in k if key % 2})
+    assert referential_integrity(hot, "k", keys, "k", "hot", "keys").first()["n_bad"] == missing
