@@ -6,7 +6,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescout.llm import byte_bpe, packing
+from tablescout.llm import byte_bpe, packing, simhash
 from tablescout.llm.frames import work_folder
 
 SEQUENCE_TOKENS, END_ID = 1024, 2
@@ -42,8 +42,13 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(documents(spark, sf_dir))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir), work_folder(spark, "simhash"))
+
+
 QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op7_simhash": op7_simhash,
 }
 SQL: dict[str, str] = {}
