@@ -6,7 +6,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescout.llm import byte_bpe, packing, simhash
+from tablescout.llm import byte_bpe, embedding_neardup, packing, simhash
 from tablescout.llm.frames import work_folder
 
 SEQUENCE_TOKENS, END_ID = 1024, 2
@@ -16,10 +16,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return embedding_neardup.near_duplicates(vectors, work_folder(spark, "embeddings"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.tiktoken")
-    encoded = byte_bpe.encode(documents(spark, sf_dir), path, columns=["doc_id"])
-    return byte_bpe.decode(encoded, path).select(
+    return byte_bpe.round_trip(documents(spark, sf_dir), path, columns=["doc_id"]).select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
@@ -47,6 +51,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_embedding_neardup": op1_embedding_neardup,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op7_simhash": op7_simhash,
