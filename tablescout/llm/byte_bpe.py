@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tablescout.llm.frames import attach, once, text_chunks
 
-CACHED_WORDS = 600_000  # words whose ids a worker remembers
+CACHED_WORDS = 200_000  # words whose ids a worker remembers
 CACHED_BYTES = 64  # longer words are merged anew each time
 NO_PAIR = 1 << 40
 
@@ -361,6 +361,24 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     return attach(df, {out: once(raw, "binary")(F.col(f"`{ids}`"))})
 
 
+def round_trip(df: DataFrame, path: str, text: str = "text", columns: list[str] | None = None):
+    """``df`` (or ``columns`` of it) with ``ids`` as of `encode` and ``decoded`` as of `decode`.
+
+    Both in one Python worker, which holds one vocabulary and one batch, where the two
+    operators in a row would hold two of each.
+    """
+
+    def both(texts: pd.Series) -> pd.DataFrame:
+        one = codec(path)
+        ids = one.encode([t or "" for t in texts])
+        raw = [one.decode(np.frombuffer(b, "<u4")) for b in ids]
+        return pd.DataFrame({"ids": ids, "decoded": raw}, dtype=object)
+
+    found = attach(df, {"_t": once(both, "ids binary, decoded binary")(F.col(f"`{text}`"))}, columns)
+    kept = [c for c in found.columns if c.lower() not in ("_t", "ids", "decoded")]
+    return found.select(*[F.col(f"`{c}`") for c in kept], "_t.ids", "_t.decoded")
+
+
 def token_offsets(df: DataFrame, path: str, ids: str = "ids", out: str = "offsets") -> DataFrame:
     """``df`` with the byte offset of each token in its text, as ``array<long>``."""
 

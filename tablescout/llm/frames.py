@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_CHARS = 1_000_000  # texts are handled in groups of about this many characters
+CHUNK_CHARS = 500_000  # texts are handled in groups of about this many characters
 
 
 def attach(df: DataFrame, results: dict[str, Column], keep: list[str] | None = None) -> DataFrame:
