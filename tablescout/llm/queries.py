@@ -6,7 +6,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescout.llm import byte_bpe, embedding_neardup, packing, simhash
+from tablescout.llm import byte_bpe, embedding_neardup, language_id, packing, simhash
 from tablescout.llm.frames import work_folder
 
 SEQUENCE_TOKENS, END_ID = 1024, 2
@@ -46,6 +46,25 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(documents(spark, sf_dir))
 
 
+def with_remainder(docs: DataFrame, modulus: int) -> DataFrame:
+    return docs.withColumn(
+        "_part", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus))
+    )
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_remainder(documents(spark, sf_dir), 4)
+    model = language_id.fit(docs.where("_part <> 2"))
+    found = language_id.identify(docs, model, columns=["doc_id", "_part"])
+    return found.select(
+        "doc_id",
+        F.coalesce(F.col("_part") == 2, F.lit(False)).alias("held_out"),
+        "lang_pred",
+        "score",
+        "rejected",
+    )
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), work_folder(spark, "simhash"))
 
@@ -54,6 +73,7 @@ QUERIES = {
     "op1_embedding_neardup": op1_embedding_neardup,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_language_id": op6_language_id,
     "op7_simhash": op7_simhash,
 }
 SQL: dict[str, str] = {}
