@@ -6,7 +6,14 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescout.llm import byte_bpe, embedding_neardup, language_id, packing, simhash
+from tablescout.llm import (
+    byte_bpe,
+    embedding_neardup,
+    language_id,
+    packing,
+    quality_rules,
+    simhash,
+)
 from tablescout.llm.frames import work_folder
 
 SEQUENCE_TOKENS, END_ID = 1024, 2
@@ -69,11 +76,17 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), work_folder(spark, "simhash"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality_rules.judge(docs, quality_rules.references(docs), columns=["doc_id"])
+
+
 QUERIES = {
     "op1_embedding_neardup": op1_embedding_neardup,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_language_id": op6_language_id,
     "op7_simhash": op7_simhash,
+    "op9_quality_rules": op9_quality_rules,
 }
 SQL: dict[str, str] = {}
