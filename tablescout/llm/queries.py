@@ -11,6 +11,7 @@ from tablescout.llm import (
     embedding_neardup,
     language_id,
     packing,
+    quality_classifier,
     quality_rules,
     simhash,
 )
@@ -28,6 +29,18 @@ def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_neardup.near_duplicates(vectors, work_folder(spark, "embeddings"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_remainder(documents(spark, sf_dir), 3)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality_classifier.fit(docs.where("_part <> 1"), labels)
+    return quality_classifier.score(docs, model, columns=["doc_id", "_part"]).select(
+        "doc_id",
+        F.coalesce(F.col("_part") == 1, F.lit(False)).alias("held_out"),
+        "score",
+        "predicted",
+    )
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.tiktoken")
     return byte_bpe.round_trip(documents(spark, sf_dir), path, columns=["doc_id"]).select(
@@ -83,6 +96,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_embedding_neardup": op1_embedding_neardup,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_language_id": op6_language_id,
