@@ -10,10 +10,13 @@ from tablescout.llm import (
     byte_bpe,
     embedding_neardup,
     language_id,
+    license_scan,
     packing,
+    pii,
     quality_classifier,
     quality_rules,
     simhash,
+    warc,
 )
 from tablescout.llm.frames import work_folder
 
@@ -66,6 +69,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(documents(spark, sf_dir))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(documents(spark, sf_dir), columns=["doc_id"]).drop("matches")
+
+
 def with_remainder(docs: DataFrame, modulus: int) -> DataFrame:
     return docs.withColumn(
         "_part", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus))
@@ -89,18 +96,157 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), work_folder(spark, "simhash"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = pii.detect(docs, pii.fit(docs), columns=["doc_id"], redact=False)
+    base = F.filter("pii", lambda s: s["base"])
+
+    def named(spans):
+        one = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
+        return F.array_join(F.transform(spans, one), ",")
+
+    def count(kind):
+        mine = F.filter("pii", lambda s: s["base"] & (s["kind"] == kind))
+        return F.size(mine).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in pii.KINDS[: pii.BASE_KINDS]]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(named(base), 256).alias("base_sha256"),
+        named(F.col("pii")).alias("spans"),
+    )
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality_rules.judge(docs, quality_rules.references(docs), columns=["doc_id"])
 
 
+def exchanges(pages: DataFrame) -> DataFrame:
+    """Records of an archive, derived from the pages: each page is fetched, and two thirds of
+    them are asked for again, 0 to 4 days later, and found not modified.
+
+    Validators are missing or outdated in fixed shares of the records.
+    """
+    p, quoted = F.col("page_id"), F.concat(F.lit('"'), F.md5("html"), F.lit('"'))
+    at = F.lit(1_600_000_000) + p * 7919 % 1_000_003
+    changed = F.when(p % 6 != 0, F.concat(F.lit("t"), at))
+
+    def headers(**fields):
+        pairs = [x for k, v in fields.items() for x in (F.lit(k.replace("_", "-")), v)]
+        return F.create_map(*pairs)
+
+    first = pages.select(
+        (p * 2).alias("record_id"),
+        "url",
+        at.alias("ts"),
+        F.lit(200).alias("status"),
+        F.when(p % 11 != 0, quoted).alias("etag"),
+        changed.alias("last_modified"),
+        headers(
+            cache_control=F.lit("max-age=60"),
+            content_length=F.length("html").cast("string"),
+            content_type=F.lit("text/html"),
+            date=at.cast("string"),
+        ).alias("headers"),
+    )
+    later = at + p % 5 * 86_400
+    again = pages.where(p % 3 != 2).select(
+        (p * 2 + 1).alias("record_id"),
+        F.concat("url", F.lit("#again")).alias("url"),
+        later.alias("ts"),
+        F.lit(304).alias("status"),
+        F.when(p % 7 == 0, F.lit('"stale"'))
+        .when(p % 4 != 0, F.concat(F.lit("W/"), quoted))
+        .alias("etag"),
+        changed.alias("last_modified"),
+        headers(
+            cache_control=F.lit("max-age=3600"),
+            content_length=F.lit("0"),
+            date=later.cast("string"),
+            set_cookie=F.lit("a=1"),
+        ).alias("headers"),
+    )
+    return first.unionByName(again)
+
+
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = exchanges(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    pair = lambda e: F.concat_ws("=", e["key"], e["value"])
+    listed = F.array_sort(F.map_entries("headers"))
+    return warc.resolve_revisits(records, work_folder(spark, "warc")).select(
+        "record_id",
+        "url_key",
+        "refers_to",
+        "outcome",
+        F.array_join(F.transform(listed, pair), "; ").alias("headers"),
+    )
+
+
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, url, 1600000000 + page_id * 7919 % 1000003 AS ts_first, length(html) AS size,
+    '"' || md5(html) || '"' AS tag
+  FROM pages
+), records AS (
+  SELECT page_id * 2 AS record_id, url, ts_first AS ts, 1 AS is_full,
+    CASE WHEN page_id % 11 <> 0 THEN tag END AS etag,
+    CASE WHEN page_id % 6 <> 0 THEN 't' || ts_first END AS changed, size
+  FROM p
+  UNION ALL
+  SELECT page_id * 2 + 1, url, ts_first + page_id % 5 * 86400, 0,
+    CASE WHEN page_id % 7 = 0 THEN '"stale"' WHEN page_id % 4 <> 0 THEN tag END,
+    CASE WHEN page_id % 6 <> 0 THEN 't' || ts_first END, 0
+  FROM p WHERE page_id % 3 <> 2
+), bare AS (
+  SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''),
+    '^[A-Za-z][A-Za-z0-9+.-]*://([^/?@]*@)?', '') AS b
+  FROM records
+), parts AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(b, '^[^/?]*')), '^www[.]', ''),
+      ':(80|443)$', '') AS host,
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, '^[^/?]*', ''),
+      '([?&])(utm_[a-z]+|ref)=[^&]*', '\\1', 'g'), '&+', '&', 'g'), '[?]&', '?', 'g') AS rest
+  FROM bare
+), keyed AS (
+  SELECT *, host || regexp_replace(regexp_replace(rest, '[?&]+$', ''), '/+$', '') AS url_key
+  FROM parts
+), held AS (
+  SELECT *, last(CASE WHEN is_full = 1
+      THEN {'id': record_id, 'etag': etag, 'changed': changed, 'size': size} END IGNORE NULLS)
+    OVER (PARTITION BY url_key ORDER BY ts, is_full, record_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS original
+  FROM keyed
+), judged AS (
+  SELECT record_id, url_key, original.id AS refers_to, ts, original.size AS size,
+    CASE WHEN original IS NULL THEN 'no_original'
+      WHEN etag IS NOT NULL AND original.etag IS NOT NULL
+        THEN CASE WHEN etag = original.etag THEN 'resolved' ELSE 'mismatch' END
+      WHEN changed IS NOT NULL AND original.changed IS NOT NULL
+        THEN CASE WHEN changed = original.changed THEN 'resolved' ELSE 'mismatch' END
+      ELSE 'unverified' END AS outcome
+  FROM held WHERE is_full = 0
+)
+SELECT record_id, url_key, refers_to, outcome,
+  CASE WHEN outcome = 'resolved'
+    THEN 'cache-control=max-age=3600; content-length=' || size ||
+      '; content-type=text/html; date=' || ts
+    ELSE 'cache-control=max-age=3600; content-length=0; date=' || ts || '; set-cookie=a=1'
+  END AS headers
+FROM judged
+"""
+
 QUERIES = {
     "op1_embedding_neardup": op1_embedding_neardup,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_license_scan": op5_license_scan,
     "op6_language_id": op6_language_id,
     "op7_simhash": op7_simhash,
+    "op8_pii": op8_pii,
     "op9_quality_rules": op9_quality_rules,
+    "op10_warc_revisits": op10_warc_revisits,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op10_warc_revisits": WARC_SQL}
