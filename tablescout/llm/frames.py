@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from uuid import uuid4
 
 import numpy as np
@@ -34,11 +36,14 @@ def once(function, kind: str):
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the one that the session names in ``spark.checkpoint.dir``.
 
-    Raises where none is named: executors do not share the driver's folders.
+    Where none is named, a session within one process gets a temporary folder; on a cluster,
+    whose executors do not share the driver's folders, that is an error.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.gettempdir()
     return f"{shared.rstrip('/')}/{name}-{uuid4().hex}"
 
 
