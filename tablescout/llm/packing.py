@@ -168,7 +168,7 @@ def pack(pieces: DataFrame, capacity: int, folder: str, length: str = "length")
     }
     rows = _intervals(packing_plan(histogram, capacity))
     plan = spark.createDataFrame(
-        pd.DataFrame(rows, columns=["_l", "_low", "_high", "_copies", "_seq", "_at"], dtype="int64")
+        rows, "_l long, _low long, _high long, _copies long, _seq long, _at long"
     )
     buckets = max(128, -(-sum(histogram.values()) // ROWS_IN_BUCKET))
     numbered = pieces.withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.lit(buckets)))

@@ -1,0 +1,229 @@
+"""Language, quality, rules, licenses and personal data on small and odd texts."""
+
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tablescout.llm import language_id, license_scan, pii, quality_classifier, quality_rules
+from tablescout.llm.text_stats import repeated_lines, repeated_words, split_words
+
+WORDS = {
+    "en": "the of and to in that was with from this house water small river morning".split(),
+    "fr": "le la les des une pour dans avec est que maison rivière petite matin eau".split(),
+}
+ODD = [None, "", " \n ", "123 ... !!", " ", "x" * 20000, "a\nb\na\n\n", "🎉 é", "word " * 3000]
+
+
+def corpus(n=80, seed=1):
+    draw = random.Random(seed)
+    rows = []
+    for i in range(n):
+        lang = "fr" if i % 2 else "en"
+        words = draw.choices(WORDS[lang], k=draw.randint(60, 120))
+        poor = i % 5 == 0
+        text = " ".join(w + "###" if poor else w for w in words) + "."
+        rows.append((i, text, lang, 0 if poor else 1))
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, lang, "s") for i, t, lang, _ in corpus()]
+    rows += [(1000 + k, t, None, "s") for k, t in enumerate(ODD)] + [(0, rows[0][1], "en", "s")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, SCORE string").cache()
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    rows = [(i, q) for i, _, _, q in corpus()] + [(None, 1), (3, None), (1, 7)]
+    return spark.createDataFrame(rows, "doc_id long, quality int")
+
+
+def test_language(spark, docs):
+    model = language_id.fit(docs.where("doc_id % 4 <> 2"))
+    assert [name for name, _ in model.content] == ["en", "fr"]
+    got = language_id.identify(docs, model)
+    assert got.columns == ["doc_id", "text", "lang", "lang_pred", "score", "rejected"]
+    rows = got.collect()
+    assert len(rows) == docs.count()
+    held = [r for r in rows if r["doc_id"] < 1000 and r["doc_id"] % 4 == 2]
+    assert all(r["lang_pred"] == r["lang"] and not r["rejected"] for r in held)
+    for r in rows:
+        assert 0 <= r["score"] <= 1
+        if not r["text"] or not any(c.isalpha() for c in r["text"]):
+            assert (r["lang_pred"], r["rejected"]) == ("und", True)
+        else:
+            assert r["lang_pred"] in ("en", "fr")
+    nothing = language_id.fit(docs.limit(0))
+    assert {r["lang_pred"] for r in language_id.identify(docs, nothing).collect()} == {"und"}
+
+
+def test_quality_classifier(docs, labels):
+    model = quality_classifier.fit(docs.where("doc_id % 3 <> 1"), labels)
+    assert 0 < len(model.rules) < 60
+    got = quality_classifier.score(docs, model)
+    assert got.columns == ["doc_id", "text", "lang", "score", "predicted"]
+    rows, truth = got.collect(), {i: q for i, _, _, q in corpus()}
+    held = [r for r in rows if r["doc_id"] in truth and r["doc_id"] % 3 == 1]
+    assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in held]) > 0.95
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
+    # the compiled expression equals the rules evaluated by hand
+    table = quality_classifier.statistics([r["text"] for r in rows]).to_numpy()
+    total = model.intercept + sum(
+        w * rule.on(table) for rule, w in zip(model.rules, model.weights, strict=True)
+    )
+    assert np.allclose([r["score"] for r in rows], 1 / (1 + np.exp(-total)))
+
+
+def test_quality_without_labels(docs, labels):
+    model = quality_classifier.fit(docs, labels.limit(0))
+    assert model.rules == () and model.intercept == 0.0
+    assert {r["score"] for r in quality_classifier.score(docs, model).collect()} == {0.5}
+    assert quality_classifier.score(docs.limit(0), model).count() == 0
+
+
+def slow_repeated(words):
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    counts = Counter(windows)
+    return len({i + k for i, w in enumerate(windows) if counts[w] > 1 for k in range(3)})
+
+
+def test_repeated_words():
+    draw = random.Random(2)
+    for _ in range(300):
+        words = draw.choices("abc", k=draw.randint(0, 14))
+        assert repeated_words(words) == slow_repeated(words)
+    assert split_words("a b \x0bc d\n") == ["a b", "c d"]
+    assert repeated_lines("a\nb\na\n \n \n \n ") == (2, 5)
+
+
+def test_quality_rules(docs):
+    known = quality_rules.references(docs)
+    assert known.languages == ("en", "fr")
+    assert set(known.words[1]) >= set(WORDS["fr"])
+    english = Counter(w for _, t, lang, _ in [*corpus(), corpus()[0]] if lang == "en" for w in t.split())
+    word, n = min(english.items(), key=lambda x: (-x[1], x[0]))
+    assert known.words[0][0] == word
+    assert math.isclose(known.shares[0][0], n / sum(english.values()))
+    got = quality_rules.judge(docs, known, columns=["doc_id", "text"]).collect()
+    for r in got:
+        text = r["text"] or ""
+        words = [w for w in re.split("[\x20\x09-\x0d]+", text) if w]
+        repeated = slow_repeated(words)
+        lines = [x for x in text.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+        assert r["n_words"] == len(words)
+        assert r["word_chars"] == sum(map(len, words))
+        assert r["n_symbols"] == len(re.findall("[#*$%&|<>]", text))
+        assert r["n_dup_lines"] == len(lines) - len(set(lines))
+        assert r["n_repeat_words"] == repeated
+        assert r["base_failed"] == (len(words) < 50 or 100 * repeated > 50 * len(words))
+        assert not (r["kept"] and r["base_failed"])
+    bare = quality_rules.judge(docs, quality_rules.references(docs.limit(0)))
+    assert bare.where(F.col("kept") == F.col("base_failed")).count() == 0
+
+
+def test_distance():
+    p, q = np.array([1.0, 0.0]), np.array([0.0, 1.0])
+    assert quality_rules.js_distance(p, q) == 1 and quality_rules.js_distance(p, p) == 0
+
+
+LICENSES = {
+    "Licensed under the Apache License, Version 2.0.": ("", "apache-2.0", 1.0),
+    "Licensed under a CC BY-NC 4.0": ("cc-by", "cc-by,cc-by-nc-4.0", 1.0),
+    "Licensed under the Apache Software License, Version 2.0": ("", "", 0.0),
+    "GNU General Public License. All rights reserved": ("gpl,reserved", "gpl,reserved", 0.5),
+    "Copyright (c) 2019 Some Body Ltd. All Rights Reserved.": ("reserved", "proprietary,reserved", 1.0),
+    "Copyright " + "x " * 14 + "all rights reserved": ("reserved", "reserved", 0.5),
+    "GNU Library General Public License": ("gpl", "gpl,lgpl", 1.0),
+}
+
+
+def test_licenses(spark):
+    texts = [*LICENSES, None, "", "CC-BY cc.by ccby éccé by", "all rights " * 5000]
+    df = spark.createDataFrame([(t, 1) for t in [*texts, texts[0]]], "text string, LABELS int")
+    rows = license_scan.licenses(df).collect()
+    assert len(rows) == len(texts) + 1
+    got = {r["text"]: r for r in rows}
+    for text, want in LICENSES.items():
+        assert (got[text]["base_labels"], got[text]["labels"], got[text]["score"]) == want
+    for text in texts:
+        folded = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", folded)
+        at = [
+            i
+            for p in license_scan.PHRASES
+            for i in range(len(words))
+            if words[i : i + len(p.split())] == p.split()
+        ]
+        r = got[text]
+        assert (r["n_words"], r["n_base"]) == (len(words), len(at))
+        assert (r["first_word"], r["last_word"]) == (min(at, default=None), max(at, default=None))
+    assert license_scan.licenses(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        license_scan.Automaton("[[the]] license")
+
+
+PATTERNS = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    ("card", r"[0-9]([\x20-]?[0-9])+"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+]
+
+
+def slow_base(text):
+    out = []
+    for k, (kind, pattern) in enumerate(PATTERNS):
+        for m in re.finditer(pattern, text):
+            digits = [int(c) for c in m[0] if c in "0123456789"]
+            doubled = [d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(digits[::-1])]
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+                continue
+            if kind == "card" and not (12 <= len(digits) <= 19 and sum(doubled) % 10 == 0):
+                continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def test_base_spans():
+    draw = random.Random(7)
+    for _ in range(6000):
+        text = "".join(draw.choices("0123 4+.-()@ab", k=draw.randint(0, 40)))
+        assert pii.base_spans(text) == slow_base(text), text
+    cards = "4111 1111 1111 1111 x 1.2.3.4.5.6.7.8 a.b@c.d@e.f +1 (555) 010-0199 00.0.0.256"
+    assert pii.base_spans(cards) == slow_base(cards)
+    assert pii.base_spans("a" * 200_000 + "1" * 4000 + "." * 1000 + "@" * 1000) == []
+
+
+def test_personal_data(spark):
+    draw = random.Random(9)
+    texts = [f"word {i} mail: user{i}@site.org and some more text" for i in range(40)]
+    texts += ["token = \"%040x\" end" % draw.getrandbits(160) for _ in range(40)]
+    texts += [f"call {draw.randint(200, 999)}-555-0{draw.randint(100, 199)} now" for _ in range(40)]
+    texts += ["version 1.2.3.4 of it", "000-000-0000", "Dr. Anna Miller wrote", None, "", "plain words only"]
+    rows = [(i, t, "p") for i, t in enumerate([*texts, texts[0]])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, PII string")
+    model = pii.fit(df)
+    got = pii.detect(df, model)
+    assert got.columns == ["doc_id", "text", "pii", "redacted"]
+    rows = got.collect()
+    assert len(rows) == len(texts) + 1
+    for r in rows:
+        kinds = [s["kind"] for s in r["pii"]]
+        base = [(s["start"], pii.KINDS.index(s["kind"]), s["end"]) for s in r["pii"] if s["base"]]
+        assert base == slow_base(r["text"] or "")
+        if r["text"] and "token" in r["text"]:
+            assert kinds == ["secret"] and r["redacted"] == 'token = "<SECRET>" end'
+        if r["text"] and r["text"].startswith("call"):
+            assert kinds == ["phone"]
+        if not r["text"] or "plain" in r["text"]:
+            assert not kinds and r["redacted"] == r["text"]
+    assert pii.detect(df, pii.fit(df.limit(0))).where("size(pii) > 0").count() >= 40
+    assert dict(model.reliability)["rule"] > 0.5
