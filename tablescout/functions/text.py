@@ -1,4 +1,4 @@
-"""Text rules: key-like names, number-like and blank values, percent text, value keys."""
+"""Text rules: key-like names, number-like and blank values, percent text."""
 
 from __future__ import annotations
 
@@ -11,15 +11,13 @@ from pyspark.sql import functions as F
 KEY_SUFFIXES = ["_id", "_code", "_key", "_pk", "_fk"]
 KEY_NAMES = ["id", "code", "key"]
 
+# The characters that make a text look like a date.
 DATE_MARKS = ["-", "/", "T"]
 BLANK_PATTERN = r"^\s*$"
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 ISO_DATE_PATTERN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
 KEY_PATTERN = "(" + "|".join(KEY_SUFFIXES) + ")$|^(" + "|".join(KEY_NAMES) + ")$"
 
-# Texts longer than this are grouped, compared and shuffled by their md5 instead of in full.
-KEY_TEXT_LENGTH = 64
-
 
 def is_key_like(name: str) -> bool:
     return re.search(KEY_PATTERN, name.lower()) is not None
@@ -29,16 +27,6 @@ def key_like(name: Column) -> Column:
     return F.lower(name).rlike(KEY_PATTERN)
 
 
-def text_key(c: Column) -> Column:
-    """A short stand-in for a text: itself when short, its md5 when long."""
-    return F.when(F.length(c) > KEY_TEXT_LENGTH, F.md5(c)).otherwise(c)
-
-
-def text_key_sql(c: str) -> str:
-    """``text_key`` as SQL text."""
-    return f"if(length({c}) > {KEY_TEXT_LENGTH}, md5({c}), {c})"
-
-
 def percent_text(part: Column, whole: Column) -> Column:
     """``part / whole`` as text with one decimal, e.g. ``12.5%``; 0.0% for an empty whole."""
     tenths = F.coalesce(

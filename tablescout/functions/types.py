@@ -70,3 +70,14 @@ def union_all(
     for frame in frames[1:]:
         out = out.unionByName(frame)
     return out
+
+
+def micros_sql(value: str, kind: T.DataType) -> str:
+    """A date or time as microseconds; for a zone-free one without the session's zone."""
+    if isinstance(kind, T.TimestampType):
+        return f"unix_micros({value})"
+    days = f"CAST(unix_date(CAST({value} AS DATE)) AS BIGINT) * 86400000000"
+    if isinstance(kind, T.DateType):
+        return days
+    clock = f"(hour({value}) * 60 + minute({value})) * 60000000L"
+    return f"({days} + {clock} + CAST(extract(SECOND FROM {value}) * 1000000 AS BIGINT))"

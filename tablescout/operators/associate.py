@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescout.functions.sqltext import local_frame
-from tablescout.functions.text import text_key
 from tablescout.functions.types import TEXT, col, names_of, union_all
 from tablescout.operators.frequency import frequencies
 
@@ -18,7 +17,7 @@ def contingency(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     names = sorted(columns if columns is not None else names_of(df, TEXT))
     rows = [
         F.struct(
-            F.lit(i).alias("pair"), text_key(col(a)).alias("a"), text_key(col(b)).alias("b")
+            F.lit(i).alias("pair"), col(a).alias("a"), col(b).alias("b")
         )
         for i, (a, b) in enumerate(combinations(names, 2))
     ]

@@ -40,7 +40,9 @@ def _pair_matrix(
         [(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, col_a string, col_b string"
     )
     # ``corr`` fails on a constant column in ANSI mode; here an undefined correlation is 0.
-    r = F.coalesce(F.try_divide(F.col("covariance"), F.col("spread")), F.lit(0.0))
+    # So is one that an infinite value leaves without a number.
+    ratio = F.try_divide(F.col("covariance"), F.col("spread"))
+    r = F.coalesce(F.nanvl(ratio, F.lit(None).cast("double")), F.lit(0.0))
     return labels.join(moments, "i", "left").select(
         F.lit(table).alias("table_name"),
         F.lit(method).alias("method"),

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablescout.functions.text import text_key
 from tablescout.functions.types import DATETIME, NUMERIC, TEXT, col, names_of, nan_to_null, union_all
 from tablescout.operators.ordering import cumulative
 
@@ -55,7 +54,7 @@ def drift_categorical(df: DataFrame, recent: Column, columns: list[str] | None =
     names = columns if columns is not None else names_of(df, TEXT)
     labels = F.array(*[F.lit(c) for c in names])
     cells = [
-        F.struct(F.lit(i).alias("i"), text_key(col(c)).alias("key")) for i, c in enumerate(names)
+        F.struct(F.lit(i).alias("i"), col(c).alias("key")) for i, c in enumerate(names)
     ]
     counts = (
         df.select(recent.alias("second"), F.inline(F.array(*cells)))

@@ -1,8 +1,7 @@
 """Value frequencies of many columns in one scan and one shuffle.
 
 Each row is unpivoted into (column, typed key) pairs. Keys stay in typed slots, so integers
-keep all their digits and nothing is cast to text, and long texts are represented by their
-md5. Grouping by (column, key) spreads well, and a value that fills a third of the table is
+keep all their digits, and texts are compared in full, whatever their length. Grouping by (column, key) spreads well, and a value that fills a third of the table is
 reduced to one row per map task before the shuffle.
 """
 
@@ -13,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescout.functions.sqltext import ident, inline_rows, label_of, local_frame
-from tablescout.functions.text import text_key_sql
 from tablescout.functions.types import (
     BOOLEAN,
     DATETIME,
@@ -21,6 +19,7 @@ from tablescout.functions.types import (
     TEXT,
     family,
     is_integral,
+    micros_sql,
     names_of,
     nan_to_null,
     union_all,
@@ -41,9 +40,9 @@ def key_slots(field: T.StructField) -> dict[str, str]:
     elif kind == NUMERIC:
         slots["float_key"] = c
     elif kind == DATETIME:
-        slots["int_key"] = f"unix_micros(CAST({c} AS TIMESTAMP))"
+        slots["int_key"] = micros_sql(c, field.dataType)
     else:
-        slots["text_key"] = text_key_sql(c)
+        slots["text_key"] = c
     return {k: f"CAST({slots[k]} AS {t})" for k, t in zip(KEYS, ("BIGINT", "DOUBLE", "STRING"))}
 
 

@@ -11,9 +11,7 @@ from tablescout.functions.text import (
     BLANK_PATTERN,
     DATE_MARKS,
     ISO_DATE_PATTERN,
-    KEY_TEXT_LENGTH,
     NUMBER_PATTERN,
-    text_key,
 )
 from tablescout.functions.types import (
     BOOLEAN,
@@ -201,11 +199,10 @@ def column_overview(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def top_values(tables: dict[str, DataFrame], k: int = 10) -> DataFrame:
-    """Most frequent values of text and boolean columns; ties go to the smaller value key.
+    """Most frequent values of text and boolean columns; ties go to the smaller value.
 
     The rank filter is pushed below the shuffle, so each task ships at most ``k`` rows per
-    column. Long values are counted by md5; their text is then fetched for the winners only,
-    which are at most ``k`` rows per column and therefore safe to broadcast.
+    column.
     """
     parts = []
     for table, df in tables.items():
@@ -213,40 +210,15 @@ def top_values(tables: dict[str, DataFrame], k: int = 10) -> DataFrame:
         if not names:
             continue
         order = W.partitionBy("column_name").orderBy(F.desc("n"), "text_key")
-        best = (
+        parts.append(
             frequencies(df, names)
-            # Always true; stated so that both uses of ``best`` below plan, and run, as one.
-            .where("text_key IS NOT NULL AND column_name IS NOT NULL")
             .withColumn("rank", F.row_number().over(order))
             .where(F.col("rank") <= k)
-            .select("column_name", F.col("text_key").alias("key"), "n", "rank")
-        )
-        texts = names_of(df, TEXT)
-        if texts:
-            long_rows = [
-                F.struct(F.lit(c).alias("column_name"), col(c).alias("text")) for c in texts
-            ]
-            long_texts = (
-                df.select(F.inline(F.array(*long_rows)))
-                .where(F.length("text") > KEY_TEXT_LENGTH)
-                .withColumn("key", text_key(F.col("text")))
-            )
-            fetched = (
-                long_texts.join(
-                    F.broadcast(best.select("column_name", "key")), ["column_name", "key"], "left_semi"
-                )
-                .groupBy("column_name", "key")
-                .agg(F.min("text").alias("text"))
-            )
-            best = best.join(fetched, ["column_name", "key"], "left")
-        else:
-            best = best.withColumn("text", F.lit(None).cast("string"))
-        parts.append(
-            best.select(
+            .select(
                 F.lit(table).alias("table_name"),
                 "column_name",
                 F.col("rank").cast("bigint").alias("rank"),
-                F.coalesce("text", "key").alias("value"),
+                F.col("text_key").alias("value"),
                 F.col("n").alias("occurrences"),
             )
         )

@@ -207,7 +207,10 @@ def column_quantiles(
     for label, p in probabilities.items():
         lo, hi = F.col(f"{label}_lo"), F.col(f"{label}_hi")
         position = (F.col("total") - 1) * F.lit(p)
-        value = lo + (hi - lo) * (position - F.floor(position))
+        part = position - F.floor(position)
+        # Between equal neighbours, or on a rank, there is nothing to interpolate: both may be
+        # infinite.
+        value = F.when((lo == hi) | (part == 0), lo).otherwise(lo + (hi - lo) * part)
         missed = F.raise_error(F.lit("quantile rank outside its bracket: raise the accuracy"))
         out.append(F.when(value.isNull(), missed.cast("double")).otherwise(value).alias(label))
     return picked.select(*keys, *out)

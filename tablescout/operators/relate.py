@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescout.functions.sqltext import ident, inline_rows, local_frame
-from tablescout.functions.text import key_like, text_key_sql
-from tablescout.functions.types import DATETIME, NUMERIC, TEXT, col, family, nan_to_null, union_all
+from tablescout.functions.text import key_like
+from tablescout.functions.types import DATETIME, NUMERIC, TEXT, col, family, micros_sql, nan_to_null, union_all
 from tablescout.operators.frequency import COUNTABLE, KEYS
 
 BITS = 62  # columns per bitmap word
@@ -29,12 +29,15 @@ def _shared_key(field: T.StructField) -> dict[str, str]:
     ):
         d = f"CAST({c} AS DOUBLE)"
         whole = f"({d} = floor({d}) AND abs({d}) < 9.0e18D)"
+        if isinstance(field.dataType, T.DecimalType):
+            # A decimal may hold a fraction that its double cannot.
+            whole = f"({c} = floor({c}) AND try_cast({c} AS BIGINT) IS NOT NULL)"
         slots["int_key"] = f"if({whole}, try_cast({c} AS BIGINT), NULL)"
         slots["float_key"] = f"if({whole}, NULL, {d})"
     elif kind == DATETIME:
-        slots["int_key"] = f"unix_micros(CAST({c} AS TIMESTAMP))"
+        slots["int_key"] = micros_sql(f"CAST({c} AS TIMESTAMP_NTZ)", T.TimestampNTZType())
     elif kind == TEXT:
-        slots["text_key"] = text_key_sql(c)
+        slots["text_key"] = c
     else:
         slots["int_key"] = c
     return {k: f"CAST({slots[k]} AS {t})" for k, t in zip(KEYS, ("BIGINT", "DOUBLE", "STRING"))}

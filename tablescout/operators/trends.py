@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tablescout.functions.local import pin
 from tablescout.functions.sqltext import local_frame
-from tablescout.functions.text import is_key_like, text_key
+from tablescout.functions.text import key_like
 from tablescout.functions.types import (
     BOOLEAN,
     DATETIME,
@@ -63,8 +63,15 @@ def as_metric(df: DataFrame, name: str) -> Column:
 
 
 def period_of(time: Column, granularity: str) -> Column:
-    unit = granularity if granularity in GRANULARITIES else "day"
-    return F.date_trunc(unit, time).cast("timestamp_ntz")
+    """Start of the period of a zone-free time, without passing through the session's zone."""
+    day = time.cast("date")
+    if granularity == "hour":
+        return F.make_timestamp_ntz(
+            F.year(time), F.month(time), F.day(time), F.hour(time), F.lit(0), F.lit(0)
+        )
+    if granularity in ("week", "month", "year"):
+        day = F.trunc(day, granularity)
+    return day.cast("timestamp_ntz")
 
 
 def period_end(period: Column, granularity: str) -> Column:
@@ -166,10 +173,8 @@ def trend(
     if aggregation == "count_distinct":
         if family(clean.schema[metric].dataType) == DATETIME:
             raise ValueError(f"{metric} is a time and cannot be counted as a metric")
-        kind = family(clean.schema[metric].dataType)
-        key = text_key(col(metric)) if kind == TEXT else col(metric)
         # Distinct pairs first: a period that holds most rows is spread over its values.
-        pairs = clean.select(period, key.alias("value")).distinct()
+        pairs = clean.select(period, col(metric).alias("value")).distinct()
         return pairs.groupBy("period").agg(F.count("value").alias("value"))
     value = as_metric(clean, metric).alias("value")
     aggregate = AGGREGATIONS.get(aggregation, F.sum)
@@ -218,7 +223,7 @@ def ranked_categories(df: DataFrame, column: str, n: int = TOP_N) -> DataFrame:
     """
     counts = (
         df.where(col(column).isNotNull())
-        .groupBy(text_key(col(column)).alias("value"))
+        .groupBy(col(column).alias("value"))
         .agg(F.count(F.lit(1)).alias("occurrences"))
     )
     # Only a column of few values passes, so the ranking is over at most 101 rows: counts
@@ -248,7 +253,7 @@ def categorical_trend(
     values = ranked_categories(df, column, n).select("value")
     counts = (
         df.where(at.isNotNull())
-        .select(period, text_key(col(column)).alias("value"))
+        .select(period, col(column).alias("value"))
         .join(F.broadcast(values), "value")
         .groupBy("period", "value")
         .agg(F.count(F.lit(1)).alias("occurrences"))
@@ -272,6 +277,39 @@ _TREND = (
 )
 
 
+def _reason() -> Column:
+    """Why a wanted column has no trend, over the joined facts; null where it has one.
+
+    The facts name what is there: a rule holds only where those before it do not.
+    """
+    countable = [NUMERIC, BOOLEAN]
+    number_text = (F.col("metric_family") == TEXT) & (F.col("number_like_count") > 0)
+    rules = {
+        "no_table_prefix": F.col("table_name") == "",
+        "table_missing": F.col("known").isNull(),
+        "column_missing": F.col("column_family").isNull(),
+        "no_time_column": F.col("time_column").isNull(),
+        "no_kpi_and_not_numeric": F.col("kpi_type").isNull() & ~F.col("column_family").isin(countable),
+        "metric_missing": F.col("metric_family").isNull(),
+        "metric_is_time": F.col("metric_family") == DATETIME,
+        "metric_is_time_column": F.col("metric") == F.col("time_column"),
+        "metric_not_numeric": ~F.col("is_key") & ~F.col("metric_family").isin(countable) & ~number_text,
+        "empty_result": ~F.col("is_key") & (F.col("metric_family") != BOOLEAN) & (F.col("present_count") == 0),
+    }
+    return F.coalesce(*[F.when(rule, F.lit(name)) for name, rule in rules.items()])
+
+
+def _aggregation() -> Column:
+    by_kpi = F.create_map(*[F.lit(x) for pair in AGGREGATION_OF_KPI.items() for x in pair])
+    ends = F.col("min_value").isin(0, 1) & F.col("max_value").isin(0, 1)
+    flag = (F.col("metric_family") == BOOLEAN) | (F.col("integral") & ends)
+    return (
+        F.when(F.col("is_key"), "count_distinct")
+        .when(flag, "sum")
+        .otherwise(F.coalesce(by_kpi[F.coalesce("kpi_type", F.lit("sum"))], F.lit("sum")))
+    )
+
+
 def plan_trends(
     tables: dict[str, DataFrame],
     columns: list[tuple[str, str]],
@@ -280,88 +318,77 @@ def plan_trends(
 ) -> tuple[list[dict], list[tuple[str, str, str]]]:
     """Choose metric, aggregation and granularity per column, or the reason there is none.
 
-    Only per-column facts reach the driver: one row per column and per table.
+    The choice is a join of facts with one row per column or table and a rule for each result
+    column; the driver receives the time columns and the finished plan.
     """
     known = {t: tables[t] for t in dict.fromkeys(t for t, _ in columns) if t in tables}
+    if not known:
+        reasons = [(t, c, "table_missing" if t else "no_table_prefix") for t, c in columns]
+        return [], reasons
+    spark = next(iter(known.values())).sparkSession
     overview = pin(column_overview(known)) if overview is None else overview
     kpis = kpi_suggestions(known, overview) if kpis is None else kpis
-    best = {
-        (r["table_name"], r["column_name"]): r for r in best_kpis(kpis, overview).collect()
-    }
-    facts = {
-        (r["table_name"], r["column_name"]): r
-        for r in overview.select(
-            "table_name", "column_name", "min_value", "max_value", "present_count", "integral",
-            "distinct_count", "numeric_role", "number_like_count",
-        ).collect()
-    }
-    primary = {r["table_name"]: r["time_column"] for r in primary_time_columns(known).collect()}
-    grains = {
-        r["table_name"]: r["granularity"]
-        for r in optimal_granularity(known, list(primary.items())).collect()
-    } if primary else {}
-
-    plans, failures = [], []
-    for table, column in columns:
-        def fail(reason: str) -> None:
-            failures.append((table, column, reason))
-
-        if not table:
-            fail("no_table_prefix")
-            continue
-        if table not in tables:
-            fail("table_missing")
-            continue
-        df = tables[table]
-        if column not in df.columns:
-            fail("column_missing")
-            continue
-        if table not in primary:
-            fail("no_time_column")
-            continue
-        kind = family(df.schema[column].dataType)
-        kpi = best.get((table, column))
-        if kpi is None and kind not in (NUMERIC, BOOLEAN):
-            fail("no_kpi_and_not_numeric")
-            continue
-        metric = (kpi and (kpi["metric_column"] or kpi["kpi_column"])) or column
-        if metric not in df.columns:
-            fail("metric_missing")
-            continue
-        metric_kind = family(df.schema[metric].dataType)
-        # A text time column is the time column, not a declared time.
-        if metric_kind == DATETIME:
-            fail("metric_is_time")
-            continue
-        if metric == primary[table]:
-            fail("metric_is_time_column")
-            continue
-        by_key, fact = is_key_like(column), facts[table, metric]
-        if not by_key and metric_kind not in (NUMERIC, BOOLEAN):
-            if metric_kind != TEXT or fact["number_like_count"] == 0:
-                fail("metric_not_numeric")
-                continue
-        flag = fact["integral"] and fact["min_value"] in (0, 1) and fact["max_value"] in (0, 1)
-        if by_key:
-            aggregation = "count_distinct"
-        elif metric_kind == BOOLEAN or flag:
-            aggregation = "sum"
-        else:
-            aggregation = AGGREGATION_OF_KPI.get(kpi["kpi_type"] if kpi else "sum", "sum")
-        if fact["present_count"] == 0 and metric_kind != BOOLEAN and not by_key:
-            fail("empty_result")
-            continue
-        plans.append(
-            {
-                "table": table,
-                "column": column,
-                "time": primary[table],
-                "metric": metric,
-                "aggregation": aggregation,
-                "granularity": grains[table],
-                "role": facts[table, column]["numeric_role"],
-            }
+    times = primary_time_columns(known).collect()
+    primary = [(r["table_name"], r["time_column"]) for r in times]
+    per_table = local_frame(spark, [(t, True) for t in known], "table_name string, known boolean")
+    if primary:
+        grains = optimal_granularity(known, primary).select(
+            "table_name", "time_column", "granularity"
+        )
+        per_table = per_table.join(grains, "table_name", "left")
+    else:
+        per_table = per_table.select(
+            "*",
+            F.lit(None).cast("string").alias("time_column"),
+            F.lit(None).cast("string").alias("granularity"),
+        )
+    by_column = overview.select(
+        "table_name", "column_name", F.col("family").alias("column_family"), "numeric_role"
+    )
+    by_metric = overview.select(
+        "table_name", F.col("column_name").alias("metric"), F.col("family").alias("metric_family"),
+        "integral", "min_value", "max_value", "present_count", "number_like_count",
+    )
+    best = best_kpis(kpis, overview).select(
+        "table_name",
+        "column_name",
+        "kpi_type",
+        F.coalesce(F.nullif("metric_column", F.lit("")), F.nullif("kpi_column", F.lit(""))).alias("drawn"),
+    )
+    wanted = local_frame(
+        spark,
+        [(i, t, c) for i, (t, c) in enumerate(columns)],
+        "place int, table_name string, column_name string",
+    )
+    rows = (
+        wanted.join(per_table, "table_name", "left")
+        .join(by_column, ["table_name", "column_name"], "left")
+        .join(best, ["table_name", "column_name"], "left")
+        .withColumns(
+            {"metric": F.coalesce("drawn", "column_name"), "is_key": key_like(F.col("column_name"))}
+        )
+        .join(by_metric, ["table_name", "metric"], "left")
+        .select(
+            "place", "table_name", "column_name", "time_column", "metric", "granularity",
+            "numeric_role", _reason().alias("reason"), _aggregation().alias("aggregation"),
         )
+        .orderBy("place")
+        .collect()
+    )
+    plans = [
+        {
+            "table": r["table_name"],
+            "column": r["column_name"],
+            "time": r["time_column"],
+            "metric": r["metric"],
+            "aggregation": r["aggregation"],
+            "granularity": r["granularity"],
+            "role": r["numeric_role"],
+        }
+        for r in rows
+        if r["reason"] is None
+    ]
+    failures = [(r["table_name"], r["column_name"], r["reason"]) for r in rows if r["reason"]]
     return plans, failures
 
 
@@ -399,7 +426,7 @@ def run_trends(spark, tables: dict[str, DataFrame], plans: list[dict]) -> DataFr
         distinct = [p for p in group if p["aggregation"] == "count_distinct"]
         if distinct:
             cells = [
-                F.struct(F.lit(i).alias("i"), text_key(col(p["metric"]).cast("string")).alias("value"))
+                F.struct(F.lit(i).alias("i"), col(p["metric"]).cast("string").alias("value"))
                 for i, p in enumerate(distinct)
             ]
             counts = (

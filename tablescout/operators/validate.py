@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tablescout.functions.local import pin
 from tablescout.functions.sqltext import ident, inline_rows, label_of, local_frame
-from tablescout.functions.text import percent_text, text_key
+from tablescout.functions.text import percent_text
 from tablescout.functions.types import (
     NUMERIC,
     TEXT,
@@ -184,9 +184,7 @@ def referential_integrity(
         shared = "string"
 
     def values(df: DataFrame, name: str) -> DataFrame:
-        value = col(name).cast(shared)
-        key = (text_key(value) if shared == "string" else value).alias("value")
-        return nan_to_null(df).select(key).where("value IS NOT NULL").distinct()
+        return nan_to_null(df).select(col(name).cast(shared).alias("value")).where("value IS NOT NULL").distinct()
 
     wanted = values(source, source_column)
     known = values(target, target_column).withColumn("known", F.lit(1))

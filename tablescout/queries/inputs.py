@@ -14,7 +14,6 @@ from tablescout.functions.text import (
     BLANK_PATTERN,
     ISO_DATE_PATTERN,
     KEY_PATTERN,
-    KEY_TEXT_LENGTH,
     NUMBER_PATTERN,
 )
 from tablescout.functions.types import union_all
@@ -210,10 +209,6 @@ def union_sql(selects: list[str]) -> str:
     return "\nUNION ALL ".join(selects)
 
 
-def text_key_sql(c: str) -> str:
-    return f"CASE WHEN length({c}) > {KEY_TEXT_LENGTH} THEN md5({c}) ELSE {c} END"
-
-
 def percent_sql(part: str, whole: str) -> str:
     """One-decimal percent text."""
     tenths = (
@@ -290,7 +285,7 @@ def frequency_cte(names: list[str]) -> str:
     """``freq``: counts per distinct value of every text column."""
     return "freq AS (" + union_sql(
         [
-            f"SELECT '{t}' AS table_name, '{c}' AS column_name, {text_key_sql(c)} AS value, "
+            f"SELECT '{t}' AS table_name, '{c}' AS column_name, {c} AS value, "
             f"count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY 3"
             for t, c in columns_of(names, "text")
         ]

@@ -149,15 +149,13 @@ _PRIORITY = """CASE WHEN severity = 'critical' OR score >= 90 THEN 'critical'
   WHEN severity = 'medium' OR score >= 50 THEN 'medium' ELSE 'low' END"""
 
 
-def _list(steps: list[str]) -> str:
-    return "[" + ", ".join(f"'{s}'" for s in steps) + "]"
-
-
-_STEPS = " || ".join(
-    f"CASE WHEN category = '{name}'"
-    + (f" AND {_any('lower(topic)', title + why)}" if title + why else "")
-    + f" THEN {_list(steps)} ELSE [] END"
-    for name, title, why, steps in n.ACTIONS
+_ACTIONS = (
+    "CASE topic "
+    + " ".join(
+        f"WHEN '{topic}' THEN ['{first}: ' || rationale, '{then}']"
+        for topic, (first, then) in n.NEXT_STEPS.items()
+    )
+    + f" ELSE ['{n.LOOK_AT}: ' || rationale] END"
 )
 _TASKS = {
     "insights": """SELECT insight_id AS task_id, topic, title, severity, CAST(score AS DOUBLE) AS score,
@@ -176,16 +174,15 @@ _TASKS = {
     "kpis": """SELECT 'kpi_' || kpi_type || '_' || md5(table_name || '|' || formula), 'kpi',
       description, 'low', floor(round(relevance * 100, 9)), CASE WHEN kpi_column <> '' THEN kpi_column
         ELSE array_to_string(columns, ',') END, table_name, 'Formula: ' || formula
-      FROM (SELECT * FROM kpis ORDER BY relevance DESC, table_name, kpi_type, formula LIMIT 10)""",
+      FROM kpis""",
 }
 
 
 def _tasks_cte(parts: list[str]) -> str:
     return f"""tasks AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY CASE priority
         WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END, score DESC,
-        task_id) AS rank FROM (SELECT *, {_PRIORITY} AS priority, CASE WHEN len(steps) > 0 THEN steps
-        ELSE {_list(n.DEFAULT_ACTIONS)} END AS actions FROM (SELECT *, {_STEPS} AS steps FROM (
-          SELECT *, {_CATEGORY} AS category FROM ({i.union_sql([_TASKS[p] for p in parts])})))))"""
+        task_id) AS rank FROM (SELECT *, {_PRIORITY} AS priority, {_ACTIONS} AS actions FROM (
+          SELECT *, {_CATEGORY} AS category FROM ({i.union_sql([_TASKS[p] for p in parts])}))))"""
 
 
 def _with_insights(names, body, *ctes):

@@ -101,7 +101,7 @@ def _top_select(t: str, c: str) -> str:
     value = c if i.SCHEMAS[t][c] == "string" else f"CAST({c} AS VARCHAR)"
     return f"""SELECT '{t}' AS table_name, '{c}' AS column_name, rank, md5(value) AS value,
       occurrences FROM (SELECT v AS value, count(*) AS occurrences, row_number() OVER
-        (ORDER BY count(*) DESC, {i.text_key_sql('v')}) AS rank
+        (ORDER BY count(*) DESC, v) AS rank
         FROM (SELECT {value} AS v FROM {t}) WHERE v IS NOT NULL GROUP BY v) WHERE rank <= 10"""
 
 

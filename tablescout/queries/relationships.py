@@ -109,7 +109,7 @@ def _key_sql(table: str, c: str) -> str:
     if dtype == "timestamp_ntz":
         return f"CAST(epoch_us({c}) AS VARCHAR)"
     if dtype == "string":
-        return i.text_key_sql(c)
+        return c
     return f"CAST({c} AS VARCHAR)"
 
 

@@ -206,8 +206,8 @@ def test_insights_and_tasks(spark):
     tasks = n.organize_tasks(found, None, validation_report({"t": df}), None)
     got = {x["task_id"]: (x["category"], x["priority"], len(x["actions"])) for x in tasks.collect()}
     # A column called event_type does not turn a correlation or a task into a type problem.
-    assert got["corr_t.a_t.b"] == ("relationships", "critical", 3)
-    assert got["high_null_t.event_type"] == ("data_quality", "high", 3)
+    assert got["corr_t.a_t.b"] == ("relationships", "critical", 2)
+    assert got["high_null_t.event_type"] == ("data_quality", "high", 2)
     summary = {(x["category"], x["priority"]): x["tasks"] for x in n.task_summary(tasks).collect()}
     assert summary[(None, None)] == len(got)
     weighted = n.rank_insights_weighted(found, full_at=40).orderBy("rank").first()
