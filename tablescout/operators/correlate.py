@@ -15,6 +15,8 @@ _CORRELATION = (
     "table_name string, method string, col_a string, col_b string, r double, n bigint"
 )
 
+PERFECT = 2e-6  # of 1 - r^2: below it a correlation counts as perfect
+
 
 def _pair_matrix(
     df: DataFrame, table: str, pairs: list[tuple[str, str]], method: str
@@ -155,7 +157,11 @@ def heatmap(correlations: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def correlation_t(correlations: DataFrame) -> DataFrame:
-    """Test statistic of each correlation: ``t = r sqrt((n - 2) / (1 - r^2))``."""
-    ratio = F.try_divide(F.col("n") - 2, 1 - F.col("r") * F.col("r"))
+    """Test statistic of each correlation: ``t = r sqrt((n - 2) / (1 - r^2))``.
+
+    It is undefined, and missing, where the correlation is perfect but for rounding.
+    """
+    rest = 1 - F.col("r") * F.col("r")
+    ratio = F.try_divide(F.col("n") - 2, F.when(rest > PERFECT, rest))
     t = F.when(ratio >= 0, F.col("r") * F.sqrt(F.greatest(ratio, F.lit(0.0))))
     return correlations.withColumn("t", t)

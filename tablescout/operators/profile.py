@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablescout.functions.sqltext import ident, inline_rows, literal
 from tablescout.functions.text import (
@@ -32,15 +33,30 @@ from tablescout.operators.quantiles import column_quantiles
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
 
+def _nested(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.VariantType))
+
+
 def row_fingerprint(df: DataFrame) -> list[Column]:
     """128 bits that identify a row, so that whole rows need not be shuffled.
 
-    Spark's hash skips NULLs, so the null flags are hashed as values of their own.
+    Spark's hash skips NULLs and array ends, so null flags and lengths are hashed as values of
+    their own. Maps count as equal whatever the order of their entries; other nested values are
+    hashed in their JSON form.
     """
-    cells = [
-        col(f.name) + F.lit(0).cast(f.dataType) if is_fractional(f.dataType) else col(f.name)
-        for f in df.schema.fields
-    ]
+    cells = []
+    for f in df.schema.fields:
+        c, kind = col(f.name), f.dataType
+        if is_fractional(kind):
+            cells.append(c + F.lit(0).cast(kind))
+        elif isinstance(kind, T.ArrayType) and not _nested(kind.elementType):
+            cells += [c, F.size(c), F.transform(c, lambda x: x.isNull())]
+        elif isinstance(kind, T.MapType):
+            cells.append(F.to_json(F.array_sort(F.map_entries(c)), {"ignoreNullFields": "false"}))
+        elif _nested(kind):
+            cells.append(F.to_json(c, {"ignoreNullFields": "false"}))
+        else:
+            cells.append(c)
     parts = cells + [c.isNull() for c in cells]
     return [
         F.xxhash64(*parts).alias("h1"),

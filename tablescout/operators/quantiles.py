@@ -5,8 +5,9 @@ bracket of values that is certain to hold the wanted ranks. Scan 2 counts values
 bracket per value, between brackets as one number. What is left to order is the small share
 of rows inside the brackets, so no task ever holds or sorts a whole column.
 
-Scan 1 runs when the operator is called, because its edges are constants of scan 2; it brings
-one row per numeric column to the driver.
+Both scans run when the operator is called, because the edges of the first are constants of
+the second, and a missed rank is looked for again in wider brackets; each brings one row per
+numeric column to the driver.
 """
 
 from __future__ import annotations
@@ -41,13 +42,13 @@ def _doubles(df: DataFrame) -> DataFrame:
 
 
 def _brackets(
-    tables: dict[str, DataFrame], probabilities: list[float], accuracy: int
+    tables: dict[str, DataFrame], probabilities: list[float], accuracy: int, widen: float
 ) -> dict[tuple[str, str], list[tuple[float, float]]]:
     """Disjoint sorted value intervals per column that hold every wanted rank.
 
     One job over all tables. The driver receives one row per numeric column.
     """
-    margin = 2.0 / accuracy
+    margin = min(1.0, widen * 2.0 / accuracy)
     lows = [max(p - margin, 0.0) for p in probabilities]
     highs = [min(p + margin, 1.0) for p in probabilities]
     parts = []
@@ -181,12 +182,29 @@ def column_quantiles(
             parts.append(wide.select(F.inline(F.array(*rows))))
         return union_all(parts)
 
+    # A sketch may miss a rank; the brackets of all columns are then widened, in the end to
+    # whole columns. The answers are one row per column.
+    widen = 1.0
+    while True:
+        picked = _picked(tables, probabilities, accuracy, widen)
+        if picked is None:
+            return empty
+        found = picked.collect()
+        if not any(r[label] is None for r in found for label in labels):
+            return local_frame(picked.sparkSession, found, picked.schema)
+        widen *= 8
+
+
+def _picked(
+    tables: dict[str, DataFrame], probabilities: dict[str, float], accuracy: int, widen: float
+) -> DataFrame | None:
+    """Quantiles per column from the counts of one choice of brackets; NULL for a missed rank."""
     keys = ["table_name", "column_name"]
-    brackets = _brackets(tables, wanted, accuracy)
+    brackets = _brackets(tables, list(probabilities.values()), accuracy, widen)
     counted = [_bracket_counts(t, df, brackets) for t, df in tables.items()]
     counted = [c for c in counted if c is not None]
     if not counted:
-        return empty
+        return None
     counts = union_all(counted)
     # Only bracket contents reach this window: a fixed small share of each column's rows.
     ordered = W.partitionBy(*keys).orderBy(F.asc_nulls_first("cell"), "between")
@@ -211,6 +229,5 @@ def column_quantiles(
         # Between equal neighbours, or on a rank, there is nothing to interpolate: both may be
         # infinite.
         value = F.when((lo == hi) | (part == 0), lo).otherwise(lo + (hi - lo) * part)
-        missed = F.raise_error(F.lit("quantile rank outside its bracket: raise the accuracy"))
-        out.append(F.when(value.isNull(), missed.cast("double")).otherwise(value).alias(label))
+        out.append(value.alias(label))
     return picked.select(*keys, *out)

@@ -23,13 +23,31 @@ from tablescout.functions.types import (
     union_all,
 )
 from tablescout.operators.frequency import frequencies
+from tablescout.operators.profile import row_fingerprint
 from tablescout.operators.quantiles import column_quantiles
 
 HEX_DIGITS = 8
 
 
-def _order(key: str) -> Column:
-    return F.md5(col(key).cast("string"))
+def _row(df: DataFrame) -> Column:
+    """A number for a whole row, for rows without a key and as the tie-break of equal keys."""
+    return F.xxhash64(*row_fingerprint(df))
+
+
+def _order(df: DataFrame, key: str) -> Column:
+    """Hash of the key; rows of a NULL key are drawn by their whole content instead."""
+    return F.md5(F.coalesce(col(key).cast("string"), F.concat(F.lit("row "), _row(df))))
+
+
+def _first(df: DataFrame, key: str, n: int, among: int) -> DataFrame:
+    """The ``n`` rows of the smallest hashes out of about ``among``.
+
+    Rows whose hash is far beyond the n-th are left out before the top-n, so that its last
+    task receives little more than ``n`` rows however many tasks there are.
+    """
+    near = n + 10 * n**0.5 + 20
+    drawn = hashed_sample(df, key, min(100.0, 100 * near / max(1, among)))
+    return drawn.orderBy(_order(df, key), _row(df)).limit(n)
 
 
 def sample_percent(rows: int, target: int) -> float:
@@ -47,14 +65,13 @@ def hashed_sample(df: DataFrame, key: str, percent: float) -> DataFrame:
     limit = round(16**HEX_DIGITS * percent / 100)
     if limit >= 16**HEX_DIGITS:
         return df
-    return df.where(F.substring(_order(key), 1, HEX_DIGITS) < f"{limit:0{HEX_DIGITS}x}")
+    return df.where(F.substring(_order(df, key), 1, HEX_DIGITS) < f"{limit:0{HEX_DIGITS}x}")
 
 
 def random_sample(df: DataFrame, key: str, target: int, rows: int | None = None) -> DataFrame:
     """About ``target`` rows and never more: hashed share, then a top-n by hash as the cap."""
     rows = df.count() if rows is None else rows
-    drawn = hashed_sample(df, key, sample_percent(rows, target))
-    return drawn.orderBy(_order(key)).limit(target)
+    return _first(hashed_sample(df, key, sample_percent(rows, target)), key, target, rows)
 
 
 def _outside(
@@ -69,7 +86,7 @@ def _outside(
             {"main": main.select(*[col(c) for c in columns])}, {"low": low, "high": high}
         ).collect()
     }
-    out = []
+    tests = {}
     for c in columns:
         if c not in edges:
             continue
@@ -80,29 +97,43 @@ def _outside(
         beyond = (col(c) < below) | (col(c) > above)
         if is_fractional(df.schema[c].dataType):
             beyond = beyond & ~F.isnan(col(c))
-        out.append(df.where(beyond).orderBy(_order(key)).limit(cap))
-    return out
+        tests[c] = beyond
+    if not tests:
+        return []
+    found = df.agg(*[F.count_if(t).alias(f"n{k}") for k, t in enumerate(tests.values())]).first()
+    return [_first(df.where(t), key, cap, found[k]) for k, t in enumerate(tests.values())]
+
 
+def corner_cases(
+    df: DataFrame, main: DataFrame, key: str, cap: int, most_columns: int | None = None
+) -> DataFrame:
+    """Rows below p1 or above p99 of every numeric column, ``cap`` rows per column.
 
-def corner_cases(df: DataFrame, main: DataFrame, key: str, cap: int) -> DataFrame:
-    """Rows below p1 or above p99 of the first two numeric columns, ``cap`` rows per column."""
-    columns = names_of(df, NUMERIC)[:2]
+    ``most_columns`` looks at the first few numeric columns only.
+    """
+    columns = names_of(df, NUMERIC)[:most_columns]
     found = _outside(df, main, columns, 0.01, 0.99, key, cap)
     return union_all(found) if found else df.limit(0)
 
 
 def tail_strata(
-    df: DataFrame, main: DataFrame, stratify_by: list[str], key: str, cap: int
+    df: DataFrame,
+    main: DataFrame,
+    stratify_by: list[str],
+    key: str,
+    cap: int,
+    most_columns: int | None = None,
 ) -> DataFrame:
-    """Rows outside the quartiles of up to two requested numeric columns."""
-    columns = [c for c in stratify_by if c in names_of(df, NUMERIC)][:2]
+    """Rows outside the quartiles of the requested numeric columns, ``cap`` rows per column."""
+    columns = [c for c in stratify_by if c in names_of(df, NUMERIC)][:most_columns]
     found = _outside(df, main, columns, 0.25, 0.75, key, cap)
     return union_all(found) if found else df.limit(0)
 
 
 def combine(parts: list[DataFrame], key: str, target: int) -> DataFrame:
     """Union without exact duplicates, capped by key hash."""
-    return union_all(parts).dropDuplicates().orderBy(_order(key)).limit(target)
+    whole = union_all(parts).dropDuplicates()
+    return whole.orderBy(_order(whole, key), _row(whole)).limit(target)
 
 
 def multistage_sample(
@@ -111,6 +142,7 @@ def multistage_sample(
     size: int = 100_000,
     corner_ratio: float = 0.05,
     stratify_by: list[str] | None = None,
+    most_tail_rows: int = 10_000,
 ) -> DataFrame:
     """Random main body plus reserved room for extreme rows and, if asked, for the tails."""
     corner = int(size * corner_ratio)
@@ -122,7 +154,7 @@ def multistage_sample(
         main = df
     parts = [main]
     if stratify_by:
-        parts.append(tail_strata(df, main, stratify_by, key, min(10_000, main_size // 10)))
+        parts.append(tail_strata(df, main, stratify_by, key, min(most_tail_rows, main_size // 10)))
     if corner > 0:
         parts.append(corner_cases(df, main, key, corner // 2))
     return combine(parts, key, size)
@@ -134,7 +166,7 @@ def stratified_sample(df: DataFrame, strata: str, key: str, per_stratum: int) ->
     The rank filter runs before the shuffle too, so a stratum that holds most rows sends only
     its first ``per_stratum`` rows per task.
     """
-    order = W.partitionBy(col(strata)).orderBy(_order(key), col(key))
+    order = W.partitionBy(col(strata)).orderBy(_order(df, key), col(key), _row(df))
     return (
         df.withColumn("_rank", F.row_number().over(order))
         .where(F.col("_rank") <= per_stratum)
@@ -183,9 +215,9 @@ def sample_quality(
 ) -> DataFrame:
     """How well a sample keeps each column: mean and deviation error, or top-value overlap.
 
-    Checks the first five columns unless told otherwise.
+    Checks all columns unless told otherwise.
     """
-    columns = columns if columns is not None else sample.columns[:5]
+    columns = columns if columns is not None else sample.columns
     columns = [c for c in columns if c in full.columns and c in sample.columns]
     numbers = [c for c in columns if family(full.schema[c].dataType) == NUMERIC]
     others = [

@@ -22,7 +22,7 @@ from tablescout.operators.quantiles import column_quantiles
 # Fixed patterns, written so that Java and RE2 read them alike.
 SENSITIVE_PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+",
-    "phone": r"\+?[0-9][0-9 ().-]{7,}[0-9]",
+    "phone": r"\+[0-9][0-9 ().-]{7,}[0-9]|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}",
     "ip_address": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}",
     "national_id": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "card_number": r"[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}",
@@ -86,8 +86,13 @@ def box_stats(tables: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def constraint_guesses(overview: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    """Not-null, unique and value-set constraints that the data satisfies today."""
+def constraint_guesses(
+    overview: DataFrame, tables: dict[str, DataFrame], most_values: int = VALUE_SET_LIMIT
+) -> DataFrame:
+    """Not-null, unique and value-set constraints that the data satisfies today.
+
+    A value set has at most ``most_values`` values.
+    """
     keys = ["table_name", "column_name"]
     filled = overview.where("row_count > 0 AND null_count = 0 AND distinct_count IS NOT NULL")
     not_null = filled.select(*keys, F.lit("not_null").alias("constraint"), F.lit("").alias("detail"))
@@ -95,7 +100,7 @@ def constraint_guesses(overview: DataFrame, tables: dict[str, DataFrame]) -> Dat
         *keys, F.lit("unique").alias("constraint"), F.lit("").alias("detail")
     )
     few = overview.where(
-        (F.col("family") == TEXT) & F.col("distinct_count").between(1, VALUE_SET_LIMIT)
+        (F.col("family") == TEXT) & F.col("distinct_count").between(1, most_values)
     ).select(*keys)
     texts = [
         frequencies(df, names_of(df, TEXT)).select(F.lit(t).alias("table_name"), "column_name", "text_key")
@@ -104,7 +109,7 @@ def constraint_guesses(overview: DataFrame, tables: dict[str, DataFrame]) -> Dat
     ]
     found = [not_null, unique]
     if texts:
-        # Only columns of at most VALUE_SET_LIMIT values are gathered.
+        # Only columns of at most ``most_values`` values are gathered.
         found.append(
             union_all(texts)
             .join(few, keys)
@@ -150,10 +155,15 @@ def redact(c: Column) -> Column:
     return c
 
 
-def masked(df: DataFrame, redacted: list[str], hashed: list[str] | None = None) -> DataFrame:
-    """Redact passages in some columns and replace others by their SHA-256."""
+def masked(
+    df: DataFrame, redacted: list[str], hashed: list[str] | None = None, salt: str = ""
+) -> DataFrame:
+    """Redact passages in some columns and replace others by their salted SHA-256.
+
+    Without a secret ``salt``, values from a small domain can be found again by trying all.
+    """
     changes = {c: redact(col(c)) for c in redacted}
-    changes |= {c: F.sha2(col(c).cast("string"), 256) for c in hashed or []}
+    changes |= {c: F.sha2(F.concat(F.lit(salt), col(c).cast("string")), 256) for c in hashed or []}
     return df.withColumns(changes)
 
 

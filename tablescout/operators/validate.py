@@ -329,14 +329,16 @@ def zero_values(stats: DataFrame) -> DataFrame:
     return _counted_share(stats, NUMERIC, "range", "zero_values", "low", "zero_count", 0.1)
 
 
-def date_like_strings(stats: DataFrame, strict: bool = False) -> DataFrame:
-    """Text columns of more than 100 values where most contain a dash, a slash or a T.
+def date_like_strings(
+    stats: DataFrame, strict: bool = False, more_than: int = 100
+) -> DataFrame:
+    """Text columns of more than ``more_than`` values where most contain a dash, slash or T.
 
     ``strict`` counts only values that start with an ISO date.
     """
     counted = "iso_date_count" if strict else "date_like_count"
     return _counted_share(
-        stats.where("present_count > 100"), TEXT, "format", "date_format", "low", counted, 0.5
+        stats.where(F.col("present_count") > more_than), TEXT, "format", "date_format", "low", counted, 0.5
     )
 
 
@@ -383,8 +385,8 @@ def validation_summary(report: DataFrame) -> DataFrame:
     return report.groupBy(named.alias("severity")).agg(F.count(F.lit(1)).alias("checks"))
 
 
-def validation_panel(report: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Counts for the four shown severities, and the ten findings to read first."""
+def validation_panel(report: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Counts for the four shown severities, and the ``k`` findings to read first."""
     counts = (
         report.where(F.col("severity").isin(SEVERITIES))
         .groupBy("severity")
@@ -392,5 +394,5 @@ def validation_panel(report: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     grade = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity"))
     rank = F.when(grade == 0, 5).otherwise(grade)
-    first = report.orderBy(rank, "table_name", "column_name", "subtype").limit(10)
+    first = report.orderBy(rank, "table_name", "column_name", "subtype").limit(k)
     return counts, first.select("severity", "message")

@@ -45,7 +45,7 @@ def _heatmap(spark, sf):
 
 def _correlation_t(spark, sf):
     out = c.correlation_t(_pearson(spark, sf)).select("table_name", "col_a", "col_b", "n", "r", "t")
-    return i.rounded(out.where(F.abs("r") < 0.999999), 5, "r", "t")
+    return i.rounded(out, 5, "r", "t")
 
 
 QUERIES = {
@@ -116,7 +116,8 @@ SQL = {
     "correlation_t": i.with_inputs(
         TABLES,
         """SELECT table_name, col_a, col_b, n, round(r, 5) AS r,
-          round(r * sqrt((n - 2) / (1 - r * r)), 5) AS t FROM pearson WHERE abs(r) < 0.999999""",
+          CASE WHEN 1 - r * r > 2e-6 THEN round(r * sqrt((n - 2) / (1 - r * r)), 5) END AS t
+        FROM pearson""",
         pearson_cte(TABLES),
     ),
 }

@@ -109,11 +109,13 @@ SQL = {
         SELECT * FROM main
         UNION SELECT * FROM {_beyond('o_totalprice', 0.25, 0.75, (SIZE - 100) // 10)}
         UNION SELECT * FROM {_beyond('o_orderkey', 0.01, 0.99, 50)}
-        UNION SELECT * FROM {_beyond('o_custkey', 0.01, 0.99, 50)})
+        UNION SELECT * FROM {_beyond('o_custkey', 0.01, 0.99, 50)}
+        UNION SELECT * FROM {_beyond('o_totalprice', 0.01, 0.99, 50)})
       ORDER BY {_HASH} LIMIT {SIZE})""",
     "corner_case_rows": f"""WITH {_MAIN} SELECT {_DATED} FROM (
       SELECT * FROM {_beyond('o_orderkey', 0.01, 0.99, 50)}
-      UNION ALL SELECT * FROM {_beyond('o_custkey', 0.01, 0.99, 50)})""",
+      UNION ALL SELECT * FROM {_beyond('o_custkey', 0.01, 0.99, 50)}
+      UNION ALL SELECT * FROM {_beyond('o_totalprice', 0.01, 0.99, 50)})""",
     "tail_strata_rows": f"""WITH {_MAIN} SELECT {_DATED} FROM (
       SELECT * FROM {_beyond('o_custkey', 0.25, 0.75, 200)}
       UNION ALL SELECT * FROM {_beyond('o_totalprice', 0.25, 0.75, 200)})""",
