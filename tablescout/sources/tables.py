@@ -11,18 +11,41 @@ from tablescout.functions.types import col, family, union_all
 _SCHEMA = "table_name string, ordinal int, column_name string, dtype string, family string"
 
 
+def folder_tables(spark: SparkSession, folder: str, extension: str = ".parquet") -> list[str]:
+    """Names of the tables below ``folder``, on whatever storage Spark reads it from.
+
+    Found by the paths of their files; no file is opened.
+    """
+    paths = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    # The name is the path's part that ends with the extension, a file or a directory of files.
+    name = F.regexp_extract("path", "([^/]+)" + extension.replace(".", "[.]") + "(/[^/]+)?$", 1)
+    found = paths.select(name.alias("name")).where("name <> ''").distinct()
+    return sorted(r["name"] for r in found.collect())
+
+
 def load_folder(
-    spark: SparkSession, folder: str, tables: list[str], extension: str = ".parquet"
+    spark: SparkSession,
+    folder: str,
+    tables: list[str] | None = None,
+    extension: str = ".parquet",
+    fmt: str = "parquet",
+    **options: str,
 ) -> dict[str, DataFrame]:
-    """Tables stored as one file or directory each below ``folder``."""
-    return {t: spark.read.load(f"{folder}/{t}{extension}") for t in sorted(tables)}
+    """Tables stored as one file or directory each below ``folder``; all of them by default.
+
+    ``fmt`` and ``options`` are those of Spark's reader.
+    """
+    names = folder_tables(spark, folder, extension) if tables is None else sorted(tables)
+    reader = spark.read.format(fmt).options(**options)
+    return {t: reader.load(f"{folder}/{t}{extension}") for t in names}
 
 
 def load_catalog(
     spark: SparkSession, database: str, tables: list[str] | None = None
 ) -> dict[str, DataFrame]:
     """Tables of a catalog database; a requested table that is absent is left out."""
-    names = {t.name for t in spark.catalog.listTables(database)}
+    # Temporary views of the session are listed in every database, but belong to none.
+    names = {t.name for t in spark.catalog.listTables(database) if not t.isTemporary}
     wanted = names if tables is None else names & set(tables)
     return {t: spark.table(f"{database}.{t}") for t in sorted(wanted)}
 
