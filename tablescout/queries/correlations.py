@@ -8,7 +8,7 @@ from tablescout.operators import correlate as c
 from tablescout.queries import inputs as i
 from tablescout.queries.scans import pearson_cte
 
-TABLES = ["customer", "events", "lineitem", "lineitem_corr", "orders_dirty", "part", "supplier"]
+TABLES = i.PROFILED + ["lineitem_corr"]
 RANKED = ["lineitem", "lineitem_corr", "orders_dirty", "part"]
 
 

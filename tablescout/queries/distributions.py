@@ -76,7 +76,7 @@ def _freshness(spark, sf):
     return i.timed(out, "latest")
 
 
-BINNED = ["customer", "events", "lineitem", "orders_dirty", "part"]
+BINNED = i.PROFILED
 
 
 def _histogram(spark, sf):
@@ -102,7 +102,7 @@ def _constraints(spark, sf):
     return s.constraint_guesses(column_overview(tables), tables)
 
 
-SCANNED = ["contacts", "conversations", "customer", "documents", "pages", "part"]
+SCANNED = i.PROFILED + ["contacts"]
 
 
 def _sensitive(spark, sf):

@@ -77,7 +77,7 @@ def _head_sample(spark, sf):
 
 
 def _all_column_profiles(spark, sf):
-    tables = i.tables(spark, sf, i.CORE)
+    tables = i.tables(spark, sf, i.PROFILED)
     quantiles = column_quantiles(tables, {"p1": 0.01, "p50": 0.5, "p99": 0.99})
     out = column_overview(tables).join(quantiles, ["table_name", "column_name"], "left")
     return i.rounded(
@@ -91,7 +91,7 @@ def _all_column_profiles(spark, sf):
 
 
 def _insights(spark, sf):
-    tables = i.tables(spark, sf, ["lineitem_corr", "orders_dirty"])
+    tables = i.tables(spark, sf, INSIGHT_INPUTS)
     found = missingness_insights(column_stats(tables, [])).unionByName(
         correlation_insights(pearson(tables))
     )
@@ -105,7 +105,7 @@ def _insight_lines(spark, sf):
 def _sink_roundtrip(spark, sf):
     """Findings written as JSON and read again; the folder is the session's shared one if set."""
     folder = work_folder(spark)
-    stats = column_stats(i.tables(spark, sf, i.CORE), []).select(
+    stats = column_stats(i.tables(spark, sf, i.PROFILED), []).select(
         "table_name", "column_name", "row_count", "null_count"
     )
     write_findings({"stats": stats}, folder, fmt="json", by_table=True)
@@ -177,7 +177,7 @@ def pearson_cte(names: list[str]) -> str:
     )
 
 
-INSIGHT_INPUTS = ["lineitem_corr", "orders_dirty"]
+INSIGHT_INPUTS = i.PROFILED + ["lineitem_corr"]
 
 SQL = {
     "table_stats": i.union_sql(
@@ -213,9 +213,9 @@ SQL = {
     "head_sample": "SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate) "
     "FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 100)",
     "sink_roundtrip": i.with_inputs(
-        i.CORE,
+        i.PROFILED,
         "SELECT table_name, column_name, row_count, null_count FROM overview",
-        i.overview_cte(i.CORE),
+        i.overview_cte(i.PROFILED),
     ),
     "insight_lines": i.with_inputs(
         INSIGHT_INPUTS,
@@ -226,13 +226,13 @@ SQL = {
         INSIGHTS_CTE,
     ),
     "all_column_profiles": i.with_inputs(
-        i.CORE,
+        i.PROFILED,
         "SELECT table_name, column_name, ordinal, dtype, family, row_count, null_count, "
         "round(null_pct, 4) AS null_pct, distinct_count, min_value, max_value, "
         "round(mean_value, 4) AS mean_value, round(std_value, 4) AS std_value, "
         "round(p1, 4) AS p1, round(p50, 4) AS p50, round(p99, 4) AS p99, numeric_role "
         "FROM overview LEFT JOIN quantiles USING (table_name, column_name)",
-        i.overview_cte(i.CORE),
-        "quantiles AS (" + _quantile_sql(i.CORE) + ")",
+        i.overview_cte(i.PROFILED),
+        "quantiles AS (" + _quantile_sql(i.PROFILED) + ")",
     ),
 }
