@@ -85,14 +85,15 @@ def resolve_revisits(records: DataFrame, folder: str) -> DataFrame:
         .agg(F.max_by(full, F.struct("ts", "record_id")).alias("end"))
     )
     # A row per range that a URL reaches: at most as many as there are tasks.
-    reached = ranged.select("key", "range").distinct().join(ends, ["key", "range"], "left")
+    reached = ranged.select("key", "range").distinct().join(ends.hint("merge"), ["key", "range"], "left")
     earlier = (
         Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     )
     carried = reached.select("key", "range", F.last("end", True).over(earlier).alias("carried"))
     joined = (
         inside.where(~F.col("is_full"))
-        .join(carried.where("carried is not null"), ["key", "range"], "left")
+        # The planner takes the size from compressed files, far below what it would broadcast.
+        .join(carried.where("carried is not null").hint("merge"), ["key", "range"], "left")
         .withColumn("original", F.coalesce("held", "carried"))
     )
     lost = rows.where(~known & ~F.col("is_full")).select(
