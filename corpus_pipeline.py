@@ -15,12 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablescout.llm import language_id, pii, quality_classifier, simhash
-from tablescout.llm.frames import keep, work_folder
+from tablescout.llm.frames import keep, small_batches, work_folder
 from tablescout.llm.queries import packed
 
 
 def _held(docs: DataFrame) -> DataFrame:
     """The rows as one column beside their text, so that no name meets an operator's result."""
+    small_batches(docs.sparkSession)
     return docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("text").alias("_text")
     )

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = "8m"
 CHUNK_CHARS = 500_000  # texts are handled in groups of about this many characters
 
 
@@ -24,6 +25,15 @@ def attach(df: DataFrame, results: dict[str, Column], keep: list[str] | None = N
     return df.select(*[F.col(f"`{c}`") for c in names], *[v.alias(k) for k, v in results.items()])
 
 
+def small_batches(spark: SparkSession, size: str = BATCH_BYTES) -> None:
+    """Bound what a Python worker gets at once by its bytes, not only by its rows.
+
+    A setting of the session: with Spark's own bound, a batch of long texts, its copies in the
+    worker and its results come to hundreds of megabytes for each core.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def once(function, kind: str):
     """A Pandas UDF that Spark evaluates once per row.
 

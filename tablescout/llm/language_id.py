@@ -69,7 +69,7 @@ def fit(labelled: DataFrame, id: str = "doc_id", text: str = "text", lang: str =
     return LanguageModel(tuple(content))
 
 
-@lru_cache(4)
+@lru_cache(1)  # one model's: a compressor of this level holds some megabytes
 def _compressors(model: LanguageModel) -> list:
     out = []
     for _, content in model.content:

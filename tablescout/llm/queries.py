@@ -18,12 +18,13 @@ from tablescout.llm import (
     simhash,
     warc,
 )
-from tablescout.llm.frames import work_folder
+from tablescout.llm.frames import small_batches, work_folder
 
 SEQUENCE_TOKENS, END_ID = 1024, 2
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
