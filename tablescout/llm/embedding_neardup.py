@@ -86,10 +86,10 @@ def _verify(pivots: int, nearest: int, shared: int, dimension: int, least: float
     """
     words = -(-pivots // 64)
 
-    def of_group(key, k, n, near, rows, side):
+    def of_group(key, near, rows, side):
         unit = _unit(rows)
-        bits = np.zeros((len(k), words), np.uint64)
-        index = np.arange(len(k))
+        bits = np.zeros((len(rows), words), np.uint64)
+        index = np.arange(len(rows))
         for j in range(nearest):
             np.bitwise_or.at(
                 bits, (index, near[:, j] >> 6), np.uint64(1) << (near[:, j] & 63).astype(np.uint64)
@@ -140,7 +140,7 @@ def _verify(pivots: int, nearest: int, shared: int, dimension: int, least: float
         heard, edges = [], []
         for b, e in zip(begins[many].tolist(), ends[many].tolist(), strict=True):
             part = slice(b, e)
-            for i, j in of_group(int(key[b]), k[part], n[part], near[part], rows[part], side[part]):
+            for i, j in of_group(int(key[b]), near[part], rows[part], side[part]):
                 i, j = i + b, j + b
                 heard.append((np.concatenate([k[i], k[j]]), np.concatenate([n[j], n[i]])))
                 edges.append(spanning_edges(k[i], k[j]))

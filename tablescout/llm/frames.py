@@ -7,7 +7,6 @@ import tempfile
 from uuid import uuid4
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,13 +109,6 @@ def spanning_edges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return nodes[apart], nodes[roots[apart]]
 
 
-def _contract(batches):
-    for part in batches:
-        if len(part):
-            child, root = spanning_edges(part["a"].to_numpy(), part["b"].to_numpy())
-            yield pd.DataFrame({"a": child, "b": root})
-
-
 def components(edges: DataFrame, folder: str, max_rounds: int = 60) -> DataFrame:
     """Connected components of the undirected edges (a, b), two longs.
 
@@ -130,7 +122,6 @@ def components(edges: DataFrame, folder: str, max_rounds: int = 60) -> DataFrame
     pairs = (
         edges.where("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .mapInPandas(_contract, "a long, b long")
         .distinct()
     )
     pairs = keep(pairs, folder, "edges-0")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from functools import lru_cache
 
@@ -14,7 +13,6 @@ from tablescout.llm.frames import text_chunks
 SYMBOLS = "#*$%&|<>"
 CLASSES = ["lower", "upper", "letter", "digit", "space", "line", "mark", "symbol"]
 LOWER, UPPER, LETTER, DIGIT, SPACE, LINE, MARK, SYMBOL = range(8)
-LINE_BREAK = re.compile("\n")
 
 
 @lru_cache(1)
@@ -61,9 +59,6 @@ def character_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return counts, in_words, symbols
 
 
-BLANKS = re.compile("[\x20\x09-\x0d]+")
-
-
 def split_words(text: str) -> list[str]:
     """Words between ASCII white space (other white space is part of a word)."""
     raw = text.encode("utf-8", "surrogatepass").split()
