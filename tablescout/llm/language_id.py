@@ -20,6 +20,7 @@ LONGEST_SAMPLE = 50_000  # characters; longer texts are not used for fitting
 FRAME_BYTES = 1024  # a text is compressed in frames, each with the dictionary as its past
 LEVEL = 9
 MARGIN = 2  # bytes that the second best must need more
+SHORT_CHARS = 100  # a text below this may not hold enough to tell; it is not rejected for its margin
 
 
 @dataclass(frozen=True)
@@ -102,8 +103,9 @@ def identify(
     lang_pred is the language whose dictionary makes the whole text smallest, the first by name
     on ties; ``und`` for a null text, one without a letter, or where nothing was learned. score
     rises from 0 to 1 with the bytes that the second best needs more. rejected holds for
-    ``und`` and where these are fewer than ``margin``; a single learned language is never
-    rejected for its margin. Input columns of these names are replaced; repeated rows stay.
+    ``und`` and, in texts of at least ``SHORT_CHARS`` characters, where these are fewer than
+    ``margin``: a few words cost the same with every dictionary, which says nothing against
+    them. A single learned language is never rejected for its margin. Input columns of these names are replaced; repeated rows stay.
     """
     names = [name for name, _ in model.content]
 
@@ -117,7 +119,8 @@ def identify(
             best = int(np.argmin(found))
             others = [s for i, s in enumerate(found) if i != best]
             gap = min(others) - found[best] if others else max(8, margin)
-            rows.append((names[best], 1.0 - float(np.exp(-gap / 8.0)), gap < margin))
+            unclear = gap < margin and len(t) >= SHORT_CHARS
+            rows.append((names[best], 1.0 - float(np.exp(-gap / 8.0)), unclear))
         return pd.DataFrame(rows, columns=["lang_pred", "score", "rejected"])
 
     found = once(guess, "lang_pred string, score double, rejected boolean")(F.col(f"`{text}`"))

@@ -63,6 +63,15 @@ def test_language(spark, docs):
     assert {r["lang_pred"] for r in language_id.identify(docs, nothing).collect()} == {"und"}
 
 
+def test_short_texts_are_not_rejected(spark, docs):
+    model = language_id.fit(docs)
+    both = " ".join(f"Q{chr(0x3B1 + i % 24)}{chr(0x430 + i * 7 % 32)}" for i in range(60))
+    texts = ["This.", "De.", "The shor.", "12 !", both]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["rejected"] for r in language_id.identify(rows, model).collect()}
+    assert got == {0: False, 1: False, 2: False, 3: True, 4: True}
+
+
 def test_quality_classifier(docs, labels):
     model = quality_classifier.fit(docs.where("doc_id % 3 <> 1"), labels)
     assert 0 < len(model.rules) < 60
