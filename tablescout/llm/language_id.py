@@ -10,11 +10,13 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tablescout.llm.frames import attach, once
 
 UNDETERMINED = "und"
-SAMPLE_TEXTS = 300  # texts per language from which a dictionary is filled, about
+SAMPLE_TEXTS = 300  # texts per language from which a dictionary is filled, at most
+SPARE = 1.5  # times as many are looked at, so that the share rarely holds fewer
 DICTIONARY_BYTES = 131_072
 LONGEST_SAMPLE = 50_000  # characters; longer texts are not used for fitting
 FRAME_BYTES = 1024  # a text is compressed in frames, each with the dictionary as its past
@@ -30,36 +32,40 @@ class LanguageModel:
     content: tuple[tuple[str, bytes], ...]
 
 
-def fit(labelled: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
-    """Dictionaries from about ``SAMPLE_TEXTS`` texts of each language, chosen by a hash of ``id``.
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
+    """Dictionaries from at most ``SAMPLE_TEXTS`` texts of each language, chosen by a hash.
 
     Rows of a null language, null text or a text without words are not used; nor are texts over
-    ``LONGEST_SAMPLE`` characters, for the sample's sake. Equal texts count once. Languages
-    without a usable text are not learned; from an empty table nothing is.
+    ``LONGEST_SAMPLE`` characters, for the sample's sake. Equal texts count once, whatever their
+    ids, and a null id changes nothing. Languages without a usable text are not learned; from an
+    empty table nothing is.
     """
-    rows = labelled.select(
-        F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")
-    ).where(
+    rows = labelled.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where(
         F.col("lang").isNotNull()
         & (F.length(F.trim("text")) > 0)
         & (F.length("text") <= LONGEST_SAMPLE)
     )
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rows = rows.withColumn("place", F.xxhash64("text"))
+    # distinct texts, so that copies neither fill nor empty the share
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("place", 0.02).alias("n")).collect()
     whole = 1 << 30
     bound = F.lit(0)
-    for name, n in counts.items():
-        bound = F.when(F.col("lang") == name, int(whole * SAMPLE_TEXTS / n) + 1).otherwise(bound)
-    place = F.xxhash64("id")
+    for r in sizes:
+        share = int(whole * SPARE * SAMPLE_TEXTS / max(1, r["n"])) + 1
+        bound = F.when(F.col("lang") == r["lang"], share).otherwise(bound)
+    near = rows.where(F.pmod("place", F.lit(whole)) < bound).dropDuplicates(["lang", "text"])
+    order = Window.partitionBy("lang").orderBy(F.pmod("place", F.lit(whole)), "text")
     drawn = (
-        rows.where(F.pmod(place, F.lit(whole)) < bound)
-        .select("lang", "text", place.alias("place"))
+        near.withColumn("nth", F.row_number().over(order))
+        .where(F.col("nth") <= SAMPLE_TEXTS)
+        .select("lang", "text", "place")
         .toPandas()
         .sort_values(["lang", "place", "text"])
     )
     content = []
     for name, part in drawn.groupby("lang", sort=True):
         filled, size = [], 0
-        for t in dict.fromkeys(part["text"]):
+        for t in part["text"]:
             raw = t.lower().encode("utf-8", "replace")
             if size and size + len(raw) > DICTIONARY_BYTES:
                 continue

@@ -63,6 +63,21 @@ def test_language(spark, docs):
     assert {r["lang_pred"] for r in language_id.identify(docs, nothing).collect()} == {"und"}
 
 
+def test_sample_is_bounded_whatever_the_ids(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_TEXTS", 20)
+    kind = "doc_id long, text string, lang string"
+    texts = [f"text number {i} word{i * 7919 % 1000}" for i in range(600)]
+    copies = [(None, texts[0], "en")] * 3000
+
+    def filled(rows):
+        ((_, content),) = language_id.fit(spark.createDataFrame(rows, kind)).content
+        return content.decode().split("\n")
+
+    bare = filled([(None, t, "en") for t in texts])
+    assert len(bare) == len(set(bare)) == 20
+    assert bare == filled([(i, t, "en") for i, t in enumerate(texts)] + copies)
+
+
 def test_short_texts_are_not_rejected(spark, docs):
     model = language_id.fit(docs)
     both = " ".join(f"Q{chr(0x3B1 + i % 24)}{chr(0x430 + i * 7 % 32)}" for i in range(60))
