@@ -40,13 +40,17 @@ def _order(df: DataFrame, key: str) -> Column:
 
 
 def _first(df: DataFrame, key: str, n: int, among: int) -> DataFrame:
-    """The ``n`` rows of the smallest hashes out of about ``among``.
+    """The ``n`` rows of the smallest hashes out of ``among``; all of them where there are fewer.
 
     Rows whose hash is far beyond the n-th are left out before the top-n, so that its last
-    task receives little more than ``n`` rows however many tasks there are.
+    task receives little more than ``n`` rows however many tasks there are. The share holds for
+    keys, not for rows: where repeated keys leave it short of ``n`` rows, it is widened.
     """
-    near = n + 10 * n**0.5 + 20
-    drawn = hashed_sample(df, key, min(100.0, 100 * near / max(1, among)))
+    percent = 100 * (n + 10 * n**0.5 + 20) / max(1, among)
+    drawn = hashed_sample(df, key, min(100.0, percent))
+    while percent < 100 and drawn.count() < min(n, among):
+        percent *= 8
+        drawn = hashed_sample(df, key, min(100.0, percent))
     return drawn.orderBy(_order(df, key), _row(df)).limit(n)
 
 
@@ -69,9 +73,20 @@ def hashed_sample(df: DataFrame, key: str, percent: float) -> DataFrame:
 
 
 def random_sample(df: DataFrame, key: str, target: int, rows: int | None = None) -> DataFrame:
-    """About ``target`` rows and never more: hashed share, then a top-n by hash as the cap."""
+    """About ``target`` rows and never more: hashed share, then a top-n by hash as the cap.
+
+    Where repeated keys leave the share far short of ``target``, the rows of the next hashes
+    fill it up. ``rows`` is the number of rows of ``df``, where it is known.
+    """
     rows = df.count() if rows is None else rows
-    return _first(hashed_sample(df, key, sample_percent(rows, target)), key, target, rows)
+    percent = sample_percent(rows, target)
+    if percent >= 100:
+        return _first(df, key, target, rows)
+    share = hashed_sample(df, key, percent)
+    drawn = share.count()
+    if drawn < max(1, target - 5 * target**0.5):  # below what chance leaves of unique keys
+        return _first(df, key, target, rows)
+    return _first(share, key, target, drawn)
 
 
 def _outside(

@@ -119,6 +119,25 @@ def test_the_last_task_of_a_sample_gets_few_rows(spark):
     assert random_sample(df, "id", 10).count() == 10
 
 
+def test_samples_are_full_where_keys_repeat(spark):
+    from tablescout.operators import sampling
+
+    few = spark.range(100_000).select((F.col("id") % 10).alias("k"), F.col("id").alias("v"))
+    assert sampling._first(few, "k", 50, 100_000).count() == 50
+    assert random_sample(few, "k", 500).count() == 500
+    assert random_sample(few, "k", 50).count() == 50
+    assert sampling.corner_cases(few.select(F.col("k").cast("string"), "v"), few, "k", 50).count() == 50
+    by_hash = few.select("k").distinct().orderBy(F.md5(F.col("k").cast("string"))).first()["k"]
+    assert {r["k"] for r in sampling._first(few, "k", 50, 100_000).collect()} == {by_hash}
+    # a third of the rows share the key of the greatest hash
+    last = spark.range(3000).orderBy(F.desc(F.md5(F.col("id").cast("string")))).first()["id"]
+    hot = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, last).otherwise(F.col("id")).alias("k"), F.col("id").alias("v")
+    )
+    assert sampling._first(hot, "k", 5000, 30_000).count() == 5000
+    assert random_sample(hot, "k", 9000).count() == 9000
+
+
 def test_dates_and_ids_are_no_phone_numbers(spark):
     texts = ["2024-01-15 order 12", "id 123456789", "call +1 (555) 010-0199", "(555) 010-0199"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
