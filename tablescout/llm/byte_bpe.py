@@ -180,6 +180,17 @@ def load_ranks(path: str) -> dict[bytes, int]:
     }
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Ids of the strings that a tokenizer's JSON adds beside its vocabulary; a rank file has none."""
+    if not path.endswith(".json"):
+        return {}
+    with open(path, encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{path}: added tokens that take in or depend on their surroundings")
+    return {t["content"]: t["id"] for t in added}
+
+
 class ByteBpe:
     """Encoder and decoder of one vocabulary; one per worker process and path."""
 

@@ -18,34 +18,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tablescout.llm.byte_bpe import load_ranks
+from tablescout.llm.byte_bpe import added_tokens, load_ranks
 from tablescout.llm.frames import keep, once
 
 ROWS_IN_BUCKET = 100_000  # pieces numbered together in one window group, about
 
 
 @lru_cache(2)
-def _encoding(path: str) -> tiktoken.Encoding:
+def _encoding(path: str, added: bool) -> tiktoken.Encoding:
     return tiktoken.Encoding(
-        "pieces", pat_str=PATTERN, mergeable_ranks=load_ranks(path), special_tokens={}
+        "pieces",
+        pat_str=PATTERN,
+        mergeable_ranks=load_ranks(path),
+        special_tokens=added_tokens(path) if added else {},
     )
 
 
 def token_pieces(
-    df: DataFrame, path: str, capacity: int, end_id: int, columns: list[str], text: str = "text"
+    df: DataFrame,
+    path: str,
+    capacity: int,
+    end_id: int,
+    columns: list[str],
+    text: str = "text",
+    added: bool = False,
 ) -> DataFrame:
     """Every text's ids and ``end_id``, cut into pieces: ``columns``, piece, start, length, ids.
 
     Only texts of more than ``capacity`` ids are cut, so that all pieces but the first are
     full. ``ids`` is binary, little-endian unsigned 32-bit. A null text counts as empty: its
-    one piece is the end id. Strings of special tokens are ordinary text. Repeated rows give
+    one piece is the end id. With ``added``, strings of the vocabulary's added tokens give those
+    tokens' ids, as by the tokenizer's default; else they are ordinary text. Repeated rows give
     their pieces each; columns of ``df`` outside ``columns`` are left out.
     """
 
     def cut(texts: pd.Series) -> pd.Series:
-        encoding, out = _encoding(path), []
+        encoding, out = _encoding(path, added), []
         for t in texts:
-            ids = encoding.encode_to_numpy(t or "", disallowed_special=())
+            ids = encoding.encode_to_numpy(t or "", allowed_special="all", disallowed_special=())
             raw = np.append(ids, end_id).astype("<u4").tobytes()
             first = (len(raw) // 4 - 1) % capacity + 1
             ends = range(4 * first, len(raw) + 1, 4 * capacity)

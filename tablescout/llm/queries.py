@@ -58,7 +58,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packed(docs: DataFrame) -> DataFrame:
     """Pieces of the documents with their checksums, packed into sequences."""
     path = tokenizer_path("byte_bpe_50k.json")
-    pieces = packing.token_pieces(docs, path, SEQUENCE_TOKENS, END_ID, ["doc_id"])
+    pieces = packing.token_pieces(docs, path, SEQUENCE_TOKENS, END_ID, ["doc_id"], added=True)
     digests = pieces.select(
         "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")
     )

@@ -1,6 +1,7 @@
 """Byte-level BPE and packing against the public libraries and brute force."""
 
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -9,7 +10,7 @@ import tiktoken
 from public_tokenizers import PATTERN, path
 from tokenizers import Tokenizer
 
-from tablescout.llm import byte_bpe, packing
+from tablescout.llm import byte_bpe, packing, queries
 from tablescout.llm.frames import work_folder
 
 RANKS = path("byte_bpe_50k.tiktoken")
@@ -86,6 +87,25 @@ def test_pieces_match_the_tokenizer(spark):
         assert len(by_doc[i]) == -(-len(whole) // 16)
 
 
+def test_added_tokens_match_the_tokenizers_default(spark):
+    own = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    draw = random.Random(9)
+    parts = ["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "a", "b's", "é", "日", "1"]
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", None]
+    texts += ["".join(draw.choices(parts, k=draw.randint(0, 12))) for _ in range(500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = {
+        i: [*own.encode(t or "", add_special_tokens=False).ids, 2] for i, t in enumerate(texts)
+    }
+    assert whole[0] == [64, 220, 50256, 275, 2]
+    pieces = packing.token_pieces(df, path("byte_bpe_50k.json"), 1024, 2, ["doc_id"], added=True)
+    assert {r["doc_id"]: ids(r["ids"]) for r in pieces.collect()} == whole
+    packed = queries.packed(df).collect()
+    assert {r["doc_id"]: r["length"] for r in packed} == {i: len(x) for i, x in whole.items()}
+    for r in packed:
+        assert r["ids_crc32"] == zlib.crc32(np.array(whole[r["doc_id"]], "<u4").tobytes())
+
+
 def least(lengths, capacity):
     """Fewest sequences, by trying all ways."""
     lengths = sorted(lengths, reverse=True)
