@@ -76,17 +76,24 @@ def token_pieces(
     )
 
 
-def _complement(has: np.ndarray, gap: int, parts: int):
-    """Available lengths, largest first, that sum to ``gap`` exactly; by 1, 2 or 3 parts."""
+def _complement(free: np.ndarray, gap: int, parts: int):
+    """Lengths, largest first, that sum to ``gap`` exactly; by 1, 2 or 3 parts.
+
+    ``free`` counts what is there of each length; a length is used at most so often.
+    """
     if parts == 1:
-        return (gap,) if has[gap] else None
+        return (gap,) if free[gap] else None
     if parts == 2:
         high = np.arange(gap - 1, (gap - 1) // 2, -1)
-        hits = high[has[high] & has[gap - high]]
+        hits = high[(free[high] > 0) & (free[gap - high] > (high == gap - high))]
         return (int(hits[0]), gap - int(hits[0])) if len(hits) else None
     for a in range(gap - 2, (gap - 1) // 3, -1):
-        if has[a] and (rest := _complement(has, gap - a, 2)) and rest[0] <= a:
-            return (a, *rest)
+        if free[a]:
+            free[a] -= 1
+            rest = _complement(free, gap - a, 2)
+            free[a] += 1
+            if rest and rest[0] <= a:
+                return (a, *rest)
     return None
 
 
@@ -103,16 +110,14 @@ def packing_plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int,
         for length in range(capacity - 1, 0, -1):
             while left[length]:
                 # the head itself is in use; it may serve as a part where more of it are left
-                has = left > 0
-                has[length] = left[length] > 1
-                rest = _complement(has, capacity - length, parts)
+                free = left.copy()
+                free[length] -= 1
+                rest = _complement(free, capacity - length, parts)
                 if rest is None:
                     break
                 pattern = (length, *rest)
                 need = {x: pattern.count(x) for x in pattern}
                 times = min(int(left[x]) // k for x, k in need.items())
-                if times == 0:
-                    break
                 plan.append((pattern, times))
                 for x, k in need.items():
                     left[x] -= k * times

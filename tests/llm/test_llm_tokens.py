@@ -1,5 +1,6 @@
 """Byte-level BPE and packing against the public libraries and brute force."""
 
+import itertools
 import random
 import zlib
 from collections import Counter
@@ -144,6 +145,21 @@ def test_plan_uses_up_all_and_is_near_the_least():
     assert packing.packing_plan({}, 12) == []
 
 
+def test_plan_goes_on_where_a_part_is_not_there_twice():
+    plan = packing.packing_plan({1000: 1, 10: 1, 9: 1, 8: 1, 7: 1}, 1024)
+    assert ((1000, 9, 8, 7), 1) in plan and len(plan) == 2
+    for parts in (2, 3):
+        draw = random.Random(parts)
+        for _ in range(300):
+            free = np.array([0] + [draw.choice([0, 0, 1, 2]) for _ in range(12)] + [0] * 20)
+            gap = draw.randint(parts, 20)
+            there = [x for x in range(13) for _ in range(free[x])]
+            ways = [c for c in itertools.combinations(there, parts) if sum(c) == gap]
+            found = packing._complement(free, gap, parts)
+            assert (found is None) == (not ways)
+            assert found is None or tuple(sorted(found)) in ways
+
+
 def test_pack(spark, monkeypatch):
     monkeypatch.setattr(packing, "ROWS_IN_BUCKET", 3)
     lengths = [5] * 500 + [11] * 200 + list(range(1, 17)) * 9
