@@ -103,7 +103,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def candidate_spans(text: str) -> list[tuple[int, int, int, bool]]:
     """(start, kind, end, base): base spans, and looser ones that overlap none of them.
 
-    Of overlapping looser ones the earlier, then the kind listed first, stands.
+    Looser ones may overlap each other; `spans` chooses among those that are accepted.
     """
     base = base_spans(text)
     loose: list[tuple[int, int, int]] = []
@@ -121,14 +121,13 @@ def candidate_spans(text: str) -> list[tuple[int, int, int, bool]]:
     loose += [(m.start(), NAME, m.end()) for m in NAMES.finditer(text)]
     taken = [(a, b) for a, _, b in base]
     out = [(a, k, b, True) for a, k, b in base]
-    ends, i = 0, 0
+    i = 0
     taken.sort()
     for a, k, b in sorted(loose):
         while i < len(taken) and taken[i][1] <= a:
             i += 1
-        if a >= ends and (i == len(taken) or taken[i][0] >= b):
+        if i == len(taken) or taken[i][0] >= b:
             out.append((a, k, b, False))
-            ends = b
     return sorted(out)
 
 
@@ -277,10 +276,20 @@ def fit(df: DataFrame, text: str = "text") -> SpanModel:
 
 
 def spans(text: str | None, model: SpanModel) -> list[tuple[int, int, int, bool]]:
-    """(start, kind, end, base) of a text: all base spans, and those the classifier accepts."""
+    """(start, kind, end, base) of a text: all base spans, and those the classifier accepts.
+
+    Of overlapping accepted ones the earlier, then the kind listed first, stands.
+    """
     found = candidate_spans(text) if text else []
     said = model.accepts([features(text, *c) for c in found])
-    return [c for c, yes in zip(found, said, strict=True) if yes or c[3]]
+    out, ends = [], 0
+    for (start, kind, end, base), yes in zip(found, said, strict=True):
+        if base:
+            out.append((start, kind, end, base))
+        elif yes and start >= ends:
+            out.append((start, kind, end, base))
+            ends = end
+    return out
 
 
 def redacted(text: str, found: list[tuple[int, int, int, bool]]) -> str:

@@ -226,6 +226,21 @@ def test_base_spans():
     assert pii.base_spans("a" * 200_000 + "1" * 4000 + "." * 1000 + "@" * 1000) == []
 
 
+def test_a_refused_candidate_hides_no_other():
+    class NoCards:
+        def accepts(self, codes):
+            return [code // 4 % len(pii.KINDS) != pii.CARD for code in codes]
+
+    text = "ref 62704 217-555-0199 end"
+    assert [text[a:b] for a, _, b, _ in pii.spans(text, NoCards())] == ["217-555-0199"]
+
+    class All:
+        def accepts(self, codes):
+            return [True] * len(codes)
+
+    assert [text[a:b] for a, _, b, _ in pii.spans(text, All())] == ["62704 217-555-0199"]
+
+
 def test_personal_data(spark):
     draw = random.Random(9)
     texts = [f"word {i} mail: user{i}@site.org and some more text" for i in range(40)]
