@@ -45,7 +45,8 @@ INTERNATIONAL = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NATIONAL = re.compile(r"\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9.-])")
 HIDDEN_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}[ ]?[\[(](?:at|AT)[\])][ ]?[A-Za-z0-9-]{1,63}(?:[ ]?[\[(](?:dot|DOT)[\])][ ]?[A-Za-z0-9-]{1,63}){1,4}")
 HEXES = re.compile(r"(?<![A-Za-z0-9:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![A-Za-z0-9:])")
-KEYS = re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_-]{24,128}(?![A-Za-z0-9_/+-])")
+KEYS = re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,}+={0,2}(?![A-Za-z0-9_/+-])")
+SEGMENT = re.compile(r"[A-Za-z0-9]{12,}")
 NAMES = re.compile(r"\b(?:" + "|".join(TITLES) + r")\.? (?:[^\W\d_a-z][^\W\d_]{1,20} ){0,2}[^\W\d_a-z][^\W\d_]{1,20}|\b(?:" + "|".join(x.title() for x in sorted(GIVEN_NAMES)) + r") [A-Z][^\W\d_]{1,20}\b")
 WORD = re.compile(r"[\w-]+")
 
@@ -79,6 +80,16 @@ def _addresses(text: str):
             yield chain.start() + parts[i].start(), chain.start() + parts[i + 3].end(), fits
 
 
+def _random_looking(span: str) -> bool:
+    """Whether a long run of letters and digits mixes these, or cases inside; slugs, paths and
+    joined words do not."""
+    return any(
+        (re.search("[0-9]", run) and re.search("[A-Za-z]", run))
+        or re.search("[a-z][A-Z]{2}", run)
+        for run in SEGMENT.findall(span)
+    )
+
+
 def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
@@ -145,7 +156,9 @@ def votes(text: str, start: int, kind: int, end: int, base: bool) -> list[int]:
     elif kind == IP:
         check = 1 if base or span.count(":") == 7 else -1
     elif kind == SECRET:
-        check = 1 if len(set(span)) >= 10 else -1
+        # a path after a host name is part of an address
+        path = "/" in span and (span.startswith("//") or text[max(0, start - 1) : start] == ".")
+        check = 1 if len(set(span)) >= 10 and _random_looking(span) and not path else -1
     gazetteer = 0
     if kind == EMAIL:
         gazetteer = 1 if re.split(r"\W+", span.lower().strip(")]"))[-1] in TOP_DOMAINS else -1
@@ -160,7 +173,9 @@ def votes(text: str, start: int, kind: int, end: int, base: bool) -> list[int]:
     context = 1 if near & set(FOR_WORDS[kind]) else -1 if near & set(AGAINST_WORDS) else 0
     joined = (start > 0 and text[start - 1].isalnum()) or (end < len(text) and text[end].isalnum())
     variety = 0
-    if kind != NAME:
+    if kind == SECRET:
+        variety = 1 if _random_looking(span) else -1
+    elif kind != NAME:
         variety = -1 if len(set(digits)) <= 2 and len(digits) >= 9 else 1
     return [1 if base else 0, check, context, gazetteer, -1 if joined else 1, variety]
 
