@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 
 from tablescout.llm import (
     byte_bpe,
+    centroids,
     embedding_neardup,
     language_id,
     license_scan,
+    merkle,
     packing,
     pii,
     quality_classifier,
     quality_rules,
     simhash,
+    toxicity,
     warc,
 )
 from tablescout.llm.frames import small_batches, work_folder
@@ -185,6 +188,30 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_remainder(documents(spark, sf_dir), 4)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs.where("_part <> 2"), labels, work_folder(spark, "toxicity"))
+    return toxicity.score(docs, model, columns=["doc_id", "_part"]).select(
+        "doc_id",
+        F.coalesce(F.col("_part") == 2, F.lit(False)).alias("held_out"),
+        "score",
+        "predicted",
+    )
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    without = F.replace(F.col("text"), F.lit("\n"), F.lit(""))
+    return merkle.manifest(docs, work_folder(spark, "merkle"), tampered, without)
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return centroids.cluster(vectors, work_folder(spark, "centroids"))
+
+
 WARC_SQL = """
 WITH p AS (
   SELECT page_id, url, 1600000000 + page_id * 7919 % 1000003 AS ts_first, length(html) AS size,
@@ -249,5 +276,8 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc_revisits": op10_warc_revisits,
+    "op11_toxicity": op11_toxicity,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 SQL: dict[str, str] = {"op10_warc_revisits": WARC_SQL}
