@@ -94,7 +94,7 @@ def constraint_guesses(
     A value set has at most ``most_values`` values.
     """
     keys = ["table_name", "column_name"]
-    filled = overview.where("row_count > 0 AND null_count = 0 AND distinct_count IS NOT NULL")
+    filled = overview.where("row_count > 0 AND null_count = 0")
     not_null = filled.select(*keys, F.lit("not_null").alias("constraint"), F.lit("").alias("detail"))
     unique = filled.where("distinct_count = row_count").select(
         *keys, F.lit("unique").alias("constraint"), F.lit("").alias("detail")
