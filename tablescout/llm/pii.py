@@ -38,7 +38,7 @@ AGAINST_WORDS = "version ver isbn issn doi section figure fig chapter page relea
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)++")
+DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)++")
 PART = re.compile(r"[0-9]+")
 DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 INTERNATIONAL = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import re
 from collections import Counter
 
@@ -226,6 +227,17 @@ def test_base_spans():
     assert pii.base_spans("a" * 200_000 + "1" * 4000 + "." * 1000 + "@" * 1000) == []
 
 
+def test_long_runs_take_time_in_proportion():
+    for text in ("1" * 1_000_000, "1" * 500_000 + ".2" + "3" * 500_000, "1.1" + ".1" * 300_000 + "a"):
+        began = time.perf_counter()
+        found = [s for s in pii.base_spans(text) if s[1] == pii.IP]
+        assert time.perf_counter() - began < 3
+        assert len(found) == (text.count(".") + 1) // 4 * ("a" in text)
+    began = time.perf_counter()
+    assert list(pii._addresses("1" * 1_000_000)) == []
+    assert time.perf_counter() - began < 1
+
+
 def test_secrets_of_any_length_and_alphabet():
     draw = random.Random(4)
     seen = Counter()
