@@ -1,39 +1,40 @@
-"""Exact quantiles in two scans without sorting the data.
+"""Exact quantiles without sorting the data.
 
-Scan 1 runs a quantile sketch per column and takes, for every requested probability, a narrow
-bracket of values that is certain to hold the wanted ranks. Scan 2 counts values: inside a
-bracket per value, between brackets as one number. What is left to order is the small share
-of rows inside the brackets, so no task ever holds or sorts a whole column.
+The first scan sketches every column; sketches are merged in a tree. It gives, for every wanted
+probability, a narrow bracket of values that holds the wanted ranks. While a bracket may still
+hold more than ``BRACKET_ROWS`` rows, a scan counts what lies below it and sketches only what
+lies inside, which narrows it by the same factor again. The last scan counts values: inside a
+bracket per value, between brackets as one number. What is left to order is a number of rows
+that does not grow with the data; no task ever holds or sorts a column.
 
-Both scans run when the operator is called, because the edges of the first are constants of
-the second, and a missed rank is looked for again in wider brackets; each brings one row per
-numeric column to the driver.
+The scans run when the operator is called, because the edges of one are constants of the next,
+and a missed rank is looked for again in wider brackets; each brings one row per numeric column
+and probability to the driver.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from math import isqrt
+from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablescout.functions.sqltext import ident, inline_rows, label_of, literal, local_frame
-from tablescout.functions.types import NUMERIC, col, names_of, nan_to_null, union_all
+from tablescout.functions.types import NUMERIC, names_of, nan_to_null, union_all
+from tablescout.operators.sketches import FAN, SKETCH_K, merged, quantiles_sql, rank_error
 
-MIN_ACCURACY, MAX_ACCURACY = 10_000, 200_000
+BRACKET_ROWS = 1_000_000
+GRID = 1000  # places at which the sketch of a bracket's rows is read
 
+Spans = dict[tuple[str, str], list[tuple[float, float]]]
 
-def bracket_accuracy(tables: dict[str, DataFrame]) -> int:
-    """Sketch accuracy that keeps the brackets of the largest table short.
 
-    A bracket holds about ``4 / accuracy`` of the rows: with the square root of the row count
-    that is some millions of rows in a table of 10^12. Counting rows reads no column.
-    """
+def largest_table(tables: dict[str, DataFrame]) -> int:
+    """Rows of the largest table; counting them reads no column."""
     counts = union_all([df.agg(F.count(F.lit(1)).alias("n")) for df in tables.values()])
-    rows = counts.agg(F.max("n")).first()[0]
-    return max(MIN_ACCURACY, min(MAX_ACCURACY, isqrt(rows)))
+    return counts.agg(F.max("n")).first()[0]
 
 
 def _doubles(df: DataFrame) -> DataFrame:
@@ -41,55 +42,146 @@ def _doubles(df: DataFrame) -> DataFrame:
     return nan_to_null(df).selectExpr(*casts)
 
 
-def _brackets(
-    tables: dict[str, DataFrame], probabilities: list[float], accuracy: int, widen: float
-) -> dict[tuple[str, str], list[tuple[float, float]]]:
-    """Disjoint sorted value intervals per column that hold every wanted rank.
+def _sketched(tables: dict[str, DataFrame], points: list[float], rows: int, k: int, fan: int):
+    """Per numeric column: its extremes, count, and the sketch's values at ``points``; one job."""
+    parts = []
+    for table, df in tables.items():
+        names = names_of(df, NUMERIC)
+        values = {f"s_{i}": ident(c) for i, c in enumerate(names)}
+        sums = {f"n_{i}": f"count({ident(c)})" for i, c in enumerate(names)}
+        wide = merged(_doubles(df), values, sums, rows, k=k, fan=fan)
+        # The first and last values that a sketch knows are the exact extremes.
+        facts = [
+            {
+                "column_name": literal(c),
+                "edges": quantiles_sql(f"s_{i}", f"n_{i}", [0.0, *points, 1.0]),
+                "n": f"n_{i}",
+            }
+            for i, c in enumerate(names)
+        ]
+        parts.append(wide.select(F.lit(table).alias("table_name"), inline_rows(facts)))
+    return union_all(parts)
 
-    One job over all tables. The driver receives one row per numeric column.
-    """
-    margin = min(1.0, widen * 2.0 / accuracy)
+
+def _ranks(n: int, p: float) -> tuple[int, int]:
+    """The ranks, from 0, between which the quantile of ``p`` lies."""
+    position = (n - 1) * p
+    return floor(position), ceil(position)
+
+
+def _brackets(
+    tables: dict[str, DataFrame],
+    probabilities: list[float],
+    rows: int,
+    k: int,
+    widen: float,
+    bracket_rows: int,
+    fan: int,
+) -> Spans:
+    """Disjoint sorted value intervals per column that hold every wanted rank."""
+    margin = min(1.0, widen * 2 * rank_error(k))
     lows = [max(p - margin, 0.0) for p in probabilities]
     highs = [min(p + margin, 1.0) for p in probabilities]
-    parts = []
-    for table, df in tables.items():
-        names, aggregates, rows = names_of(df, NUMERIC), [], []
-        points = ", ".join(f"{p!r}D" for p in lows + highs)
-        for i, c in enumerate(ident(n) for n in names):
-            aggregates += [
-                f"percentile_approx({c}, array({points}), {accuracy}) AS edges_{i}",
-                f"min({c}) AS min_{i}",
-                f"max({c}) AS max_{i}",
-                f"count({c}) AS n_{i}",
-            ]
-            facts = {x: f"{x}_{i}" for x in ("edges", "min", "max", "n")}
-            rows.append({"column_name": literal(names[i]), **facts})
-        wide = _doubles(df).selectExpr(*aggregates)
-        parts.append(wide.select(F.lit(table).alias("table_name"), inline_rows(rows)))
-    out = {}
-    for r in union_all(parts).where("n > 0").collect():
-        k = len(probabilities)
-        # A rank is finer than the margin only in larger columns; small ones are counted whole.
-        if r["n"] <= 4 * accuracy:
-            spans = [(r["min"], r["max"])]
+    spans: Spans = {}
+    counts: dict[tuple[str, str], int] = {}
+    for r in _sketched(tables, lows + highs, rows, k, fan).where("n > 0").collect():
+        low, *edges, high = r["edges"]
+        counts[_key(r)] = r["n"]
+        half = len(probabilities)
+        # A sketch of at most half its size has forgotten nothing; its column is counted whole.
+        spans[_key(r)] = [
+            (low, high)
+            if r["n"] <= k // 2
+            else (
+                low if lows[j] == 0.0 else edges[j],
+                high if highs[j] == 1.0 else edges[half + j],
+            )
+            for j in range(half)
+        ]
+    inside = 2 * margin * max(counts.values(), default=0)
+    while inside > bracket_rows:
+        before = inside
+        spans, inside = _narrowed(tables, spans, counts, probabilities, rows, k, margin, fan)
+        if inside > 0.9 * before:
+            break
+    return {key: _disjoint(found) for key, found in spans.items()}
+
+
+def _disjoint(spans: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    out: list[tuple[float, float]] = []
+    for low, high in sorted(spans):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(high, out[-1][1]))
         else:
-            spans = [
-                (
-                    r["min"] if lows[j] == 0.0 else r["edges"][j],
-                    r["max"] if highs[j] == 1.0 else r["edges"][k + j],
-                )
-                for j in range(k)
-            ]
-        merged: list[tuple[float, float]] = []
-        for low, high in sorted(spans):
-            if merged and low <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(high, merged[-1][1]))
-            else:
-                merged.append((low, high))
-        out[_key(r)] = merged
+            out.append((low, high))
     return out
 
 
+def _narrowed(
+    tables: dict[str, DataFrame],
+    spans: Spans,
+    counts: dict[tuple[str, str], int],
+    probabilities: list[float],
+    rows: int,
+    k: int,
+    margin: float,
+    fan: int,
+) -> tuple[Spans, float]:
+    """Narrower spans of each column and probability, and about how many rows they may hold.
+
+    The rows at a span's ends are counted, only those between them sketched: a value that fills
+    most of a column is an end, and costs nothing from then on.
+    """
+    parts, names_by_table = [], {}
+    for table, df in tables.items():
+        names = [c for c in names_of(df, NUMERIC) if (table, c) in spans]
+        if not names:
+            continue
+        names_by_table[table] = names
+        edges = []
+        for i, c in enumerate(names):
+            for j, (low, high) in enumerate(spans[table, c]):
+                edges.append((i, j, low, high, *_ranks(counts[table, c], probabilities[j])))
+        kind = "i int, j int, low double, high double, first bigint, last bigint"
+        wanted = local_frame(df.sparkSession, edges, kind)
+        values = _doubles(df).select(
+            inline_rows([{"i": str(i), "v": ident(c)} for i, c in enumerate(names)])
+        )
+        # One row per numeric column and probability: broadcasting them is bounded by the schema.
+        met = values.where("v IS NOT NULL").join(F.broadcast(wanted), "i")
+        counted = met.groupBy("i", "j").agg(
+            F.count_if(F.expr("v <= low")).alias("upto"), F.count_if(F.expr("v < high")).alias("under")
+        )
+        between = met.where("low < v AND v < high")
+        inner = merged(between, {"s": "v"}, {"n": "count(v)"}, rows, ["i", "j"], k, fan)
+        # The sketch is asked at fixed places; the next ones around a wanted place are taken.
+        places = quantiles_sql("s", "n", [g / GRID for g in range(GRID + 1)])
+        place = f"greatest(0D, least(1D, ({{}} - upto) / n {{}} {margin!r}D)) * {GRID}"
+        low = f"get(grid, CAST(floor({place.format('first', '-')}) AS INT))"
+        high = f"get(grid, CAST(ceil({place.format('last', '+')}) AS INT))"
+        parts.append(
+            wanted.join(counted, ["i", "j"])
+            .join(inner, ["i", "j"], "left")
+            .withColumn("grid", F.expr(places))
+            .select(
+                F.lit(table).alias("table_name"), "*", F.expr(low).alias("e0"), F.expr(high).alias("e1")
+            )
+            .drop("s", "grid")
+        )
+    out: Spans = {key: list(found) for key, found in spans.items()}
+    most = 0.0
+    for r in union_all(parts).collect():
+        if r["e0"] is None:
+            continue
+        key = (r["table_name"], names_by_table[r["table_name"]][r["i"]])
+        out[key][r["j"]] = (
+            r["low"] if r["first"] < r["upto"] else r["e0"],
+            r["high"] if r["last"] >= r["under"] else r["e1"],
+        )
+        most = max(most, min(1.0, 2 * margin + 2 / GRID) * r["n"])
+    return out, most
+
+
 def _key(row) -> tuple[str, str]:
     return row["table_name"], row["column_name"]
 
@@ -147,11 +239,15 @@ def column_quantiles(
     tables: dict[str, DataFrame],
     probabilities: dict[str, float],
     exact: bool = True,
-    accuracy: int | None = None,
+    k: int = SKETCH_K,
+    bracket_rows: int = BRACKET_ROWS,
+    fan: int = FAN,
 ) -> DataFrame:
     """Linearly interpolated quantiles of every numeric column, one output column per label.
 
-    ``exact=False`` returns the sketch's own answers (elements, not interpolated) in one scan.
+    ``exact=False`` returns the sketch's own answers (elements, not interpolated) in one scan,
+    within ``rank_error(k)`` of the wanted rank. ``k``, ``bracket_rows`` and ``fan`` change the
+    work, not the exact answers.
     """
     labels, wanted = list(probabilities), list(probabilities.values())
     empty = union_all(
@@ -160,33 +256,20 @@ def column_quantiles(
     tables = {t: df for t, df in tables.items() if names_of(df, NUMERIC)}
     if not tables:
         return empty
-    accuracy = bracket_accuracy(tables) if accuracy is None else accuracy
+    rows = largest_table(tables)
     if not exact:
-        parts = []
-        for table, df in tables.items():
-            names = names_of(df, NUMERIC)
-            wide = nan_to_null(df).agg(
-                *[
-                    F.percentile_approx(col(c).cast("double"), wanted, accuracy).alias(f"q{i}")
-                    for i, c in enumerate(names)
-                ]
-            )
-            rows = [
-                F.struct(
-                    F.lit(table).alias("table_name"),
-                    F.lit(c).alias("column_name"),
-                    *[F.col(f"q{i}")[j].alias(label) for j, label in enumerate(labels)],
-                )
-                for i, c in enumerate(names)
-            ]
-            parts.append(wide.select(F.inline(F.array(*rows))))
-        return union_all(parts)
+        found = _sketched(tables, wanted, rows, k, fan)
+        return found.select(
+            "table_name",
+            "column_name",
+            *[F.get("edges", F.lit(j + 1)).alias(label) for j, label in enumerate(labels)],
+        )
 
     # A sketch may miss a rank; the brackets of all columns are then widened, in the end to
     # whole columns. The answers are one row per column.
     widen = 1.0
     while True:
-        picked = _picked(tables, probabilities, accuracy, widen)
+        picked = _picked(tables, probabilities, rows, k, widen, bracket_rows, fan)
         if picked is None:
             return empty
         found = picked.collect()
@@ -196,17 +279,23 @@ def column_quantiles(
 
 
 def _picked(
-    tables: dict[str, DataFrame], probabilities: dict[str, float], accuracy: int, widen: float
+    tables: dict[str, DataFrame],
+    probabilities: dict[str, float],
+    rows: int,
+    k: int,
+    widen: float,
+    bracket_rows: int,
+    fan: int,
 ) -> DataFrame | None:
     """Quantiles per column from the counts of one choice of brackets; NULL for a missed rank."""
     keys = ["table_name", "column_name"]
-    brackets = _brackets(tables, list(probabilities.values()), accuracy, widen)
+    brackets = _brackets(tables, list(probabilities.values()), rows, k, widen, bracket_rows, fan)
     counted = [_bracket_counts(t, df, brackets) for t, df in tables.items()]
     counted = [c for c in counted if c is not None]
     if not counted:
         return None
     counts = union_all(counted)
-    # Only bracket contents reach this window: a fixed small share of each column's rows.
+    # Only bracket contents reach this window: about ``bracket_rows`` rows per probability.
     ordered = W.partitionBy(*keys).orderBy(F.asc_nulls_first("cell"), "between")
     total = F.sum("n").over(W.partitionBy(*keys))
     ranked = counts.withColumns(

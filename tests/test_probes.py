@@ -52,9 +52,9 @@ def test_missed_ranks_are_looked_for_again(spark, monkeypatch):
     real = quantiles._brackets
     asked = []
 
-    def narrow(tables, wanted, accuracy, widen):
+    def narrow(tables, wanted, rows, k, widen, *rest):
         asked.append(widen)
-        found = real(tables, wanted, accuracy, widen)
+        found = real(tables, wanted, rows, k, widen, *rest)
         return {k: [(0.0, 1.0)] for k in found} if widen == 1.0 else found
 
     monkeypatch.setattr(quantiles, "_brackets", narrow)

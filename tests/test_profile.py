@@ -15,6 +15,7 @@ from tablescout.operators.profile import (
     table_profile,
     top_values,
 )
+from tablescout.operators import quantiles, sketches
 from tablescout.operators.quantiles import column_quantiles
 
 
@@ -136,17 +137,43 @@ def test_frequencies_count_times(spark):
     assert frequencies(df).first()["n"] == 2
 
 
-@pytest.mark.parametrize("accuracy", [50, 200, 10_000])
-def test_quantiles_are_exact_with_narrow_brackets(spark, accuracy):
-    """A coarse sketch takes the bracket path; the answer must not change."""
+@pytest.mark.parametrize("bracket_rows", [10, 1_000_000])
+@pytest.mark.parametrize("k", [50, 300, 16_384])
+def test_quantiles_are_exact_with_narrow_brackets(spark, k, bracket_rows):
+    """A coarse sketch takes the bracket path, few rows a bracket that of more scans."""
     rng = np.random.default_rng(7)
-    skewed = np.concatenate([rng.exponential(100.0, 3000).round(2), np.full(2000, 7.0)])
-    df = spark.createDataFrame([(float(v),) for v in skewed], "a double").repartition(5)
+    skewed = np.concatenate([rng.exponential(100.0, 3000).round(2), np.full(2000, 7.0), [np.inf]])
+    df = spark.createDataFrame([(float(v), None) for v in skewed], "a double, b int").repartition(5)
     wanted = {"p0": 0.0, "p1": 0.01, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p99": 0.99, "p100": 1.0}
-    row = column_quantiles({"t": df}, wanted, accuracy=accuracy).first()
+    row = column_quantiles({"t": df}, wanted, k=k, bracket_rows=bracket_rows, fan=2).collect()
+    assert len(row) == 1
     expected = np.quantile(skewed, list(wanted.values()))
-    assert np.allclose([row[k] for k in wanted], expected, rtol=0, atol=1e-9)
-    assert list(row[2:]) == sorted(row[2:])
+    assert np.allclose([row[0][x] for x in wanted][:-1], expected[:-1], rtol=0, atol=1e-9)
+    assert row[0]["p100"] == np.inf
+
+
+def test_narrowing_leaves_few_rows_in_a_bracket(spark):
+    values = np.random.default_rng(3).permutation(60_000)
+    df = spark.createDataFrame([(float(v),) for v in values], "a double")
+    found = quantiles._brackets({"t": df}, [0.5, 0.9], 60_000, 2000, 1.0, 100, 64)
+    spans = found["t", "a"]
+    assert len(spans) == 2 and all(high - low <= 100 for low, high in spans)
+    assert all(low <= 59_999 * p <= high for (low, high), p in zip(spans, [0.5, 0.9], strict=True))
+
+
+def test_sketches_merge_in_levels(spark):
+    df = spark.range(0, 40_000, 1, 16).select(F.col("id").cast("double").alias("a"))
+    sketch = {"s": "a"}, {"n": "count(a)"}
+    flat = sketches.merged(df, *sketch, rows=40_000, k=2000, levels=0)
+    deep = sketches.merged(df, *sketch, rows=40_000, k=2000, fan=2, levels=4)
+    # One exchange a level: 16 tasks meet in 8, 4, 2 groups and one, two at a time, then the root.
+    assert deep._jdf.queryExecution().executedPlan().toString().count("Exchange") == 5
+    for df in (flat, deep):
+        r = df.select("n", F.expr(sketches.quantiles_sql("s", "n", [0.0, 0.25, 0.5, 1.0])).alias("q")).first()
+        assert r["n"] == 40_000 and (r["q"][0], r["q"][3]) == (0, 39_999)
+        assert abs(r["q"][1] - 10_000) <= 40_000 * 2 * sketches.rank_error(2000)
+        assert abs(r["q"][2] - 20_000) <= 40_000 * 2 * sketches.rank_error(2000)
+    assert [sketches.tree_levels(n) for n in (0, 100_000, 200_000, 64 * 10**5, 65 * 10**5, 10**12)] == [0, 0, 0, 0, 1, 3]
 
 
 def test_approximate_quantiles_are_elements(spark):
