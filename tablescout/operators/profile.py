@@ -312,3 +312,27 @@ def table_hierarchy(stats: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list("column_name")).alias("columns"),
         F.count(F.lit(1)).alias("column_count"),
     )
+
+
+def table_summary(stats: DataFrame, tops: DataFrame) -> DataFrame:
+    """Every column with its most frequent values, and how many columns its table has.
+
+    ``tops`` are top values with their rank, at most a few per column; a column without any has
+    an empty list.
+    """
+    keys = ["table_name", "column_name"]
+    width = stats.groupBy("table_name").agg(F.count(F.lit(1)).alias("column_count"))
+    listed = tops.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("rank", "value", "occurrences"))).alias("top_values")
+    )
+    return (
+        stats.select(*keys)
+        .join(width, "table_name")
+        .join(listed, keys, "left")
+        .select(
+            "table_name",
+            "column_count",
+            "column_name",
+            F.coalesce("top_values", F.array().cast(listed.schema["top_values"].dataType)).alias("top_values"),
+        )
+    )

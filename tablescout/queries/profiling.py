@@ -78,7 +78,15 @@ def _table_hierarchy(spark, sf):
     )
 
 
+def _table_summary(spark, sf):
+    tables = i.tables(spark, sf, i.PROFILED)
+    out = p.table_summary(_stats(spark, sf), p.top_values(tables, 5))
+    one = lambda v: F.concat_ws(":", F.md5(v["value"]), v["occurrences"])
+    return out.withColumn("top_values", F.array_join(F.transform("top_values", one), ","))
+
+
 QUERIES = {
+    "table_summary": _table_summary,
     "table_profile": _table_profile,
     "null_profile": _null_profile,
     "distinct_profile": _distinct_profile,
@@ -106,6 +114,18 @@ def _top_select(t: str, c: str) -> str:
 
 
 SQL = {
+    "table_summary": i.with_inputs(
+        i.PROFILED,
+        f"""SELECT table_name, column_count, column_name, coalesce(top_values, '') AS top_values
+          FROM ({i.union_sql([
+            f"SELECT '{t}' AS table_name, '{c}' AS column_name, {len(i.SCHEMAS[t])} AS column_count"
+            for t, c in i.columns_of(i.PROFILED)
+          ])})
+          LEFT JOIN (SELECT table_name, column_name,
+            string_agg(value || ':' || occurrences, ',' ORDER BY rank) AS top_values
+            FROM tops WHERE rank <= 5 GROUP BY ALL) USING (table_name, column_name)""",
+        "tops AS (" + i.union_sql([_top_select(t, c) for t, c in i.columns_of(i.PROFILED, "text", "boolean")]) + ")",
+    ),
     "table_profile": i.with_inputs(
         TABLES,
         i.union_sql(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tablescout.functions.local import work_folder
 from tablescout.operators.correlate import pearson
+from tablescout.operators.incremental import incremental_profile
 from tablescout.operators.insights import correlation_insights, missingness_insights, rank_insights
 from tablescout.operators.profile import column_overview, column_stats
 from tablescout.operators.quantiles import column_quantiles
@@ -15,6 +16,7 @@ from tablescout.sources import (
     head_sample,
     insight_lines,
     list_tables,
+    read_csv,
     read_findings,
     table_metadata,
     table_schema,
@@ -113,7 +115,46 @@ def _sink_roundtrip(spark, sf):
     return back.select("table_name", "column_name", "row_count", "null_count")
 
 
+STORED = ["customer", "documents", "events", "lineitem", "orders_dirty", "part"]
+_PROFILE = ["min", "max", "mean", "std"]
+
+
+def _incremental_profile(spark, sf):
+    """A profile after a quarter of the files was replaced and a quarter added: only these are read."""
+    parts = []
+    for name in STORED:
+        df = i.table(spark, sf, name)
+        folder, key = work_folder(spark), F.col(f"`{df.columns[0]}`")
+        dealt = df.withColumn("_part", F.pmod(key, F.lit(4)).cast("int"))
+        early = dealt.where((F.col("_part") != 3) & ((F.col("_part") != 1) | (key % 8 == 1)))
+        early.write.partitionBy("_part").parquet(f"{folder}/table")
+        incremental_profile(spark, f"{folder}/table", f"{folder}/states").collect()  # one row per column
+        later = dealt.where("_part IN (1, 3)").write.mode("overwrite").partitionBy("_part")
+        later.option("partitionOverwriteMode", "dynamic").parquet(f"{folder}/table")
+        found = incremental_profile(spark, f"{folder}/table", f"{folder}/states")
+        parts.append(found.select(F.lit(name).alias("table_name"), "*").drop("dtype", "p50", "approx_distinct"))
+    return i.rounded(i.union(parts), 4, *_PROFILE)
+
+
+def _csv_scan(spark, sf):
+    """Orders, written as CSV and read with inferred types and a column of malformed lines."""
+    path = f"{work_folder(spark)}/orders.csv"
+    i.table(spark, sf, "orders").write.option("header", True).csv(path)
+    read = read_csv(spark, path, corrupt="malformed")
+    return i.timed(read, "o_orderdate").select(
+        F.col("o_orderkey").cast("bigint").alias("o_orderkey"),
+        F.col("o_custkey").cast("bigint").alias("o_custkey"),
+        "o_orderstatus",
+        "o_totalprice",
+        "o_orderdate",
+        "o_orderpriority",
+        F.col("malformed").isNotNull().alias("malformed"),
+    )
+
+
 QUERIES = {
+    "incremental_profile": _incremental_profile,
+    "csv_scan": _csv_scan,
     "list_tables": _list_tables,
     "table_schema": _table_schema,
     "table_stats": _table_stats,
@@ -179,7 +220,29 @@ def pearson_cte(names: list[str]) -> str:
 
 INSIGHT_INPUTS = i.PROFILED + ["lineitem_corr"]
 
+def _stored_select(t: str, c: str) -> str:
+    key = next(iter(i.SCHEMAS[t]))
+    kind = i.FAMILY[i.SCHEMAS[t][c]]
+    number = {
+        "min": f"min({c})::DOUBLE", "max": f"max({c})::DOUBLE", "mean": f"round(avg({c}::DOUBLE), 4)",
+        "std": f"round(CASE WHEN count({c}) > 0 THEN coalesce(stddev_samp({c}::DOUBLE), 0) END, 4)",
+    }
+    time = {f"{m}_time": f"strftime({m}({c}), '%Y-%m-%d %H:%M:%S')" for m in ("min", "max")}
+    cells = [
+        f"{sql if kind == 'numeric' else 'NULL::DOUBLE'} AS {name}" for name, sql in number.items()
+    ] + [f"{sql if kind == 'datetime' else 'NULL::VARCHAR'} AS {name}" for name, sql in time.items()]
+    return f"""SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS row_count,
+      count(*) FILTER ({key} % 4 IN (1, 3)) AS scanned_rows, count(*) - count({c}) AS null_count,
+      {", ".join(cells)} FROM {t}"""
+
+
 SQL = {
+    "incremental_profile": i.with_inputs(
+        STORED, i.union_sql([_stored_select(t, c) for t, c in i.columns_of(STORED)])
+    ),
+    "csv_scan": """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
+      strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority,
+      false AS malformed FROM orders""",
     "table_stats": i.union_sql(
         [
             f"""SELECT '{t}' AS table_name, count(*) AS row_count, CAST(1 AS BIGINT) AS files,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablescout.functions.sqltext import local_frame
+from tablescout.functions.sqltext import ident, local_frame
 from tablescout.functions.types import col, family, union_all
 
 _SCHEMA = "table_name string, ordinal int, column_name string, dtype string, family string"
@@ -50,12 +50,24 @@ def load_catalog(
     return {t: spark.table(f"{database}.{t}") for t in sorted(wanted)}
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """CSV with a header row; the types are inferred unless a schema is given."""
+def read_csv(
+    spark: SparkSession, path: str, schema: str | None = None, corrupt: str | None = None
+) -> DataFrame:
+    """CSV with a header row; the types are inferred unless a schema is given.
+
+    ``corrupt`` names a text column for lines that do not fit the types; without it their
+    cells that do not fit are NULL and nothing tells them from missing ones.
+    """
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
-    if schema is not None:
+    if schema is None:
+        if corrupt is None:
+            return reader.option("inferSchema", True).csv(path)
+        # Inference is a scan of its own; the schema that it finds is then read with the column.
+        schema = reader.option("inferSchema", True).csv(path).schema.toDDL()
+    if corrupt is None:
         return reader.schema(schema).csv(path)
-    return reader.option("inferSchema", True).csv(path)
+    named = f"{schema}, {ident(corrupt)} STRING"
+    return reader.option("columnNameOfCorruptRecord", corrupt).schema(named).csv(path)
 
 
 def list_tables(

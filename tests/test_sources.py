@@ -3,7 +3,7 @@
 import pytest
 
 from tablescout.functions.local import work_folder
-from tablescout.sources import folder_tables, load_catalog, load_folder
+from tablescout.sources import folder_tables, load_catalog, load_folder, read_csv
 
 
 def test_folder_lists_files_and_directories(spark, tmp_path):
@@ -45,3 +45,13 @@ def test_a_cluster_must_name_its_shared_folder():
         work_folder(Settings({"spark.master": "spark://host:7077"}))
     assert work_folder(Settings({"spark.checkpoint.dir": "s3a://b/c"})).startswith("s3a://b/c/")
     assert work_folder(Settings({"spark.master": "local[4]"}))
+
+
+def test_malformed_csv_lines_are_kept(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text("a,b\n1,x\n2,y\nthree,z\n4\n")
+    read = read_csv(spark, str(path), "a int, b string", corrupt="bad line")
+    rows = sorted(read.collect(), key=lambda r: str(r["bad line"]))
+    assert [r["bad line"] for r in rows if r["bad line"]] == ["4", "three,z"]
+    inferred = read_csv(spark, str(path), corrupt="bad")
+    assert inferred.columns == ["a", "b", "bad"] and inferred.count() == 4
