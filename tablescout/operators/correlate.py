@@ -8,25 +8,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tablescout.functions.local import settle, work_folder
 from tablescout.functions.sqltext import ident, inline_rows, local_frame
 from tablescout.functions.types import NUMERIC, col, names_of, nan_to_null, union_all
-from tablescout.operators.ordering import cumulative
+from tablescout.operators.sketches import ROWS_PER_TASK, merged, quantiles_sql
+
 _CORRELATION = (
     "table_name string, method string, col_a string, col_b string, r double, n bigint"
 )
 
+HOT_EDGES = 64  # a value that fills more than this part of a column is ranked by counting
 PERFECT = 2e-6  # of 1 - r^2: below it a correlation counts as perfect
 
 
 def _pair_matrix(
-    df: DataFrame, table: str, pairs: list[tuple[str, str]], method: str
+    df: DataFrame,
+    table: str,
+    pairs: list[tuple[str, str]],
+    method: str,
+    held: list[tuple[str, str]] | None = None,
 ) -> DataFrame:
     """All pairs in one scan: rows are unpivoted to complete pairs and their moments grouped.
 
     There are as many groups as column pairs, combined before the shuffle. One short grouped
     aggregate runs several times faster than one aggregate list as wide as the pair list.
+    ``held`` names the columns of ``df`` that hold a pair, where these are not its names.
     """
-    rows = [{"i": str(i), "a": ident(a), "b": ident(b)} for i, (a, b) in enumerate(pairs)]
+    rows = [{"i": str(i), "a": ident(a), "b": ident(b)} for i, (a, b) in enumerate(held or pairs)]
     moments = (
         df.select(inline_rows(rows))
         .where("a IS NOT NULL AND b IS NOT NULL")
@@ -70,29 +78,85 @@ def pearson(tables: dict[str, DataFrame]) -> DataFrame:
     return union_all(parts, tables, _CORRELATION)
 
 
-def average_ranks(df: DataFrame, name: str, row_count: int | None = None) -> DataFrame:
-    """``(name, rank)`` per distinct value: the mean of the positions its ties would take."""
-    present = df.select(col(name)).where(col(name).isNotNull())
-    counts = present.groupBy(col(name)).agg(F.count(F.lit(1)).alias("n"))
-    total = cumulative(counts, name, "n", rows=present, row_count=row_count)
-    return total.select(
-        col(name), (F.col("after") - F.col("n") + (F.col("n") + 1) / 2).alias("rank")
-    )
-
+def _hot_values(values: DataFrame, names: list[str], rows: int) -> list[list[float]]:
+    """Per column, the values that fill more than ``1 / HOT_EDGES`` of it; at most so many.
 
-def _ranked(df: DataFrame, names: list[str], row_count: int) -> DataFrame:
-    """Replace each column by its average ranks.
+    Such a value stands at two neighbouring places of a sketch. Tables that one task reads are
+    not looked at: there a value cannot fill more than one task.
+    """
+    if rows <= ROWS_PER_TASK:
+        return [[] for _ in names]
+    places = [g / HOT_EDGES for g in range(HOT_EDGES + 1)]
+    sketches = {f"s{i}": ident(c) for i, c in enumerate(names)}
+    counts = {f"n{i}": f"count({ident(c)})" for i, c in enumerate(names)}
+    wide = merged(values, sketches, counts, rows)
+    found = wide.select(
+        *[F.expr(quantiles_sql(f"s{i}", f"n{i}", places)).alias(f"q{i}") for i in range(len(names))]
+    ).first()
+    return [sorted({a for a, b in zip(q or [], (q or [])[1:]) if a == b}) for q in found]
+
+
+def ranks(
+    values: DataFrame, lists: list[tuple[str, str]], hot: list[list[float]], folder: str
+) -> DataFrame:
+    """``_row`` and, per list, the average rank of the row's value in it: ``r0, r1, ...``.
 
-    A rank table has one row per distinct value: the planner broadcasts the small ones by size
-    and shuffles for the large ones, where AQE splits the rows of a hot value over tasks.
+    A list is a column and a condition on the rows that count. All lists are unpivoted, dealt
+    by ranges of (list, value) and put together again by row: the two shuffles of rows. Hot
+    values are counted instead, so no range is larger than the others. Equal values stand side
+    by side in one range; the positions of earlier ranges are added from a table of one row per
+    range and list.
     """
-    out = df
-    for i, name in enumerate(names):
-        ranks = average_ranks(df, name, row_count).select(
-            col(name).alias(f"_v{i}"), F.col("rank").alias(f"_r{i}")
+    spark = values.sparkSession
+    cells = [
+        {"i": str(i), "v": f"if({condition}, {ident(c)} + 0.0D, NULL)"}
+        for i, (c, condition) in enumerate(lists)
+    ]
+    numbered = values.withColumn("_row", F.monotonically_increasing_id())
+    unpivoted = numbered.select("_row", inline_rows(cells)).where("v IS NOT NULL")
+    known = [(i, h) for i, some in enumerate(hot) for h in some]
+    apart, ahead = None, F.lit(0)
+    if known:
+        facts = local_frame(spark, known, "i int, h double")
+        # At most HOT_EDGES rows a list: broadcasting them is bounded by the schema.
+        counted = (
+            unpivoted.join(F.broadcast(facts), "i")
+            .groupBy("i", "h")
+            .agg(F.count_if(F.expr("v < h")).alias("below"), F.count_if(F.expr("v = h")).alias("n"))
+            .collect()
         )
-        out = out.join(ranks, col(name) == F.col(f"_v{i}"), "left").drop(f"_v{i}")
-    return out.select(*[F.col(f"_r{i}").alias(n) for i, n in enumerate(names)])
+        ranked = [(r["i"], r["h"], r["below"] + (r["n"] + 1) / 2) for r in counted]
+        by_value = local_frame(spark, ranked, "i int, v double, rank double")
+        apart = unpivoted.join(F.broadcast(by_value), ["i", "v"]).select("_row", "i", "rank")
+        unpivoted = unpivoted.join(F.broadcast(by_value), ["i", "v"], "left_anti")
+        for r in counted:
+            ahead = ahead + F.when((F.col("i") == r["i"]) & (F.col("v") > r["h"]), r["n"]).otherwise(0)
+    dealt = unpivoted.repartitionByRange("i", "v").sortWithinPartitions("i", "v")
+    ties = W.partitionBy("i", "v")
+    placed = dealt.withColumn("_at", F.monotonically_increasing_id()).select(
+        "_row",
+        "i",
+        ahead.alias("ahead"),
+        F.min("_at").over(ties).alias("first"),
+        F.count(F.lit(1)).over(ties).alias("n"),
+        # The upper bits of the number are the range's, the lower ones count within it.
+        F.shiftright("_at", 33).alias("part"),
+    )
+    placed = settle(placed, folder, "ranks")
+    before = W.partitionBy("i").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = (
+        placed.groupBy("i", "part")
+        .agg(F.min("first").alias("start"), F.count(F.lit(1)).alias("m"))
+        .select("i", "part", (F.coalesce(F.sum("m").over(before), F.lit(0)) - F.col("start")).alias("offset"))
+    )
+    found = placed.join(offsets, ["i", "part"]).select(
+        "_row", "i", F.expr("offset + first + ahead + (n + 1) / 2").alias("rank")
+    )
+    if apart is not None:
+        found = found.unionByName(apart)
+    return found.groupBy("_row").agg(
+        *[F.expr(f"max(if(i = {i}, rank, NULL))").alias(f"r{i}") for i in range(len(lists))]
+    )
 
 
 def spearman(tables: dict[str, DataFrame]) -> DataFrame:
@@ -106,15 +170,18 @@ def spearman(tables: dict[str, DataFrame]) -> DataFrame:
         # One row with one count per column decides which columns can share ranks.
         sizes = values.agg(F.count(F.lit(1)), *[F.count(col(c)) for c in names]).first()
         whole = [c for c, n in zip(names, sizes[1:]) if n == sizes[0]]
-        if len(whole) > 1:
-            pairs = list(combinations(whole, 2))
-            ranked = _ranked(values.select(*[col(c) for c in whole]), whole, sizes[0])
-            parts.append(_pair_matrix(ranked, table, pairs, "spearman"))
-        for a, b in combinations(names, 2):
-            if a in whole and b in whole:
+        lists = [(c, "true") for c in whole]
+        place = {c: f"r{i}" for i, c in enumerate(whole)}
+        pairs, held = list(combinations(names, 2)), []
+        for a, b in pairs:
+            if a in place and b in place:
+                held.append((place[a], place[b]))
                 continue
-            both = values.select(col(a), col(b)).where(col(a).isNotNull() & col(b).isNotNull())
-            parts.append(_pair_matrix(_ranked(both, [a, b], sizes[0]), table, [(a, b)], "spearman"))
+            held.append((f"r{len(lists)}", f"r{len(lists) + 1}"))
+            lists += [(a, f"{ident(b)} IS NOT NULL"), (b, f"{ident(a)} IS NOT NULL")]
+        hot = dict(zip(names, _hot_values(values, names, sizes[0])))
+        ranked = ranks(values, lists, [hot[c] for c, _ in lists], work_folder(df.sparkSession))
+        parts.append(_pair_matrix(ranked, table, pairs, "spearman", held))
     return union_all(parts, tables, _CORRELATION)
 
 

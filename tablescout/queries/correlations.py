@@ -9,7 +9,7 @@ from tablescout.queries import inputs as i
 from tablescout.queries.scans import pearson_cte
 
 TABLES = i.PROFILED + ["lineitem_corr"]
-RANKED = ["lineitem", "lineitem_corr", "orders_dirty", "part"]
+RANKED = [t for t in TABLES if len(i.columns_of([t], "numeric")) > 1]
 
 
 def _pearson(spark, sf, names=TABLES):

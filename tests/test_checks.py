@@ -10,6 +10,7 @@ from tablescout.operators import relate as r
 from tablescout.operators import validate as v
 from tablescout.operators.associate import associations, column_entropy
 from tablescout.operators.drift import ks_statistic
+from tablescout.functions.local import work_folder
 from tablescout.operators.ordering import cumulative, range_edges
 from tablescout.operators.profile import column_stats, table_profile
 from tablescout.operators.validate import referential_integrity
@@ -254,3 +255,36 @@ def test_hot_values_change_nothing(spark):
     assert overlap["overlap_count"] == len({key for key in k if key % 2 == 0})
     missing = len({key for key in k if key % 2})
     assert referential_integrity(hot, "k", keys, "k", "hot", "keys").first()["n_bad"] == missing
+
+
+def test_spearman_with_hot_values_and_many_ranges(spark, monkeypatch):
+    """Hot values are counted, the others dealt by ranges; the ranks must not change."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    a = np.where(rng.random(4000) < 0.4, 7.0, rng.integers(0, 300, 4000))
+    b = np.where(rng.random(4000) < 0.3, -0.0, a + rng.normal(size=4000) * 50)
+    b = np.where(rng.random(4000) < 0.1, 0.0, b)
+    rows = [(float(x), float(y), None if k % 9 == 0 else int(x)) for k, (x, y) in enumerate(zip(a, b))]
+    df = spark.createDataFrame(rows, "a double, b double, c int").repartition(6)
+    monkeypatch.setattr(c, "ROWS_PER_TASK", 100)
+    got = {(x["col_a"], x["col_b"]): (x["r"], x["n"]) for x in c.spearman({"t": df}).collect()}
+    frame = df.toPandas().astype(float)
+    for (x, y), (r, n) in got.items():
+        both = frame[[x, y]].dropna()
+        assert n == len(both)
+        assert abs(r - both[x].rank().corr(both[y].rank())) < 1e-9
+    hot = c._hot_values(c._doubles(df), ["a", "b", "c"], 4000)
+    assert 7.0 in hot[0] and 0.0 in hot[1]
+
+
+def test_spearman_moves_rows_twice(spark):
+    import random
+
+    df = spark.createDataFrame([(random.random(), random.random(), k) for k in range(500)], "a double, b double, c int")
+    ranked = c.ranks(c._doubles(df), [(x, "true") for x in "abc"], [[], [], []], work_folder(spark))
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    # What is stored was dealt once by ranges; of what is read, rows move once more, by row.
+    assert plan.count("Exchange hashpartitioning(_row") == 1
+    rows = ranked.collect()
+    assert len(rows) == 500 and sorted(r["r2"] for r in rows) == list(range(1, 501))
