@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablescout.functions.sqltext import local_frame
+from tablescout.functions.tails import chi_square_p
 from tablescout.functions.types import TEXT, col, names_of, union_all
 from tablescout.operators.frequency import frequencies
 
@@ -30,7 +31,7 @@ def contingency(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def associations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Chi-square, degrees of freedom, Cramér's V and mutual information per column pair.
+    """Chi-square with p-value, Cramér's V and mutual information per column pair.
 
     With row totals R, column totals C and cells O: chi2 = n (sum O^2 / (R C) - 1), so only
     occurring cells are needed. Totals are joined back, never windowed: a value that fills
@@ -63,6 +64,7 @@ def associations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     )
     total = F.col("total").cast("double")
     chi2 = F.greatest(total * (F.col("ratio") - 1), F.lit(0.0))
+    dof = (F.col("n_a") - 1) * (F.col("n_b") - 1)
     least = F.least(F.col("n_a"), F.col("n_b")) - 1
     return (
         labels.join(sums, "pair")
@@ -72,7 +74,8 @@ def associations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
             "col_b",
             F.col("total").alias("n"),
             chi2.alias("chi_square"),
-            ((F.col("n_a") - 1) * (F.col("n_b") - 1)).alias("dof"),
+            dof.alias("dof"),
+            chi_square_p(chi2, dof).alias("p_value"),
             F.coalesce(F.sqrt(F.try_divide(chi2, total * least)), F.lit(0.0)).alias("cramers_v"),
             F.greatest(F.col("logs") / total + F.ln(total), F.lit(0.0)).alias("mutual_information"),
         )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tablescout.functions.local import settle, work_folder
 from tablescout.functions.sqltext import ident, inline_rows, local_frame
+from tablescout.functions.tails import student_two_sided
 from tablescout.functions.types import NUMERIC, col, names_of, nan_to_null, union_all
 from tablescout.operators.sketches import ROWS_PER_TASK, merged, quantiles_sql
 
@@ -224,11 +225,13 @@ def heatmap(correlations: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def correlation_t(correlations: DataFrame) -> DataFrame:
-    """Test statistic of each correlation: ``t = r sqrt((n - 2) / (1 - r^2))``.
+    """Test statistic of each correlation, ``t = r sqrt((n - 2) / (1 - r^2))``, and its p-value.
 
-    It is undefined, and missing, where the correlation is perfect but for rounding.
+    They are undefined, and missing, where the correlation is perfect but for rounding, and for
+    fewer than three rows.
     """
     rest = 1 - F.col("r") * F.col("r")
     ratio = F.try_divide(F.col("n") - 2, F.when(rest > PERFECT, rest))
     t = F.when(ratio >= 0, F.col("r") * F.sqrt(F.greatest(ratio, F.lit(0.0))))
-    return correlations.withColumn("t", t)
+    with_t = correlations.withColumn("t", t)
+    return with_t.withColumn("p_value", student_two_sided(F.col("t"), F.col("n") - 2))

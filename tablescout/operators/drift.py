@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablescout.functions.tails import kolmogorov_p
 from tablescout.functions.types import DATETIME, NUMERIC, TEXT, col, names_of, nan_to_null, union_all
 from tablescout.operators.ordering import cumulative
 
 
 def ks_of(df: DataFrame, value: str, is_second: Column) -> DataFrame:
-    """KS statistic between the rows where ``is_second`` is false and those where it is true.
+    """KS statistic, with its p-value, of the rows where ``is_second`` is false and those where true.
 
     Values are counted per sample, totalled in value order range by range, and compared.
     """
@@ -26,9 +27,11 @@ def ks_of(df: DataFrame, value: str, is_second: Column) -> DataFrame:
     gap = F.abs(
         F.try_divide(F.col("after_n1"), F.col("t.t1")) - F.try_divide(F.col("after_n2"), F.col("t.t2"))
     )
-    return running.agg(
+    found = running.agg(
         F.max("t.t1").alias("n_first"), F.max("t.t2").alias("n_second"), F.max(gap).alias("ks")
     )
+    p_value = kolmogorov_p(F.col("ks"), F.col("n_first"), F.col("n_second"))
+    return found.withColumn("p_value", p_value)
 
 
 def ks_statistic(first: DataFrame, a: str, second: DataFrame, b: str) -> DataFrame:
@@ -43,7 +46,7 @@ def drift_numeric(df: DataFrame, recent: Column, columns: list[str] | None = Non
     names = columns if columns is not None else names_of(df, NUMERIC)
     return union_all(
         [
-            ks_of(df, c, recent).select(F.lit(c).alias("column_name"), "n_first", "n_second", "ks")
+            ks_of(df, c, recent).select(F.lit(c).alias("column_name"), "n_first", "n_second", "ks", "p_value")
             for c in names
         ]
     )

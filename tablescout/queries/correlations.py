@@ -44,8 +44,8 @@ def _heatmap(spark, sf):
 
 
 def _correlation_t(spark, sf):
-    out = c.correlation_t(_pearson(spark, sf)).select("table_name", "col_a", "col_b", "n", "r", "t")
-    return i.rounded(out, 5, "r", "t")
+    out = c.correlation_t(_pearson(spark, sf))
+    return i.rounded(out.select("table_name", "col_a", "col_b", "n", "r", "t", "p_value"), 5, "r", "t", "p_value")
 
 
 QUERIES = {
@@ -75,6 +75,8 @@ def _ranked_pairs() -> str:
     return i.union_sql(parts)
 
 
+_STEPS = 4000  # of the quadrature; even
+
 _BOTH = """both_ways AS (SELECT table_name, col_a, col_b, r FROM pearson
   UNION ALL SELECT table_name, col_b, col_a, r FROM pearson)"""
 
@@ -115,9 +117,23 @@ SQL = {
     ),
     "correlation_t": i.with_inputs(
         TABLES,
-        """SELECT table_name, col_a, col_b, n, round(r, 5) AS r,
-          CASE WHEN 1 - r * r > 2e-6 THEN round(r * sqrt((n - 2) / (1 - r * r)), 5) END AS t
-        FROM pearson""",
+        """SELECT table_name, col_a, col_b, n, round(r, 5) AS r, round(t, 5) AS t,
+          CASE WHEN t IS NULL OR n <= 2 THEN NULL WHEN t = 0 THEN 1
+            ELSE round(least(greatest(share, 0), 1), 5) END AS p_value
+        FROM tested LEFT JOIN areas USING (table_name, col_a, col_b)""",
         pearson_cte(TABLES),
+        """tested AS (SELECT *, CASE WHEN 1 - r * r > 2e-6 THEN r * sqrt((n - 2) / (1 - r * r)) END AS t,
+          n - 2.0::DOUBLE AS v FROM pearson)""",
+        # 2 Gamma((v+1)/2) / (sqrt(pi) Gamma(v/2)) times the integral of cos^(v-1), by Simpson.
+        f"""bounds AS (SELECT *, atan(abs(t) / sqrt(v)) AS low,
+          least(pi() / 2, atan(abs(t) / sqrt(v)) + 40 / sqrt(v)) AS high,
+          CASE WHEN v < 300 THEN exp(lgamma((v + 1) / 2) - lgamma(v / 2)) ELSE sqrt(v / 2) *
+            (1 - 1 / (4 * v) + 1 / (32 * v * v) + 5 / (128 * v * v * v)) END AS ratio
+          FROM tested WHERE t IS NOT NULL AND v > 0),
+        areas AS (SELECT table_name, col_a, col_b, any_value(2 * ratio / sqrt(pi())
+            * (high - low) / {_STEPS} / 3) * sum(
+            CASE WHEN k IN (0, {_STEPS}) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END
+            * CASE WHEN v = 1 THEN 1 ELSE pow(greatest(cos(low + (high - low) * k / {_STEPS}), 1e-300), v - 1) END) AS share
+          FROM bounds, range({_STEPS} + 1) AS steps(k) GROUP BY ALL)""",
     ),
 }

@@ -27,7 +27,7 @@ def _associations(*fields):
             for t, columns in PAIRED
         ]
         out = i.union(parts).select("table_name", "col_a", "col_b", *fields)
-        doubles = [f for f in fields if f in ("chi_square", "cramers_v", "mutual_information")]
+        doubles = [f for f in fields if f not in ("n", "dof")]
         return i.rounded(out, 5, *doubles)
 
     return query
@@ -47,7 +47,7 @@ def _ks(spark, sf):
         )
         for t, c, u, e in COMPARED
     ]
-    return i.rounded(i.union(parts), 6, "ks")
+    return i.rounded(i.union(parts), 6, "ks", "p_value")
 
 
 CUT = "2024-01-16"
@@ -59,7 +59,7 @@ def _recent():
 
 def _drift_numeric(spark, sf):
     out = d.drift_numeric(i.table(spark, sf, "events"), _recent(), ["user_id", "value"])
-    return i.rounded(out, 6, "ks")
+    return i.rounded(out, 6, "ks", "p_value")
 
 
 def _drift_categorical(spark, sf):
@@ -138,7 +138,7 @@ def _conflicts(spark, sf):
 
 QUERIES = {
     "cramers_v": _associations("n", "cramers_v"),
-    "chi_square": _associations("n", "chi_square", "dof"),
+    "chi_square": _associations("n", "chi_square", "dof", "p_value"),
     "mutual_information": _associations("n", "mutual_information"),
     "ks_statistic": _ks,
     "drift_numeric": _drift_numeric,
@@ -173,8 +173,23 @@ def _association_select(t, columns):
 _ASSOC = i.union_sql([_association_select(*p) for p in PAIRED])
 
 
+_STEPS = 20_000  # of the quadrature; even
+
+
 def _ks_select(values: str, label: str) -> str:
-    return f"""SELECT {label}, t1 AS n_first, t2 AS n_second, round(max(abs(f1 / t1 - f2 / t2)), 6) AS ks
+    """The statistic, and its limit distribution's alternating series."""
+    name = label.split(" AS ")[1]
+    return f"""SELECT {name}, n_first, n_second, ks, CASE WHEN n_first > 0 AND n_second > 0 THEN
+      round(least(1, greatest(0, CASE WHEN z < 0.04 THEN 1 ELSE 2 * list_sum([
+        CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * j * j * z * z) FOR j IN range(1, 500)]) END)), 6)
+      END AS p_value
+      FROM (SELECT *, (sqrt(e) + 0.12 + 0.11 / sqrt(e)) * exact AS z
+        FROM (SELECT *, n_first::DOUBLE * n_second / (n_first + n_second) AS e
+          FROM ({_ks_gap(values, label)})))"""
+
+
+def _ks_gap(values: str, label: str) -> str:
+    return f"""SELECT {label}, t1 AS n_first, t2 AS n_second, max(abs(f1 / t1 - f2 / t2)) AS exact, round(exact, 6) AS ks
       FROM (SELECT CAST(sum(n1) OVER (ORDER BY v) AS BIGINT) AS f1,
           CAST(sum(n2) OVER (ORDER BY v) AS BIGINT) AS f2,
           CAST(sum(n1) OVER () AS BIGINT) AS t1, CAST(sum(n2) OVER () AS BIGINT) AS t2
@@ -212,7 +227,17 @@ SQL = {
     ),
     "chi_square": i.with_inputs(
         ["orders_dirty"],
-        f"SELECT table_name, col_a, col_b, n, round(chi_square, 5) AS chi_square, dof FROM ({_ASSOC})",
+        # The gamma density of shape dof / 2 from half the statistic on, by Simpson.
+        f"""SELECT table_name, col_a, col_b, n, round(chi_square, 5) AS chi_square, dof,
+          CASE WHEN dof > 0 THEN CASE WHEN chi_square <= 0 THEN 1 ELSE round(least(share, 1), 5) END
+            END AS p_value
+        FROM ({_ASSOC}) LEFT JOIN (SELECT table_name, col_a, col_b, any_value(width / 3) * sum(
+            CASE WHEN k IN (0, {_STEPS}) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END
+            * exp((a - 1) * ln(x + width * k) - (x + width * k) - lgamma(a))) AS share
+          FROM (SELECT *, (greatest(a - x, 0) + 40 * sqrt(a) + 100) / {_STEPS} AS width
+            FROM (SELECT *, dof / 2.0::DOUBLE AS a, chi_square / 2 AS x FROM ({_ASSOC})
+              WHERE chi_square > 0 AND dof > 0)), range({_STEPS} + 1) AS steps(k)
+          GROUP BY ALL) USING (table_name, col_a, col_b)""",
     ),
     "mutual_information": i.with_inputs(
         ["orders_dirty"],
