@@ -11,6 +11,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,46 +48,58 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def _describe(pivots: np.ndarray, nearest: int, shared: int, dimension: int):
-    """Map side: a row (list, k, near, vector) for each list that a vector stands in."""
-    sets = np.array(list(combinations(range(nearest), shared)))
+def _describe(models: dict[int, np.ndarray], nearest: int, shared: int):
+    """Map side: a row (d, list, k, n, near, vector) for each list that a vector stands in.
+
+    ``models`` holds the pivots by length of the vectors.
+    """
 
     def lists(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(at, ROWS_AT_ONCE)
-                rows = _matrix(part.column("v"), dimension)
-                order = np.argsort(-(_unit(rows) @ pivots.T), axis=1, kind="stable")
-                near = order[:, :nearest].astype(np.int16)
-                known = np.sort(near, axis=1).astype(np.int64)
-                key = np.zeros((len(rows), len(sets)), np.int64)
-                for j in range(shared):
-                    key = key * 4096 + known[:, sets[:, j]]
-                row = pa.array(np.repeat(np.arange(len(rows)), len(sets)))
-                near = pa.FixedSizeListArray.from_arrays(pa.array(near.ravel()), nearest)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(key.ravel()),
-                        part.column("k").take(row),
-                        part.column("n").take(row),
-                        near.cast(pa.list_(pa.int16())).take(row),
-                        part.column("v").take(row),
-                    ],
-                    names=["list", "k", "n", "near", "v"],
-                )
+            lengths = pc.list_value_length(batch.column("v")).to_numpy(zero_copy_only=False)
+            for d in np.unique(lengths).tolist():
+                mine = batch.take(pa.array(np.flatnonzero(lengths == d)))
+                for at in range(0, mine.num_rows, ROWS_AT_ONCE):
+                    yield of_length(mine.slice(at, ROWS_AT_ONCE), d)
+
+    def of_length(part, d):
+        rows, pivots = _matrix(part.column("v"), d), models[d]
+        order = np.argsort(-(_unit(rows) @ pivots.T), axis=1, kind="stable")
+        some = min(nearest, len(pivots))
+        near = np.repeat(order[:, :1], nearest, axis=1).astype(np.int16)
+        near[:, :some] = order[:, :some]  # where pivots are fewer, the first stands again
+        known = np.sort(order[:, :some], axis=1).astype(np.int64)
+        sets = np.array(list(combinations(range(some), min(shared, some))))
+        key = np.zeros((len(rows), len(sets)), np.int64)
+        for j in range(sets.shape[1]):
+            key = key * 4096 + known[:, sets[:, j]]
+        row = pa.array(np.repeat(np.arange(len(rows)), key.shape[1]))
+        near = pa.FixedSizeListArray.from_arrays(pa.array(near.ravel()), nearest)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(key.size, d, np.int32)),
+                pa.array(key.ravel()),
+                part.column("k").take(row),
+                part.column("n").take(row),
+                near.cast(pa.list_(pa.int16())).take(row),
+                part.column("v").take(row),
+            ],
+            names=["d", "list", "k", "n", "near", "v"],
+        )
 
     return lists
 
 
-def _verify(pivots: int, nearest: int, shared: int, dimension: int, least: float):
+def _verify(models: dict[int, int], pivots: int, nearest: int, least: float):
     """Reduce side: links within each list (or pair of blocks of one), counted and spanned.
 
     A pair that shares more pivots than it must meets in several lists; it counts in the one of
     its smallest shared pivots, so that no pair is sent anywhere to find its repetitions.
+    ``models`` tells by length of the vectors how many pivots a pair must share.
     """
     words = -(-pivots // 64)
 
-    def of_group(key, near, rows, side):
+    def of_group(shared, key, near, rows, side):
         unit = _unit(rows)
         bits = np.zeros((len(rows), words), np.uint64)
         index = np.arange(len(rows))
@@ -131,7 +144,7 @@ def _verify(pivots: int, nearest: int, shared: int, dimension: int, least: float
         table = table.combine_chunks()
         group, key = table.column("group").to_numpy(), table.column("list").to_numpy()
         k, n, side = (table.column(c).to_numpy() for c in ("k", "n", "side"))
-        rows = _matrix(table.column("v").chunk(0), dimension)
+        lengths, vectors = table.column("d").to_numpy(), table.column("v").chunk(0)
         near = table.column("near").chunk(0).flatten().to_numpy().reshape(-1, nearest)
         near = near.astype(np.int64)
         begins = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
@@ -140,7 +153,9 @@ def _verify(pivots: int, nearest: int, shared: int, dimension: int, least: float
         heard, edges = [], []
         for b, e in zip(begins[many].tolist(), ends[many].tolist(), strict=True):
             part = slice(b, e)
-            for i, j in of_group(int(key[b]), near[part], rows[part], side[part]):
+            d = int(lengths[b])
+            rows = _matrix(vectors.slice(b, e - b), d)
+            for i, j in of_group(models[d], int(key[b]), near[part], rows, side[part]):
                 i, j = i + b, j + b
                 heard.append((np.concatenate([k[i], k[j]]), np.concatenate([n[j], n[i]])))
                 edges.append(spanning_edges(k[i], k[j]))
@@ -177,11 +192,11 @@ def near_duplicates(
     n_links counts the other vectors found with a cosine of at least ``least`` in double
     precision; component_id is the smallest ``id`` that links reach; kept where that is the
     vector's own. A vector that is null, zero, or holds a null or a non-finite component links
-    with nothing, nor does one whose length is not that of most vectors. Equal vectors are one
-    point with a count, so copies cost nothing; each row of a repeated ``id`` counts. A null
+    with nothing. Vectors of different lengths have no cosine; each length has an index of its
+    own, with pivots of its own. Equal vectors are one point with a count, so copies cost nothing; each row of a repeated ``id`` counts. A null
     ``id`` is passed over by the minimum. An empty table gives an empty table.
 
-    Pivots come from a sample of about ``SAMPLE`` vectors; all vectors are indexed. A list of
+    Pivots come from a sample of about ``SAMPLE`` vectors of a length; all vectors are indexed. A list of
     more than ``hot_list`` vectors is cut into blocks, each pair of which is a group of its own.
     """
     results = ["n_links", "component_id", "kept"]
@@ -197,9 +212,7 @@ def near_duplicates(
         folder,
         "rows",
     )
-    sizes = rows.where("v is not null").groupBy(F.size("v").alias("d")).count().collect()
-    dimension = max(sizes, key=lambda r: (r["count"], -r["d"]))["d"] if sizes else 1
-    usable = F.col("v").isNotNull() & (F.size("v") == dimension)
+    usable = F.col("v").isNotNull()
     points = (
         rows.where(usable)
         .groupBy("v")
@@ -207,31 +220,33 @@ def near_duplicates(
         .withColumn("k", F.monotonically_increasing_id())
     )
     points = keep(points, folder, "points")
-    count = points.count()
-    part = F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < F.lit(int((1 << 30) * SAMPLE / max(1, count)) + 1)
-    sample = points.where(part).select("v").orderBy(F.xxhash64("v")).toPandas()["v"]
-    if not len(sample):
-        sample = points.select("v").limit(1).toPandas()["v"]
-    chosen = (
-        choose_pivots(_unit(np.stack(sample.to_list()).astype(np.float64)), pivots)
-        if len(sample)
-        else np.ones((1, dimension))
-    )
-    nearest = min(nearest, len(chosen))
-    shared = min(shared, nearest)
+    # One row per length of vectors reaches the driver, and a bounded sample of each length.
+    counts = {r["d"]: r["count"] for r in points.groupBy(F.size("v").alias("d")).count().collect()}
+    share = F.lit(0)
+    for d, n in counts.items():
+        share = F.when(F.size("v") == d, int((1 << 30) * SAMPLE / n) + 1).otherwise(share)
+    sample = points.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < share)
+    drawn = sample.select(F.size("v").alias("d"), "v").orderBy(F.xxhash64("v")).toPandas()
+    models = {
+        int(d): choose_pivots(_unit(np.stack(found["v"].to_list()).astype(np.float64)), pivots)
+        for d, found in drawn.groupby("d")
+    }
+    for d in counts.keys() - models.keys():  # none drawn: one of them is pivot enough
+        models[d] = _unit(np.array([points.where(F.size("v") == d).first()["v"]], np.float64))
+    needed = {d: min(shared, nearest, len(m)) for d, m in models.items()}
     listed = keep(
         points.select("k", "n", "v").mapInArrow(
-            _describe(chosen, nearest, shared, dimension),
-            f"list long, k long, n long, near array<short>, v {points.schema['v'].dataType.simpleString()}",
+            _describe(models, nearest, shared),
+            f"d int, list long, k long, n long, near array<short>, v {points.schema['v'].dataType.simpleString()}",
         ),
         folder,
         "lists",
     )
     long = (
-        listed.groupBy("list")
+        listed.groupBy("d", "list")
         .count()
         .where(F.col("count") > hot_list)
-        .select("list", F.ceil(F.col("count") / hot_list).cast("int").alias("blocks"))
+        .select("d", "list", F.ceil(F.col("count") / hot_list).cast("int").alias("blocks"))
     )
     mine = F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")
     met = F.when(
@@ -248,16 +263,14 @@ def near_duplicates(
         )
     )
     dealt = (
-        listed.join(long, "list", "left")
+        listed.join(long, ["d", "list"], "left")
         .select("*", F.explode(met).alias("e"))
-        .select("list", "k", "n", "near", "v", "e.side", F.xxhash64("list", "e.i", "e.j").alias("group"))
+        .select("d", "list", "k", "n", "near", "v", "e.side", F.xxhash64("d", "list", "e.i", "e.j").alias("group"))
     )
     found = keep(
         dealt.repartition("group")
         .sortWithinPartitions("group", "list", "side")
-        .mapInArrow(
-            _verify(len(chosen), nearest, shared, dimension, least), "a long, links long, b long"
-        ),
+        .mapInArrow(_verify(needed, pivots, nearest, least), "a long, links long, b long"),
         folder,
         "found",
     )

@@ -131,6 +131,30 @@ def test_vectors(spark, hot):
     assert a["n_links"] == b["n_links"] >= 2 and a["component_id"] == b["component_id"]
 
 
+@pytest.mark.parametrize("hot", [4096, 8])
+def test_vectors_of_every_length_are_linked(spark, hot):
+    draw = np.random.default_rng(8)
+    vectors = [v.tolist() for v in unit(draw, 60, 16)]
+    vectors += [[1.0, 2.0, 3.0], [2.0, 4.0, 6.001], [3.0, 1.0, -1.0]]  # a rare length
+    vectors += [[1.0], [5.0], [-1.0], vectors[0], [1.0, 2.0, 3.0, 0.0]]
+    vectors += [(np.array(vectors[7]) + 0.01).tolist(), vectors[60]]
+    for d in (5, 6):  # as frequent as each other
+        vectors += np.repeat(unit(draw, 30, d), 2, axis=0).tolist()
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    rows = embedding_neardup.near_duplicates(df, work_folder(spark, "t"), hot_list=hot).collect()
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rows}
+
+    def close(a, b):
+        a, b = np.array(a), np.array(b)
+        return len(a) == len(b) and a @ b >= 0.95 * np.linalg.norm(a) * np.linalg.norm(b)
+
+    pairs = [(i, j) for i in range(len(vectors)) for j in range(i) if close(vectors[i], vectors[j])]
+    label = closure(len(vectors), pairs)
+    n = np.bincount(np.array(pairs).ravel(), minlength=len(vectors))
+    assert got == {i: (n[i], label[i]) for i in range(len(vectors))}
+    assert got[60] == (2, 60) and got[63] == (1, 63) and got[67] == (0, 67)
+
+
 def test_vector_tables_without_links(spark):
     kind = "vec_id long, embedding array<float>"
     for rows in ([], [(1, None)], [(None, [1.0, 0.0]), (2, [0.0, 1.0])], [(5, [1.0])]):
