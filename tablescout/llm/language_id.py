@@ -18,11 +18,10 @@ UNDETERMINED = "und"
 SAMPLE_TEXTS = 300  # texts per language from which a dictionary is filled, at most
 SPARE = 1.5  # times as many are looked at, so that the share rarely holds fewer
 DICTIONARY_BYTES = 131_072
-LONGEST_SAMPLE = 50_000  # characters; longer texts are not used for fitting
+SLICE_CHARS = 4096  # of a longer text, a slice at a hashed place is used, of at least this length
 FRAME_BYTES = 1024  # a text is compressed in frames, each with the dictionary as its past
 LEVEL = 9
-MARGIN = 2  # bytes that the second best must need more
-SHORT_CHARS = 100  # a text below this may not hold enough to tell; it is not rejected for its margin
+MARGIN = 0.02  # bytes that the second best must need more, for each byte of the best, in whole bytes
 
 
 @dataclass(frozen=True)
@@ -35,25 +34,30 @@ class LanguageModel:
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> LanguageModel:
     """Dictionaries from at most ``SAMPLE_TEXTS`` texts of each language, chosen by a hash.
 
-    Rows of a null language, null text or a text without words are not used; nor are texts over
-    ``LONGEST_SAMPLE`` characters, for the sample's sake. Equal texts count once, whatever their
-    ids, and a null id changes nothing. Languages without a usable text are not learned; from an
-    empty table nothing is.
+    Rows of a null language, null text or a text without words are not used. Of a text longer
+    than ``SLICE_CHARS`` (or than an equal part of the dictionary, where a language has few
+    texts) a slice at a hashed place stands for it, so languages of long texts alone are learned
+    too. Equal texts count once, whatever their ids, and a null id changes nothing. Languages
+    without a usable text are not learned; from an empty table nothing is.
     """
     rows = labelled.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where(
-        F.col("lang").isNotNull()
-        & (F.length(F.trim("text")) > 0)
-        & (F.length("text") <= LONGEST_SAMPLE)
+        F.col("lang").isNotNull() & (F.length(F.trim("text")) > 0)
     )
     rows = rows.withColumn("place", F.xxhash64("text"))
     # distinct texts, so that copies neither fill nor empty the share
     sizes = rows.groupBy("lang").agg(F.approx_count_distinct("place", 0.02).alias("n")).collect()
     whole = 1 << 30
-    bound = F.lit(0)
+    bound, width = F.lit(0), F.lit(SLICE_CHARS)
     for r in sizes:
         share = int(whole * SPARE * SAMPLE_TEXTS / max(1, r["n"])) + 1
         bound = F.when(F.col("lang") == r["lang"], share).otherwise(bound)
-    near = rows.where(F.pmod("place", F.lit(whole)) < bound).dropDuplicates(["lang", "text"])
+        part = max(SLICE_CHARS, -(-DICTIONARY_BYTES // max(1, r["n"])))
+        width = F.when(F.col("lang") == r["lang"], part).otherwise(width)
+    near = rows.where(F.pmod("place", F.lit(whole)) < bound).withColumn("width", width)
+    begin = F.pmod(F.xxhash64("place"), F.greatest(F.length("text") - F.col("width") + 1, F.lit(1)))
+    near = near.select(
+        "lang", "place", F.substring(F.col("text"), begin.cast("int") + 1, F.col("width")).alias("text")
+    ).dropDuplicates(["lang", "place", "text"])
     order = Window.partitionBy("lang").orderBy(F.pmod("place", F.lit(whole)), "text")
     drawn = (
         near.withColumn("nth", F.row_number().over(order))
@@ -64,15 +68,9 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Language
     )
     content = []
     for name, part in drawn.groupby("lang", sort=True):
-        filled, size = [], 0
-        for t in part["text"]:
-            raw = t.lower().encode("utf-8", "replace")
-            if size and size + len(raw) > DICTIONARY_BYTES:
-                continue
-            filled.append(raw[:DICTIONARY_BYTES])
-            size += len(raw)
         # what stands last in a dictionary is cheapest to refer to; the order is by hash
-        content.append((name, b"\n".join(filled)))
+        raw = "\n".join(part["text"]).lower().encode("utf-8", "replace")
+        content.append((name, raw[:DICTIONARY_BYTES]))
     return LanguageModel(tuple(content))
 
 
@@ -101,7 +99,7 @@ def identify(
     df: DataFrame,
     model: LanguageModel,
     text: str = "text",
-    margin: int = MARGIN,
+    margin: float = MARGIN,
     columns: list[str] | None = None,
 ) -> DataFrame:
     """``df`` (or ``columns`` of it) with lang_pred, score and rejected.
@@ -109,9 +107,10 @@ def identify(
     lang_pred is the language whose dictionary makes the whole text smallest, the first by name
     on ties; ``und`` for a null text, one without a letter, or where nothing was learned. score
     rises from 0 to 1 with the bytes that the second best needs more. rejected holds for
-    ``und`` and, in texts of at least ``SHORT_CHARS`` characters, where these are fewer than
-    ``margin``: a few words cost the same with every dictionary, which says nothing against
-    them. A single learned language is never rejected for its margin. Input columns of these names are replaced; repeated rows stay.
+    ``und`` and where these are fewer than ``margin`` for each byte that the best needs, in whole
+    bytes: the size of a text of a few words has no room for a margin of that share, which says
+    nothing against it. A single learned language is never rejected for its margin. Input
+    columns of these names are replaced; repeated rows stay.
     """
     names = [name for name, _ in model.content]
 
@@ -124,8 +123,8 @@ def identify(
             found = sizes(model, t)
             best = int(np.argmin(found))
             others = [s for i, s in enumerate(found) if i != best]
-            gap = min(others) - found[best] if others else max(8, margin)
-            unclear = gap < margin and len(t) >= SHORT_CHARS
+            gap = min(others) - found[best] if others else found[best]
+            unclear = gap < int(margin * found[best])
             rows.append((names[best], 1.0 - float(np.exp(-gap / 8.0)), unclear))
         return pd.DataFrame(rows, columns=["lang_pred", "score", "rejected"])
 

@@ -168,7 +168,8 @@ def fit(
 ) -> RuleModel:
     """Model from about ``sample`` labelled documents, drawn by a hash of their ids.
 
-    Labels other than 0 and 1, and null ids, are not used; a repeated document counts once.
+    Labels other than 0 and 1, and null ids, are not used; a repeated document counts
+    once, an id of several texts with that of the smallest hash.
     Only the sampled ids are sent to all tasks, and only statistics reach the driver.
     """
     given = labels.select(F.col(f"`{id}`").alias("_i"), F.col(f"`{label}`").alias("_y")).where(
@@ -182,8 +183,10 @@ def fit(
     rows = (
         docs.select(F.col(f"`{id}`").alias("_i"), F.col(f"`{text}`").alias("_t"))
         .join(F.broadcast(drawn), "_i")
-        .select("_i", "_y", once(statistics, _KIND)("_t").alias("_s"))
-        .dropDuplicates(["_i"])
+        .select("_i", "_y", F.xxhash64("_t").alias("_h"), once(statistics, _KIND)("_t").alias("_s"))
+        # Of an id with several texts that of the smallest hash counts, wherever it stands.
+        .groupBy("_i")
+        .agg(F.max("_y").alias("_y"), F.min_by("_s", "_h").alias("_s"))
         .select("_i", "_y", "_s.*")
         .toPandas()
         .sort_values("_i")

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from tablescout.llm import language_id, license_scan, pii, quality_classifier, quality_rules
@@ -79,13 +80,70 @@ def test_sample_is_bounded_whatever_the_ids(spark, monkeypatch):
     assert bare == filled([(i, t, "en") for i, t in enumerate(texts)] + copies)
 
 
-def test_short_texts_are_not_rejected(spark, docs):
+def test_a_language_of_long_texts_alone_is_learned(spark):
+    rows = [(i, t, lang) for i, t, lang, _ in corpus() if lang == "en"]
+    long = " ".join(t for _, t, lang, _ in corpus() if lang == "fr")
+    assert len(long) * 12 > 60_000
+    rows.append((900, long * 12, "fr"))
+    rows += [(901 + k, t, None) for k, (_, t, lang, _) in enumerate(corpus()[:60]) if lang == "fr"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df)
+    assert [name for name, _ in model.content] == ["en", "fr"]
+    got = language_id.identify(df, model).where("doc_id >= 900").collect()
+    assert {r["lang_pred"] for r in got} == {"fr"}
+
+
+def test_dictionaries_are_full(spark):
+    rows = [(i, f"{i} " + "wort " * (50 + 400 * (i % 7)), "de") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    ((_, content),) = language_id.fit(df).content
+    assert len(content) == language_id.DICTIONARY_BYTES
+
+
+def test_one_margin_rule_for_texts_of_every_length(spark, docs):
+    """Sizes, choice, score and rejection against the library, text by text."""
     model = language_id.fit(docs)
-    both = " ".join(f"Q{chr(0x3B1 + i % 24)}{chr(0x430 + i * 7 % 32)}" for i in range(60))
-    texts = ["This.", "De.", "The shor.", "12 !", both]
-    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r["rejected"] for r in language_id.identify(rows, model).collect()}
-    assert got == {0: False, 1: False, 2: False, 3: True, 4: True}
+    texts = [t for _, t, _, _ in corpus()[:40]] + ["le", "the", "of", "a b", "x" * 5000, "word " * 3000]
+    texts += [corpus()[0][1] + " " + corpus()[1][1], "This.", "é", "of " * 50 + "le " * 50]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in language_id.identify(df, model).collect()}
+    rejected = 0
+    for i, t in enumerate(texts):
+        raw, found = t.lower().encode(), []
+        for _, content in model.content:
+            data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            one = zstandard.ZstdCompressor(language_id.LEVEL, dict_data=data, write_content_size=False)
+            step = language_id.FRAME_BYTES
+            found.append(sum(len(one.compress(raw[k : k + step])) for k in range(0, len(raw), step)))
+        best, second = sorted(found)
+        assert got[i]["lang_pred"] == model.content[found.index(best)][0]
+        assert got[i]["score"] == pytest.approx(1 - math.exp((best - second) / 8))
+        assert got[i]["rejected"] == (second - best < int(0.02 * best))
+        rejected += got[i]["rejected"]
+    assert rejected and not any(got[texts.index(t)]["rejected"] for t in ("This.", "le", "é"))
+
+
+def test_quality_of_an_id_with_two_texts_is_fitted_alike_each_time(spark):
+    rows = [(i, t) for i, t, _, _ in corpus()] + [(i, t + " more ### ### words") for i, t, _, _ in corpus()[:80]]
+    given = spark.createDataFrame([(i, q) for i, _, _, q in corpus()], "doc_id long, quality int")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one = quality_classifier.fit(df, given)
+    two = quality_classifier.fit(df.orderBy(F.desc("text")).repartition(5), given)
+    assert one == two
+
+
+def test_rule_weights_meet_the_optimality_conditions_of_the_lasso():
+    draw = np.random.default_rng(6)
+    rows = draw.normal(size=(400, 5))
+    labels = ((rows[:, 0] > 0.3) & (rows[:, 1] < 0.5) ^ (draw.random(400) < 0.05)).astype(float)
+    model = quality_classifier.fit_rules(rows, labels)
+    assert model.rules and any(len(r.tests) > 1 for r in model.rules)
+    held = np.array([[all((x[k] > cut) == above for k, above, cut in r.tests) for r in model.rules] for x in rows])
+    weights = np.array(model.weights)
+    error = 1 / (1 + np.exp(-(held @ weights + model.intercept))) - labels
+    slope = held.T @ error / len(rows)
+    assert abs(error.mean()) < 1e-4
+    assert slope == pytest.approx(-quality_classifier.PENALTY * np.sign(weights), abs=1e-4)
 
 
 def test_quality_classifier(docs, labels):
