@@ -76,29 +76,68 @@ def token_pieces(
     )
 
 
-def _complement(free: np.ndarray, gap: int, parts: int):
-    """Lengths, largest first, that sum to ``gap`` exactly; by 1, 2 or 3 parts.
+class SumIndex:
+    """Combinations of one, two and three of the occurring lengths, by their sum.
 
-    ``free`` counts what is there of each length; a length is used at most so often.
+    Pairs are all enumerated and filed under their sums; the triples of a sum are the pairs
+    filed under what a third, largest length leaves of it, and are listed when first asked for.
     """
-    if parts == 1:
-        return (gap,) if free[gap] else None
-    if parts == 2:
-        high = np.arange(gap - 1, (gap - 1) // 2, -1)
-        hits = high[(free[high] > 0) & (free[gap - high] > (high == gap - high))]
-        return (int(hits[0]), gap - int(hits[0])) if len(hits) else None
-    for a in range(gap - 2, (gap - 1) // 3, -1):
-        if free[a]:
-            free[a] -= 1
-            rest = _complement(free, gap - a, 2)
-            free[a] += 1
-            if rest and rest[0] <= a:
-                return (a, *rest)
-    return None
+
+    def __init__(self, lengths: np.ndarray, most: int):
+        self.lengths = np.sort(lengths)[::-1]
+        high, low = np.meshgrid(self.lengths, self.lengths, indexing="ij")
+        fits = (high >= low) & (high + low <= most)
+        pairs = np.stack([high[fits], low[fits]], axis=1)  # the larger the first part, the earlier
+        total = pairs.sum(axis=1)
+        order = np.argsort(total, kind="stable")
+        self.pairs = pairs[order]
+        self.begins = np.searchsorted(total[order], np.arange(most + 2))
+        self.triples: dict[int, np.ndarray] = {}
+
+    def of(self, total: int, parts: int) -> np.ndarray:
+        """The combinations of ``parts`` lengths with this sum, one a row, largest part first."""
+        if parts == 1:
+            return self.lengths[self.lengths == total][:, None]
+        if parts == 2:
+            return self.pairs[self.begins[total] : self.begins[total + 1]]
+        if total not in self.triples:
+            found = [np.zeros((0, 3), np.int64)]
+            for c in self.lengths[(self.lengths < total) & (3 * self.lengths >= total)].tolist():
+                two = self.of(total - c, 2)
+                two = two[two[:, 0] <= c]
+                found.append(np.column_stack([np.full(len(two), c), two]))
+            self.triples[total] = np.concatenate(found)
+        return self.triples[total]
+
+
+def _exact(left: np.ndarray, capacity: int, heads, index: SumIndex, parts: int, plan: list) -> None:
+    """Fill the gap beside each head length exactly, as often as the counts in ``left`` allow."""
+    for length in heads:
+        if not left[length]:
+            continue
+        rows = index.of(capacity - length, parts)
+        rows = np.column_stack([np.full(len(rows), length), rows])
+        # How often a row needs each of its lengths, the head's own included.
+        needs = (rows[:, :, None] == rows[:, None, :]).sum(axis=2)
+        while left[length]:
+            times = (left[rows] // needs).min(axis=1) if len(rows) else np.zeros(0, np.int64)
+            able = np.flatnonzero(times)
+            if not len(able):
+                break
+            pattern, n = tuple(rows[able[0]].tolist()), int(times[able[0]])
+            plan.append((pattern, n))
+            for x in set(pattern):
+                left[x] -= pattern.count(x) * n
+            # What was passed over cannot become possible: counts only fall.
+            rows, needs = rows[able[0] :], needs[able[0] :]
 
 
 def packing_plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths of one sequence, how many such sequences) that use up ``counts``."""
+    """Patterns (lengths of one sequence, how many such sequences) that use up ``counts``.
+
+    Complements of one length are consumed first, then pairs, then triples; best fit takes what
+    no combination fills exactly.
+    """
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
@@ -106,21 +145,14 @@ def packing_plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int,
     if left[capacity]:
         plan.append(((capacity,), int(left[capacity])))
         left[capacity] = 0
+    index = SumIndex(np.flatnonzero(left), capacity - 1)
     for parts in (1, 2, 3):
-        for length in range(capacity - 1, 0, -1):
-            while left[length]:
-                # the head itself is in use; it may serve as a part where more of it are left
-                free = left.copy()
-                free[length] -= 1
-                rest = _complement(free, capacity - length, parts)
-                if rest is None:
-                    break
-                pattern = (length, *rest)
-                need = {x: pattern.count(x) for x in pattern}
-                times = min(int(left[x]) // k for x, k in need.items())
-                plan.append((pattern, times))
-                for x, k in need.items():
-                    left[x] -= k * times
+        _exact(left, capacity, range(capacity - 1, 0, -1), index, parts, plan)
+    return plan + _best_fit(left, capacity)
+
+
+def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns for the lengths in ``left``, the longest first, each into the smallest gap."""
     # Best fit of what is left: open sequences by gap, each entry (gap, pattern, how many).
     gaps: list[tuple[int, tuple[int, ...], int]] = []
     for length in range(capacity, 0, -1):
@@ -139,7 +171,7 @@ def packing_plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int,
             bisect.insort(
                 gaps, (gap - copies * length, pattern + (length,) * copies, used)
             )
-    return plan + [(pattern, many) for _, pattern, many in gaps]
+    return [(pattern, many) for _, pattern, many in gaps]
 
 
 def _intervals(plan: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int, int]]:

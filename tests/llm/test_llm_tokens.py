@@ -148,16 +148,27 @@ def test_plan_uses_up_all_and_is_near_the_least():
 def test_plan_goes_on_where_a_part_is_not_there_twice():
     plan = packing.packing_plan({1000: 1, 10: 1, 9: 1, 8: 1, 7: 1}, 1024)
     assert ((1000, 9, 8, 7), 1) in plan and len(plan) == 2
-    for parts in (2, 3):
+
+
+def test_sums_are_indexed_and_counts_respected():
+    for parts in (1, 2, 3):
         draw = random.Random(parts)
-        for _ in range(300):
+        for _ in range(150):
             free = np.array([0] + [draw.choice([0, 0, 1, 2]) for _ in range(12)] + [0] * 20)
-            gap = draw.randint(parts, 20)
-            there = [x for x in range(13) for _ in range(free[x])]
-            ways = [c for c in itertools.combinations(there, parts) if sum(c) == gap]
-            found = packing._complement(free, gap, parts)
-            assert (found is None) == (not ways)
-            assert found is None or tuple(sorted(found)) in ways
+            there = np.flatnonzero(free)
+            index = packing.SumIndex(there, 20)
+            total = draw.randint(1, 20)
+            every = {c for c in itertools.combinations_with_replacement(there.tolist(), parts) if sum(c) == total}
+            assert {tuple(sorted(c)) for c in index.of(total, parts).tolist()} == every
+            assert len(index.of(total, parts)) == len(every)
+            # Nothing that fills a gap exactly is left undone, and nothing is used twice.
+            left, plan = free.copy(), []
+            packing._exact(left, 20, range(19, 0, -1), index, parts, plan)
+            assert (left >= 0).all() and all(sum(p) == 20 and n > 0 for p, n in plan)
+            rest = [int(x) for x in np.repeat(np.arange(len(left)), left)]
+            assert not any(sum(c) == 20 for c in itertools.combinations(rest, parts + 1))
+            used = Counter(x for p, n in plan for x in p * n)
+            assert all(used[x] + left[x] == free[x] for x in range(len(free)))
 
 
 def test_pack(spark, monkeypatch):
