@@ -227,13 +227,15 @@ WITH p AS (
     CASE WHEN page_id % 7 = 0 THEN '"stale"' WHEN page_id % 4 <> 0 THEN tag END,
     CASE WHEN page_id % 6 <> 0 THEN 't' || ts_first END, 0
   FROM p WHERE page_id % 3 <> 2
-), bare AS (
-  SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''),
-    '^[A-Za-z][A-Za-z0-9+.-]*://([^/?@]*@)?', '') AS b
+), portless AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(trim(url), '#.*$', ''),
+    '^([Hh][Tt][Tt][Pp]://[^/?]*):80([/?]|$)', '\\1\\2'),
+    '^([Hh][Tt][Tt][Pp][Ss]://[^/?]*):443([/?]|$)', '\\1\\2') AS u
   FROM records
+), bare AS (
+  SELECT *, regexp_replace(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?@]*@)?', '') AS b FROM portless
 ), parts AS (
-  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(b, '^[^/?]*')), '^www[.]', ''),
-      ':(80|443)$', '') AS host,
+  SELECT *, regexp_replace(lower(regexp_extract(b, '^[^/?]*')), '^www[.]', '') AS host,
     regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, '^[^/?]*', ''),
       '([?&])(utm_[a-z]+|ref)=[^&]*', '\\1', 'g'), '&+', '&', 'g'), '[?]&', '?', 'g') AS rest
   FROM bare

@@ -18,14 +18,13 @@ NOT_MERGED = [
 
 
 def canonical_url(url: Column) -> Column:
-    """The URL without scheme, user, ``www.``, default port, fragment, tracking parameters and
-    trailing slash, with a lower-case host; null stays null."""
+    """The URL without scheme, user, ``www.``, the scheme's default port, fragment, tracking
+    parameters and trailing slash, with a lower-case host; null stays null."""
     bare = F.regexp_replace(F.trim(url), "#.*$", "")
+    for scheme, port in (("[Hh][Tt][Tt][Pp]", "80"), ("[Hh][Tt][Tt][Pp][Ss]", "443")):
+        bare = F.regexp_replace(bare, f"^({scheme}://[^/?]*):{port}([/?]|$)", "$1$2")
     bare = F.regexp_replace(bare, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?@]*@)?", "")
-    host = F.regexp_replace(
-        F.regexp_replace(F.lower(F.regexp_extract(bare, "^[^/?]*", 0)), "^www[.]", ""),
-        ":(80|443)$", "",
-    )
+    host = F.regexp_replace(F.lower(F.regexp_extract(bare, "^[^/?]*", 0)), "^www[.]", "")
     rest = F.regexp_replace(bare, "^[^/?]*", "")
     rest = F.regexp_replace(rest, "([?&])(utm_[a-z]+|ref)=[^&]*", "$1")
     rest = F.regexp_replace(F.regexp_replace(rest, "&+", "&"), "[?]&", "?")

@@ -22,6 +22,11 @@ def test_canonical_url(spark):
     ]
     df = spark.createDataFrame([(u,) for u in [*same, "", None]], "u string")
     assert {r[0] for r in df.select(canonical_url(F.col("u"))).collect()} == {"a.org/x", "", None}
+    # Only the scheme's own default port may go.
+    kept = ["http://a.org:443/x", "https://a.org:80/x", "a.org:80", "ftp://a.org:443", "http://a.org:8080"]
+    df = spark.createDataFrame([(u,) for u in kept], "u string")
+    got = {r[0] for r in df.select(canonical_url(F.col("u"))).collect()}
+    assert got == {"a.org:443/x", "a.org:80/x", "a.org:80", "a.org:443", "a.org:8080"}
 
 
 def test_outcomes(spark):
