@@ -80,7 +80,8 @@ class SumIndex:
     """Combinations of one, two and three of the occurring lengths, by their sum.
 
     Pairs are all enumerated and filed under their sums; the triples of a sum are the pairs
-    filed under what a third, largest length leaves of it, and are listed when first asked for.
+    filed under what a third, largest length leaves of it, listed when they are asked for: all
+    of them at once would take memory as the cube of the capacity.
     """
 
     def __init__(self, lengths: np.ndarray, most: int):
@@ -92,7 +93,6 @@ class SumIndex:
         order = np.argsort(total, kind="stable")
         self.pairs = pairs[order]
         self.begins = np.searchsorted(total[order], np.arange(most + 2))
-        self.triples: dict[int, np.ndarray] = {}
 
     def of(self, total: int, parts: int) -> np.ndarray:
         """The combinations of ``parts`` lengths with this sum, one a row, largest part first."""
@@ -100,14 +100,12 @@ class SumIndex:
             return self.lengths[self.lengths == total][:, None]
         if parts == 2:
             return self.pairs[self.begins[total] : self.begins[total + 1]]
-        if total not in self.triples:
-            found = [np.zeros((0, 3), np.int64)]
-            for c in self.lengths[(self.lengths < total) & (3 * self.lengths >= total)].tolist():
-                two = self.of(total - c, 2)
-                two = two[two[:, 0] <= c]
-                found.append(np.column_stack([np.full(len(two), c), two]))
-            self.triples[total] = np.concatenate(found)
-        return self.triples[total]
+        found = [np.zeros((0, 3), np.int64)]
+        for c in self.lengths[(self.lengths < total) & (3 * self.lengths >= total)].tolist():
+            two = self.of(total - c, 2)
+            two = two[two[:, 0] <= c]
+            found.append(np.column_stack([np.full(len(two), c), two]))
+        return np.concatenate(found)
 
 
 def _exact(left: np.ndarray, capacity: int, heads, index: SumIndex, parts: int, plan: list) -> None:
