@@ -18,10 +18,10 @@ UNDETERMINED = "und"
 SAMPLE_TEXTS = 300  # texts per language from which a dictionary is filled, at most
 SPARE = 1.5  # times as many are looked at, so that the share rarely holds fewer
 DICTIONARY_BYTES = 131_072
-SLICE_CHARS = 4096  # of a longer text, a slice at a hashed place is used, of at least this length
+SLICE_CHARS = 1024  # of a longer text, a slice at a hashed place is used, of at least this length
 FRAME_BYTES = 1024  # a text is compressed in frames, each with the dictionary as its past
 LEVEL = 9
-MARGIN = 0.02  # bytes that the second best must need more, for each byte of the best, in whole bytes
+MARGIN = 0.005  # bytes that the second best must need more, for each byte of the best, in whole bytes
 
 
 @dataclass(frozen=True)
