@@ -17,6 +17,7 @@ from tablescout.functions.types import (
     DATETIME,
     NUMERIC,
     TEXT,
+    col,
     family,
     is_integral,
     micros_sql,
@@ -27,6 +28,8 @@ from tablescout.functions.types import (
 
 KEYS = ["int_key", "float_key", "text_key"]
 COUNTABLE = (NUMERIC, DATETIME, TEXT, BOOLEAN)
+# Sketched counts are within a few percent; columns this many times over a limit are surely over it.
+SURELY = 2
 
 
 def key_slots(field: T.StructField) -> dict[str, str]:
@@ -86,3 +89,21 @@ def distinct_counts(tables: dict[str, DataFrame]) -> DataFrame:
         )
     fields = "table_name string, column_name string, distinct_count bigint"
     return union_all(parts, tables, fields)
+
+
+def distinct_up_to(df: DataFrame, columns: list[str], most: int) -> dict[str, int | None]:
+    """Exact distinct counts of columns of at most ``most`` values; None for the others.
+
+    One scan of distinct sketches leaves out the columns that are far beyond, so no free text is
+    grouped; the others have few values and are counted.
+    """
+    if not columns:
+        return {}
+    sketched = [F.approx_count_distinct(col(c)).alias(f"d{k}") for k, c in enumerate(columns)]
+    about = df.agg(*sketched).first()
+    near = [c for k, c in enumerate(columns) if about[k] <= SURELY * most]
+    found = dict.fromkeys(columns) | dict.fromkeys(near, 0)
+    if near:
+        counts = frequencies(df, near).groupBy("column_name").agg(F.count(F.lit(1)).alias("n"))
+        found |= {r["column_name"]: r["n"] if r["n"] <= most else None for r in counts.collect()}
+    return found

@@ -143,13 +143,18 @@ def dimension_kpis(overview: DataFrame) -> DataFrame:
 
 
 def value_kpis(tables: dict[str, DataFrame], overview: DataFrame) -> DataFrame:
-    """Counts of the five most and five least frequent values of each text dimension."""
+    """Counts of the five most and five least frequent values of each text dimension.
+
+    Only the columns that the overview knows as dimensions are counted, so no free text is shuffled.
+    """
+    overview = pin(overview)
+    small = {(r["table_name"], r["column_name"]) for r in _dimensions(overview).collect()}
     parts = [
-        frequencies(df, names_of(df, TEXT)).select(
+        frequencies(df, names).select(
             F.lit(t).alias("table_name"), "column_name", F.col("text_key").alias("value"), "n"
         )
         for t, df in tables.items()
-        if names_of(df, TEXT)
+        if (names := [c for c in names_of(df, TEXT) if (t, c) in small])
     ]
     if not parts:
         return _kpis(

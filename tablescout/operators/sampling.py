@@ -7,7 +7,9 @@ from math import ceil, floor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tablescout.functions.sqltext import local_frame
 from tablescout.functions.types import (
     BOOLEAN,
     DATETIME,
@@ -27,6 +29,9 @@ from tablescout.operators.profile import row_fingerprint
 from tablescout.operators.quantiles import column_quantiles
 
 HEX_DIGITS = 8
+# Strata of an allocated sample, whose sizes reach the driver, and hex digits of their hash buckets.
+MAX_STRATA = 10_000
+BUCKET_DIGITS = 3
 
 
 def _row(df: DataFrame) -> Column:
@@ -196,6 +201,99 @@ def proportional_sample(
     return df.sampleBy(strata, fractions, seed)
 
 
+def _allocation(held: list[tuple[int, float]], size: int) -> list[int]:
+    """Rows to draw of strata of ``(rows, weight)``: in proportion to the weights, by largest remainders.
+
+    Every stratum gets at least one row and none more than it has; what that takes or leaves is
+    shared by the others in proportion again. The numbers add up to ``size``.
+    """
+    heaviest = max(w for _, w in held)
+    weights = [max(w, 1e-9 * heaviest) if heaviest > 0 else n for n, w in held]
+
+    def quotas(scale: float) -> list[float]:
+        return [min(max(scale * w, 1.0), n) for (n, _), w in zip(held, weights)]
+
+    scale = size / sum(weights)
+    found = [size * w / sum(weights) for w in weights]
+    if any(not 1 <= q <= n for q, (n, _) in zip(found, held)):
+        low, high = 0.0, max(n / w for (n, _), w in zip(held, weights))
+        for _ in range(200):
+            scale = (low + high) / 2
+            low, high = (scale, high) if sum(quotas(scale)) < size else (low, scale)
+        found = quotas(high)
+    drawn = [floor(q) for q in found]
+    by_rest = sorted(range(len(held)), key=lambda k: (drawn[k] - found[k], k))
+    for k in by_rest[: size - sum(drawn)]:
+        drawn[k] += 1
+    return drawn
+
+
+def allocated_sample(
+    df: DataFrame, strata: str, key: str, size: int, measure: str | None = None, weight: str = "weight"
+) -> DataFrame:
+    """Exactly ``size`` rows (all, where there are fewer), each stratum's by the smallest key hashes.
+
+    Strata get rows in proportion to their sizes, with ``measure`` to size times its standard
+    deviation (Neyman), at least one each; NULL is a stratum. ``weight`` (replaced where the table
+    has it) is the rows of the stratum for each drawn one, so weighted totals are unbiased and the
+    weights add up to the row count. At most ``MAX_STRATA`` strata, and no more than ``size``.
+
+    Buckets of hashes are counted first: those surely drawn are only filtered, and of each stratum
+    a 4096th is ranked, however large the stratum.
+    """
+    clean = nan_to_null(df)
+    deviation = F.stddev_samp(col(measure).cast("double")) if measure else F.lit(1.0)
+    facts = (
+        clean.groupBy(col(strata).alias("stratum"))
+        .agg(F.count(F.lit(1)).alias("rows"), F.coalesce(deviation, F.lit(0.0)).alias("deviation"))
+        .limit(MAX_STRATA + 1)
+        .collect()
+    )
+    if len(facts) > min(MAX_STRATA, max(size, 0)):
+        raise ValueError(f"{strata} has more strata than {min(MAX_STRATA, size)}")
+    kept = [c for c in df.columns if c.lower() != weight.lower()]
+    if not facts:
+        return df.select(*[col(c) for c in kept], F.lit(None).cast("double").alias(weight)).limit(0)
+    facts.sort(key=lambda r: (r["stratum"] is not None, r["stratum"] if r["stratum"] is not None else 0))
+    size = min(size, sum(r["rows"] for r in facts))
+    drawn = _allocation([(r["rows"], r["rows"] * r["deviation"]) for r in facts], size)
+    plan = local_frame(
+        df.sparkSession,
+        [(k, r["rows"], n) for k, (r, n) in enumerate(zip(facts, drawn))],
+        "k int, rows bigint, drawn bigint",
+    )
+    # One number per stratum, from a map of at most MAX_STRATA values.
+    places = df.sparkSession.createDataFrame(
+        [(k, r["stratum"]) for k, r in enumerate(facts)],
+        T.StructType([T.StructField("k", T.IntegerType()), T.StructField("stratum", df.schema[strata].dataType)]),
+    )
+    numbered = df.withColumn("_hash", _order(df, key)).join(
+        F.broadcast(places.withColumnsRenamed({"k": "_k", "stratum": "_stratum"})),
+        col(strata).eqNullSafe(F.col("_stratum")),
+    )
+    held = numbered.withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS))
+    counts = held.groupBy(F.col("_k").alias("k"), F.col("_bucket").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    upto = W.partitionBy("k").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
+    last = (
+        counts.withColumn("after", F.sum("n").over(upto))
+        .join(F.broadcast(plan), "k")
+        .where("after >= drawn AND after - n < drawn")
+        .select(
+            F.col("k").alias("_k"),
+            F.col("bucket").alias("_last"),
+            (F.col("drawn") - F.col("after") + F.col("n")).alias("_room"),
+            (F.col("rows") / F.col("drawn")).alias("_weight"),
+        )
+    )
+    # One row per stratum.
+    placed = held.join(F.broadcast(last), "_k")
+    order = W.partitionBy("_k").orderBy("_hash", _row(df))
+    ranked = placed.where("_bucket = _last").withColumn("_rank", F.row_number().over(order))
+    edge = ranked.where((F.col("_rank") <= max(drawn)) & (F.col("_rank") <= F.col("_room")))
+    out = [*[col(c) for c in kept], F.col("_weight").alias(weight)]
+    return placed.where("_bucket < _last").select(*out).unionAll(edge.select(*out))
+
+
 def strata_columns(overview: DataFrame, k: int = 3) -> DataFrame:
     """First ``k`` columns per table to stratify by: few-valued texts, times, discrete numbers."""
     kind, distinct = F.col("family"), F.col("distinct_count")

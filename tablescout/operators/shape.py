@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablescout.functions.local import pin
 from tablescout.functions.text import key_like
 from tablescout.functions.types import (
     BOOLEAN,
@@ -91,8 +92,10 @@ def constraint_guesses(
 ) -> DataFrame:
     """Not-null, unique and value-set constraints that the data satisfies today.
 
-    A value set has at most ``most_values`` values.
+    A value set has at most ``most_values`` values; only columns that the overview knows to have
+    so few are counted, so no free text is shuffled.
     """
+    overview = pin(overview)
     keys = ["table_name", "column_name"]
     filled = overview.where("row_count > 0 AND null_count = 0")
     not_null = filled.select(*keys, F.lit("not_null").alias("constraint"), F.lit("").alias("detail"))
@@ -102,17 +105,17 @@ def constraint_guesses(
     few = overview.where(
         (F.col("family") == TEXT) & F.col("distinct_count").between(1, most_values)
     ).select(*keys)
+    small = {tuple(r) for r in few.collect()}
     texts = [
-        frequencies(df, names_of(df, TEXT)).select(F.lit(t).alias("table_name"), "column_name", "text_key")
+        frequencies(df, names).select(F.lit(t).alias("table_name"), "column_name", "text_key")
         for t, df in tables.items()
-        if names_of(df, TEXT)
+        if (names := [c for c in names_of(df, TEXT) if (t, c) in small])
     ]
     found = [not_null, unique]
     if texts:
-        # Only columns of at most ``most_values`` values are gathered.
+        # At most ``most_values`` values are gathered in a row.
         found.append(
             union_all(texts)
-            .join(few, keys)
             .groupBy(*keys)
             .agg(F.concat_ws(", ", F.sort_array(F.collect_list("text_key"))).alias("detail"))
             .select(*keys, F.lit("value_set").alias("constraint"), "detail")

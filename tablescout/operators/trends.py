@@ -24,6 +24,7 @@ from tablescout.functions.types import (
     nan_to_null,
     union_all,
 )
+from tablescout.operators.frequency import distinct_up_to
 from tablescout.operators.kpi import best_kpis, kpi_suggestions
 from tablescout.operators.profile import column_overview
 
@@ -216,8 +217,26 @@ def trailing_years(df: DataFrame, time: str, years: int = 2) -> DataFrame:
     return df.where(t >= since)
 
 
-def ranked_categories(df: DataFrame, column: str, n: int = TOP_N) -> DataFrame:
-    """The ``n`` most and ``n`` least frequent values of a text column of 2 to 100 values.
+def category_failures(
+    tables: dict[str, DataFrame], columns: list[tuple[str, str]], most_values: int = CATEGORY_LIMIT
+) -> DataFrame:
+    """``(table_name, column_name, reason_code)`` of the columns that have no categorical trend."""
+    failed = []
+    for table, df in tables.items():
+        asked = [c for t, c in columns if t == table]
+        for column, n in distinct_up_to(df, asked, most_values).items():
+            if n is None or n < 2:
+                failed.append((table, column, "too_many_values" if n is None else "too_few_values"))
+    spark = next(iter(tables.values())).sparkSession
+    return local_frame(spark, failed, _FAILURE)
+
+
+def ranked_categories(
+    df: DataFrame, column: str, n: int = TOP_N, most_values: int = CATEGORY_LIMIT
+) -> DataFrame:
+    """The ``n`` most and ``n`` least frequent values of a column of 2 to ``most_values`` values.
+
+    A column of fewer or more yields no row; ``category_failures`` names it.
 
     Ties go to the smaller value at the top and to the larger at the bottom.
     """
@@ -226,22 +245,27 @@ def ranked_categories(df: DataFrame, column: str, n: int = TOP_N) -> DataFrame:
         .groupBy(col(column).alias("value"))
         .agg(F.count(F.lit(1)).alias("occurrences"))
     )
-    # Only a column of few values passes, so the ranking is over at most 101 rows: counts
-    # beyond the limit are cut before it, and a column that exceeds it yields nothing.
-    few = counts.limit(CATEGORY_LIMIT + 1)
+    # Only a column of few values passes, so the ranking is over few rows: counts beyond the
+    # limit are cut before it, and a column that exceeds it yields nothing.
+    few = counts.limit(most_values + 1)
     everything = W.partitionBy(F.lit(1))
     top = F.row_number().over(everything.orderBy(F.desc("occurrences"), "value"))
     bottom = F.row_number().over(everything.orderBy("occurrences", F.desc("value")))
     return (
         few.withColumns({"values": F.count(F.lit(1)).over(everything), "t": top, "b": bottom})
-        .where(F.col("values").between(2, CATEGORY_LIMIT))
+        .where(F.col("values").between(2, most_values))
         .where((F.col("t") <= n) | (F.col("b") <= n))
         .select("value", "occurrences", (F.col("t") <= n).alias("is_top"), (F.col("b") <= n).alias("is_bottom"))
     )
 
 
 def categorical_trend(
-    df: DataFrame, time: str, column: str, granularity: str, n: int = TOP_N
+    df: DataFrame,
+    time: str,
+    column: str,
+    granularity: str,
+    n: int = TOP_N,
+    most_values: int = CATEGORY_LIMIT,
 ) -> DataFrame:
     """Occurrences per period of the top and bottom values, zero where a value is absent.
 
@@ -250,7 +274,7 @@ def categorical_trend(
     at = as_time(df, time)
     period = period_of(at, granularity).alias("period")
     # At most 2 n values: rows of other values are dropped before anything is shuffled.
-    values = ranked_categories(df, column, n).select("value")
+    values = ranked_categories(df, column, n, most_values).select("value")
     counts = (
         df.where(at.isNotNull())
         .select(period, col(column).alias("value"))

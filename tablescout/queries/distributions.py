@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
+from tablescout.functions.local import settle, work_folder
 from tablescout.operators import associate as a
+from tablescout.operators import cells
 from tablescout.operators import drift as d
 from tablescout.operators import shape as s
 from tablescout.operators.profile import column_overview, column_stats
@@ -67,6 +71,32 @@ def _drift_categorical(spark, sf):
     return i.rounded(out, 6, "total_variation")
 
 
+def _mutual_numeric(spark, sf):
+    out = cells.mixed_associations(i.tables(spark, sf, i.GIVEN)).select(
+        "table_name", "col_a", "col_b", "n", "mutual_information"
+    )
+    return i.rounded(out, 5, "mutual_information")
+
+
+# Table, time, granularity, two windows, and the periods on either side of a change.
+WINDOWED = [
+    ("events", "ts", "day", ("2024-01-01", "2024-01-08"), ("2024-01-16", "2024-01-23"), 7),
+    ("orders", "o_orderdate", "month", ("1995-01-01", "1996-01-01"), ("2000-01-01", "2001-01-01"), 12),
+]
+
+
+def _drift_windows(spark, sf):
+    """Drift of two windows beside the period of the largest change; both from one table of counts."""
+    folder, parts = work_folder(spark), []
+    for t, time, grain, first, second, span in WINDOWED:
+        counts = settle(cells.period_counts(i.table(spark, sf, t), time, grain), folder, t)
+        both = cells.window_drift(counts, first, second).join(
+            cells.largest_change(counts, span), "column_name", "left"
+        )
+        parts.append(both.select(F.lit(t).alias("table_name"), "*"))
+    return i.timed(i.rounded(i.union(parts), 6, "total_variation", "change"), "change_period")
+
+
 def _entropy(spark, sf):
     return i.rounded(a.column_entropy(i.tables(spark, sf, i.PROFILED)), 6, "entropy")
 
@@ -140,7 +170,9 @@ QUERIES = {
     "cramers_v": _associations("n", "cramers_v"),
     "chi_square": _associations("n", "chi_square", "dof", "p_value"),
     "mutual_information": _associations("n", "mutual_information"),
+    "mutual_information_numeric": _mutual_numeric,
     "ks_statistic": _ks,
+    "drift_windows": _drift_windows,
     "drift_numeric": _drift_numeric,
     "drift_categorical": _drift_categorical,
     "column_entropy": _entropy,
@@ -173,6 +205,71 @@ def _association_select(t, columns):
 _ASSOC = i.union_sql([_association_select(*p) for p in PAIRED])
 
 
+def _coded_cte(t: str) -> str:
+    """``coded_<t>``: numbers as cells, texts as they are where they have 2 to 100 values, else NULL."""
+    numbers, texts = [x[1] for x in i.columns_of([t], "numeric")], [x[1] for x in i.columns_of([t], "text")]
+    shares = [k / cells.CELLS for k in range(1, cells.CELLS)]
+    facts = [
+        f"list_distinct([CAST(printf('%.12g', x) AS DOUBLE) FOR x IN quantile_cont({c}::DOUBLE, {shares})]) AS e_{c}"
+        for c in numbers
+    ] + [f"count(DISTINCT {c}) BETWEEN 2 AND {cells.MOST_VALUES} AS f_{c}" for c in texts]
+    out = [
+        f"CASE WHEN {c} IS NOT NULL THEN CAST(len([e FOR e IN e_{c} IF e <= {c}::DOUBLE]) AS VARCHAR) END AS {c}"
+        for c in numbers
+    ] + [f"CASE WHEN f_{c} THEN {c} END AS {c}" for c in texts]
+    times = [x[1] for x in i.columns_of([t], "datetime")]
+    return f"coded_{t} AS (SELECT {', '.join(out + times)} FROM {t}, (SELECT {', '.join(facts)} FROM {t}))"
+
+
+_MIXED = [
+    (t, x, y)
+    for t in i.GIVEN
+    for x, y in combinations(sorted(c for _, c in i.columns_of([t], "numeric", "text")), 2)
+]
+
+
+def _mixed_select(t, x, y):
+    return f"""SELECT '{t}' AS table_name, '{x}' AS col_a, '{y}' AS col_b, n,
+      round(greatest(logs / n + ln(n), 0), 5) AS mutual_information
+      FROM (SELECT CAST(sum(o) AS BIGINT) AS n, sum(o * ln(o / (r * c))) AS logs
+      FROM (SELECT o, sum(o) OVER (PARTITION BY a) AS r, sum(o) OVER (PARTITION BY b) AS c
+        FROM (SELECT {x} AS a, {y} AS b, CAST(count(*) AS DOUBLE) AS o FROM coded_{t}
+          WHERE {x} IS NOT NULL AND {y} IS NOT NULL GROUP BY 1, 2))) WHERE n > 0"""
+
+
+def _windows_select(t, time, grain, first, second, span):
+    """Both parts from the rows themselves, without running counts."""
+    within = [f"p >= TIMESTAMP '{w[0]}' AND p < TIMESTAMP '{w[1]}'" for w in (first, second)]
+    spread = i.union_sql(
+        [
+            f"SELECT '{c}' AS column_name, date_trunc('{grain}', {time}) AS p, {c} AS cell FROM coded_{t} "
+            f"WHERE {c} IS NOT NULL"
+            for _, c in i.columns_of([t], "numeric", "text")
+        ]
+    )
+    return f"""SELECT '{t}' AS table_name, column_name, n_first, n_second, total_variation, change_period, change
+      FROM (WITH spread AS MATERIALIZED ({spread}),
+        cells AS (SELECT column_name, cell, count(*) FILTER ({within[0]}) AS n1,
+          count(*) FILTER ({within[1]}) AS n2 FROM spread GROUP BY 1, 2),
+        totals AS (SELECT *, sum(n1) OVER w AS t1, sum(n2) OVER w AS t2 FROM cells
+          WINDOW w AS (PARTITION BY column_name)),
+        fixed AS (SELECT column_name, CAST(max(t1) AS BIGINT) AS n_first, CAST(max(t2) AS BIGINT) AS n_second,
+          round(sum(abs(n1 / t1 - n2 / t2)) / 2, 6) AS total_variation FROM totals GROUP BY 1),
+        periods AS (SELECT column_name, p, row_number() OVER (PARTITION BY column_name ORDER BY p) AS k,
+          count(*) OVER (PARTITION BY column_name) AS many FROM (SELECT DISTINCT column_name, p FROM spread)),
+        sides AS (SELECT a.column_name, a.p, s.cell, count(*) FILTER (b.k < a.k) AS n1,
+          count(*) FILTER (b.k >= a.k) AS n2
+          FROM periods a JOIN periods b ON a.column_name = b.column_name AND b.k BETWEEN a.k - {span} AND a.k + {span} - 1
+          JOIN spread s ON s.column_name = b.column_name AND s.p = b.p
+          WHERE a.k > {span} AND a.k + {span} - 1 <= a.many GROUP BY 1, 2, 3),
+        moved AS (SELECT column_name, p, round(sum(abs(n1 / t1 - n2 / t2)) / 2, 9) AS change
+          FROM (SELECT *, sum(n1) OVER w AS t1, sum(n2) OVER w AS t2 FROM sides
+            WINDOW w AS (PARTITION BY column_name, p)) GROUP BY 1, 2),
+        best AS (SELECT column_name, strftime(p, '%Y-%m-%d %H:%M:%S') AS change_period, round(change, 6) AS change
+          FROM moved QUALIFY row_number() OVER (PARTITION BY column_name ORDER BY change DESC, p) = 1)
+      SELECT * FROM fixed LEFT JOIN best USING (column_name))"""
+
+
 _STEPS = 20_000  # of the quadrature; even
 
 
@@ -244,6 +341,16 @@ SQL = {
         "SELECT table_name, col_a, col_b, n, round(mutual_information, 5) AS mutual_information "
         f"FROM ({_ASSOC})",
     ),
+    "mutual_information_numeric": i.with_inputs(
+        i.GIVEN,
+        i.union_sql([_mixed_select(*x) for x in _MIXED]),
+        *[_coded_cte(t) for t in sorted({x[0] for x in _MIXED})],
+    ),
+    "drift_windows": i.with_inputs(
+        ["events", "orders"],
+        i.union_sql([_windows_select(*x) for x in WINDOWED]),
+        *[_coded_cte(x[0]) for x in WINDOWED],
+    ),
     "ks_statistic": i.union_sql(
         [
             _ks_select(

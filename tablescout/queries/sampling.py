@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tablescout.operators import sampling as s
 from tablescout.operators.profile import column_overview
 from tablescout.queries import inputs as i
@@ -66,6 +68,18 @@ def _stratified(spark, sf):
     )
 
 
+ALLOCATED = 500
+
+
+def _allocated(spark, sf):
+    """Proportional to the strata's sizes, and to size times deviation of the price."""
+    orders, parts = _orders(spark, sf), []
+    for method, measure in (("proportional", None), ("neyman", "o_totalprice")):
+        drawn = s.allocated_sample(orders, "o_orderpriority", "o_orderkey", ALLOCATED, measure)
+        parts.append(drawn.select(F.lit(method).alias("method"), "o_orderkey", "o_orderpriority", "weight"))
+    return i.rounded(i.union(parts), 6, "weight")
+
+
 QUERIES = {
     "random_sample": _random_sample,
     "multistage_sample": _multistage,
@@ -75,6 +89,7 @@ QUERIES = {
     "strata_columns": _strata_columns,
     "sample_quality": _sample_quality,
     "stratified_sample": _stratified,
+    "allocated_sample": _allocated,
 }
 
 _DATED = "* REPLACE (strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate)"
@@ -135,6 +150,17 @@ SQL = {
         WHERE rank <= 3""",
         i.overview_cte(i.PROFILED),
     ),
+    "allocated_sample": f"""WITH sizes AS (SELECT o_orderpriority, count(*) AS n,
+        stddev_samp(o_totalprice) AS dev FROM orders GROUP BY 1),
+      quotas AS (SELECT method, o_orderpriority, n, {ALLOCATED} * w / sum(w) OVER (PARTITION BY method) AS q FROM (
+        SELECT 'proportional' AS method, *, n AS w FROM sizes UNION ALL SELECT 'neyman', *, n * dev FROM sizes)),
+      allocated AS (SELECT *, floor(q) + CASE WHEN row_number() OVER (
+          PARTITION BY method ORDER BY q - floor(q) DESC, o_orderpriority)
+          <= {ALLOCATED} - sum(floor(q)) OVER (PARTITION BY method) THEN 1 ELSE 0 END AS take FROM quotas)
+      SELECT method, o_orderkey, o_orderpriority, round(n / take, 6) AS weight FROM allocated
+      JOIN (SELECT o_orderkey, o_orderpriority, row_number() OVER (
+        PARTITION BY o_orderpriority ORDER BY {_HASH}) AS r FROM orders) USING (o_orderpriority)
+      WHERE r <= take""",
     "sample_quality": f"""WITH sample AS (SELECT * FROM events
         WHERE substr(md5(CAST(event_id AS VARCHAR)), 1, 8) < '{FRACTION_LIMIT}'),
       sizes AS (SELECT (SELECT count(*) FROM events) AS full_rows,

@@ -173,6 +173,13 @@ def _top_bottom(spark, sf):
     return i.union(parts)
 
 
+UNDRAWN = i.columns_of(i.PROFILED, "text")
+
+
+def _category_failures(spark, sf):
+    return t.category_failures(i.tables(spark, sf, i.PROFILED), UNDRAWN)
+
+
 def _trailing(spark, sf):
     recent = t.trailing_years(i.table(spark, sf, "orders"), "o_orderdate", 2)
     points = t.trend(recent, "o_orderdate", "o_totalprice", "sum", "month")
@@ -189,6 +196,7 @@ QUERIES = {
     "trend_failures": _failures,
     "trend_panel": _panel,
     "categorical_trend": _categorical,
+    "category_failures": _category_failures,
     "top_bottom_values": _top_bottom,
     "trend_trailing_2y": _trailing,
 }
@@ -299,6 +307,18 @@ SQL = {
         "USING (table_name, column_name)",
         i.overview_cte(["events", "lineitem", "orders_dirty"]),
     ),
+    "category_failures": i.with_inputs(
+        i.PROFILED,
+        "SELECT * FROM ("
+        + i.union_sql(
+            [
+                f"""SELECT '{x}' AS table_name, '{c}' AS column_name, CASE WHEN count(DISTINCT {c}) > 100
+          THEN 'too_many_values' WHEN count(DISTINCT {c}) < 2 THEN 'too_few_values' END AS reason_code FROM {x}"""
+                for x, c in UNDRAWN
+            ]
+        )
+        + ") WHERE reason_code IS NOT NULL",
+    ),
     "categorical_trend": i.with_inputs(
         _BATCH_INPUTS, i.union_sql([_categorical_select(*c) for c in CATEGORIES])
     ),
