@@ -15,19 +15,24 @@ from tablescout.operators.frequency import frequencies
 
 def contingency(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``(pair, a, b, n)`` for every pair of text columns in one scan and one shuffle."""
-    names = sorted(columns if columns is not None else names_of(df, TEXT))
+    return _counted(_together(df, _pairs(df, columns)))
+
+
+def _pairs(df: DataFrame, columns: list[str] | None) -> list[tuple[str, str]]:
+    return list(combinations(sorted(columns if columns is not None else names_of(df, TEXT)), 2))
+
+
+def _together(df: DataFrame, pairs: list[tuple[str, str]], first: int = 0) -> DataFrame:
+    """``(pair, a, b)`` of every row and pair; pairs are numbered from ``first`` on."""
     rows = [
-        F.struct(
-            F.lit(i).alias("pair"), col(a).alias("a"), col(b).alias("b")
-        )
-        for i, (a, b) in enumerate(combinations(names, 2))
+        F.struct(F.lit(i).alias("pair"), col(a).alias("a"), col(b).alias("b"))
+        for i, (a, b) in enumerate(pairs, first)
     ]
-    return (
-        df.select(F.inline(F.array(*rows)))
-        .where("a IS NOT NULL AND b IS NOT NULL")
-        .groupBy("pair", "a", "b")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    return df.select(F.inline(F.array(*rows))).where("a IS NOT NULL AND b IS NOT NULL")
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("pair", "a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
 def associations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -37,8 +42,25 @@ def associations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     occurring cells are needed. Totals are joined back, never windowed: a value that fills
     most of a column is one row of its totals.
     """
-    names = sorted(columns if columns is not None else names_of(df, TEXT))
-    cells = contingency(df, names)
+    pairs = _pairs(df, columns)
+    found = _measured(_counted(_together(df, pairs)), [("", a, b) for a, b in pairs])
+    return found.drop("table_name")
+
+
+def table_associations(tables: dict[str, DataFrame]) -> DataFrame:
+    """``associations`` of all column pairs of every table, in one shuffle of them all.
+
+    Takes frames of text columns.
+    """
+    parts, labels = [], []
+    for table, df in tables.items():
+        if pairs := _pairs(df, df.columns):
+            parts.append(_together(df, pairs, len(labels)))
+            labels += [(table, a, b) for a, b in pairs]
+    return _measured(_counted(union_all(parts, tables, "pair int, a string, b string")), labels)
+
+
+def _measured(cells: DataFrame, labels: list[tuple[str, str, str]]) -> DataFrame:
     rows = cells.groupBy("pair", "a").agg(F.sum("n").alias("r"))
     cols = cells.groupBy("pair", "b").agg(F.sum("n").alias("c"))
     shape = (
@@ -57,19 +79,20 @@ def associations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
             F.sum(n * F.ln(n / (r * c))).alias("logs"),
         )
     )
-    labels = local_frame(
-        df.sparkSession,
-        [(i, a, b) for i, (a, b) in enumerate(combinations(names, 2))],
-        "pair int, col_a string, col_b string",
+    names = local_frame(
+        cells.sparkSession,
+        [(i, *label) for i, label in enumerate(labels)],
+        "pair int, table_name string, col_a string, col_b string",
     )
     total = F.col("total").cast("double")
     chi2 = F.greatest(total * (F.col("ratio") - 1), F.lit(0.0))
     dof = (F.col("n_a") - 1) * (F.col("n_b") - 1)
     least = F.least(F.col("n_a"), F.col("n_b")) - 1
     return (
-        labels.join(sums, "pair")
+        names.join(sums, "pair")
         .join(shape, "pair")
         .select(
+            "table_name",
             "col_a",
             "col_b",
             F.col("total").alias("n"),

@@ -6,15 +6,13 @@ every table of counts here is bounded by the schema (and the calendar), whatever
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tablescout.functions.sqltext import ident
 from tablescout.functions.types import BOOLEAN, NUMERIC, TEXT, col, names_of, nan_to_null, union_all
-from tablescout.operators.associate import associations
+from tablescout.operators.associate import table_associations
 from tablescout.operators.frequency import distinct_up_to
 from tablescout.operators.quantiles import column_quantiles
 from tablescout.operators.trends import as_time, period_of
@@ -44,20 +42,18 @@ def cell_edges(
     }
 
 
-def cell_of(value: Column, edges: list[float]) -> Column:
-    """How many edges a number has reached; NULL for NULL."""
-    reached = [(value >= F.lit(e)).cast("int") for e in edges]
-    return F.when(value.isNotNull(), reduce(add, reached, F.lit(0)))
+def cell_of(name: str, edges: list[float]) -> Column:
+    """How many edges a number has reached, as text; NULL for NULL."""
+    value = f"CAST({ident(name)} AS DOUBLE)"
+    reached = " + ".join(["0", *[f"CAST({value} >= CAST('{e!r}' AS DOUBLE) AS INT)" for e in edges]])
+    return F.expr(f"CASE WHEN {value} IS NOT NULL THEN CAST({reached} AS STRING) END").alias(name)
 
 
 def coded(df: DataFrame, edges: dict[str, list[float]], texts: list[str]) -> DataFrame:
     """Numeric columns as cells, booleans and the given text columns as they are; all as text."""
-    clean = nan_to_null(df)
-    numbers = [
-        cell_of(col(c).cast("double"), edges.get(c, [])).cast("string").alias(c) for c in names_of(df, NUMERIC)
-    ]
+    numbers = [cell_of(c, edges.get(c, [])) for c in names_of(df, NUMERIC)]
     rest = [col(c).cast("string").alias(c) for c in [*names_of(df, BOOLEAN), *texts]]
-    return clean.select(*numbers, *rest)
+    return nan_to_null(df).select(*numbers, *rest)
 
 
 def mixed_associations(
@@ -69,17 +65,12 @@ def mixed_associations(
     A pair has at most ``max(cells, most_values)`` squared cells, combined before the shuffle. Only
     rows where both columns are present count; a pair without any has no row.
     """
-    edges, parts = cell_edges(tables, cells), []
-    for table, df in tables.items():
-        own = {c: e for (t, c), e in edges.items() if t == table}
-        few = coded(df, own, few_valued(df, most_values))
-        if len(few.columns) > 1:
-            parts.append(associations(few, few.columns).select(F.lit(table).alias("table_name"), "*"))
-    return union_all(
-        parts,
-        tables,
-        "table_name string, col_a string, col_b string, n bigint, chi_square double, dof bigint, "
-        "p_value double, cramers_v double, mutual_information double",
+    edges = cell_edges(tables, cells)
+    return table_associations(
+        {
+            table: coded(df, {c: e for (t, c), e in edges.items() if t == table}, few_valued(df, most_values))
+            for table, df in tables.items()
+        }
     )
 
 
