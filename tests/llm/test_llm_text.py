@@ -2,9 +2,10 @@
 
 import math
 import random
-import time
 import re
+import time
 from collections import Counter
+from itertools import product
 
 import numpy as np
 import pytest
@@ -216,13 +217,13 @@ def test_distance():
 
 
 LICENSES = {
-    "Licensed under the Apache License, Version 2.0.": ("", "apache-2.0", 1.0),
-    "Licensed under a CC BY-NC 4.0": ("cc-by", "cc-by,cc-by-nc-4.0", 1.0),
+    "Licensed under the Apache License, Version 2.0.": ("", "apache-2.0-mention", 0.6),
+    "Licensed under a CC BY-NC 4.0": ("cc-by", "cc-by,cc-by-nc-4.0-mention", 0.6),
     "Licensed under the Apache Software License, Version 2.0": ("", "", 0.0),
     "GNU General Public License. All rights reserved": ("gpl,reserved", "gpl,reserved", 0.5),
     "Copyright (c) 2019 Some Body Ltd. All Rights Reserved.": ("reserved", "proprietary,reserved", 1.0),
     "Copyright " + "x " * 14 + "all rights reserved": ("reserved", "reserved", 0.5),
-    "GNU Library General Public License": ("gpl", "gpl,lgpl", 1.0),
+    "GNU Library General Public License": ("gpl", "gpl,lgpl-mention", 0.6),
 }
 
 
@@ -251,6 +252,106 @@ def test_licenses(spark):
         license_scan.Automaton("[[the]] license")
 
 
+MIT = """Copyright 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
+associated documentation files (the "Software"), to deal in the Software without restriction,
+including without limitation the rights to use, copy, modify, merge, publish, distribute,
+sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or
+substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED \u201cAS IS\u201d, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING
+BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES
+OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted
+provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions
+   and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions
+   and the following disclaimer in the documentation and/or other materials provided with the
+   distribution.
+{third}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A
+PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR
+ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT
+LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR
+TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF
+ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+NAMES = """3. Neither the name of Example Ltd nor the names of its contributors may be used to endorse or
+   promote products derived from this software without specific prior written permission."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the
+GNU General Public License as published by the Free Software Foundation, either version 3 of the License,
+or (at your option) any later version. This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR
+PURPOSE. See the GNU General Public License for more details."""
+
+
+def _found(text):
+    r = license_scan.scan(text, tuple(license_scan.NOTICES), tuple(license_scan.MENTIONS))
+    return set(r[5].split(",")) - {""}, r[6]
+
+
+def test_whole_notices():
+    assert _found("x\n" + MIT + "\nEnd") == ({"mit"}, 1.0)
+    assert _found(BSD.format(third="")) == ({"bsd-2-clause"}, 1.0)
+    assert _found(BSD.format(third=NAMES)) == ({"bsd-3-clause"}, 1.0)
+    assert _found(GPL) == ({"gpl", "gpl-3.0"}, 1.0)
+    assert _found(MIT + "\n" + GPL) == ({"mit", "gpl", "gpl-3.0"}, 1.0)
+
+
+def test_changed_notices_and_denied_mentions():
+    opening = MIT[: MIT.index("including without")]
+    assert _found(opening + "except that commercial use is forbidden.") == ({"mit-opening"}, 0.7)
+    assert _found(BSD[: BSD.index("1.")] + "you pay the author, you may not modify") == ({"bsd-opening"}, 0.7)
+    # Every mandatory word counts: without any one of them only the opening is left.
+    words = MIT.split()
+    first, past = words.index("Permission"), words.index("including")
+    for k in range(past, len(words)):
+        labels, score = _found(" ".join(words[:k] + ["never"] + words[k + 1 :]))
+        assert (labels, score) == ({"mit-opening"}, 0.7), words[k]
+    assert _found(" ".join(words[:first] + words[first + 1 :])) == (set(), 0.0)
+    assert _found("This is released under the MIT License.") == ({"mit-mention"}, 0.6)
+    for denied in ("This is not licensed", "It isn't yet released", "no longer distributed"):
+        assert _found(f"{denied} under the MIT License") == (set(), 0.0)
+    assert _found("No warranty. Licensed under the MIT License") == ({"mit-mention"}, 0.6)
+
+
+def test_automata_against_all_their_word_sequences():
+    """Templates expanded to every sequence that they stand for, over an alphabet of four words."""
+
+    def expand(parts):
+        if not parts:
+            return {()}
+        head, rest = parts[0], expand(parts[1:])
+        if isinstance(head, int):
+            heads = {w for n in range(head + 1) for w in product("abcd", repeat=n)}
+        elif isinstance(head, list):
+            heads = expand(head) | {()}
+        else:
+            heads = {(w,) for w in head.split("|")}
+        return {h + r for h in heads for r in rest}
+
+    cases = {
+        "a [[b|c d]] a": ["a", ["b|c", "d"], "a"],
+        "a|b {{2}} c": ["a|b", 2, "c"],
+        "d [[a [[b]]]] {{1}} a": ["d", ["a", ["b"]], 1, "a"],
+    }
+    for template, parts in cases.items():
+        one, wanted = license_scan.Automaton(template), expand(parts)
+        for n in range(1, 7):
+            for words in product("abcd", repeat=n):
+                ends = [k for k in range(n + 1) if words[:k] in wanted]
+                assert one.accept([w.encode() for w in words], 0) == max(ends, default=None)
+
+
 PATTERNS = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
