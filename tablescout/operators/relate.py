@@ -20,7 +20,7 @@ from tablescout.operators.frequency import COUNTABLE, KEYS
 BITS = 62  # columns per bitmap word
 
 
-def _shared_key(field: T.StructField) -> dict[str, str]:
+def shared_key(field: T.StructField) -> dict[str, str]:
     """Key slots that are equal whenever the values are equal as numbers, texts or times."""
     c, kind = ident(field.name), family(field.dataType)
     slots = {"int_key": "NULL", "float_key": "NULL", "text_key": "NULL"}
@@ -72,7 +72,7 @@ class ColumnSets:
                     for w in range(self.words)
                 }
                 kind = str(COUNTABLE.index(family(f.dataType)))
-                rows.append({"family": kind, **_shared_key(f), **bits})
+                rows.append({"family": kind, **shared_key(f), **bits})
             if rows:
                 parts.append(nan_to_null(df).select(inline_rows(rows)))
         values = union_all(parts).where(

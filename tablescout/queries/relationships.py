@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tablescout.functions.local import settle, work_folder
 from tablescout.functions.text import KEY_PATTERN
 from tablescout.operators import relate as r
 from tablescout.operators.profile import column_overview
+from tablescout.operators.setsketch import approx_overlaps, column_sketches
 from tablescout.queries import inputs as i
 from tablescout.sources import table_schema
 
-ALL = [t for t in i.GIVEN if t != "embeddings"]
-STAR = ["customer", "events", "lineitem", "nation", "orders", "part", "region", "supplier"]
+ALL = i.GIVEN
 SOURCES = {
-    "crm": ["customer", "nation", "supplier"],
-    "shop": ["events", "lineitem", "orders"],
+    "crm": ["customer", "nation", "region", "supplier"],
+    "shop": ["events", "lineitem", "orders", "part"],
+    "corpus": ["benchmark", "conversations", "documents", "embeddings", "labels", "pages"],
 }
 OVERLAPS = [
     ("orders", "o_custkey", "customer", "c_custkey"),
@@ -31,12 +33,12 @@ COVERED = [
 FOCUS = ["orders.o_orderkey", "c_custkey"]
 
 
-def _found(spark, sf, names=STAR):
+def _found(spark, sf, names=ALL):
     return r.relationships(i.tables(spark, sf, names))
 
 
 def _relationships(spark, sf):
-    return i.rounded(_found(spark, sf, ALL), 6, "match_rate")
+    return i.rounded(_found(spark, sf), 6, "match_rate")
 
 
 def _cross_source(spark, sf):
@@ -59,6 +61,21 @@ def _value_overlap(spark, sf):
     return i.rounded(i.union(out), 6, "match_rate")
 
 
+def _approx_overlap(spark, sf):
+    """Whether estimates from stored sketches are within their bound of the exact overlap."""
+    tables = i.tables(spark, sf, ALL)
+    sketches = settle(column_sketches(tables), work_folder(spark), "sketches")
+    pair = ["source_table", "source_column", "target_table", "target_column"]
+    estimates = approx_overlaps(sketches, sketches).select(
+        *pair, F.col("overlap_count").alias("estimate"), "overlap_error"
+    )
+    within = F.abs(F.col("estimate") - F.col("overlap_count")) <= F.col("overlap_error")
+    exact = r.relationships(tables, min_rate=0.0)
+    return exact.join(estimates, pair, "left").select(
+        *pair, "overlap_count", F.coalesce(within, F.lit(False)).alias("within_bound")
+    )
+
+
 def _edges(spark, sf):
     return i.rounded(r.graph_edges(_found(spark, sf)), 6, "match_rate")
 
@@ -67,11 +84,8 @@ def _joins(spark, sf):
     return i.rounded(r.join_opportunities(_found(spark, sf)), 6, "match_rate")
 
 
-PRIORITY = ["customer", "documents", "events", "labels", "orders"]
-
-
 def _priority(spark, sf):
-    tables = i.tables(spark, sf, PRIORITY)
+    tables = i.tables(spark, sf, ALL)
     keys = r.key_like_columns(table_schema(spark, tables))
     return i.rounded(r.touching(r.relationships(tables), keys), 6, "match_rate")
 
@@ -91,6 +105,7 @@ def _coverage(spark, sf):
 QUERIES = {
     "key_like_columns": _key_like,
     "value_overlap": _value_overlap,
+    "approx_value_overlap": _approx_overlap,
     "relationships": _relationships,
     "cross_source_relationships": _cross_source,
     "graph_nodes": lambda spark, sf: r.graph_nodes(_found(spark, sf)),
@@ -152,13 +167,13 @@ def relation_ctes(groups: list[tuple[str, list[str]]], min_rate: float, strong:
     ]
 
 
-def within_ctes(names: list[str]) -> list[str]:
+def within_ctes(names: list[str], min_rate: float = 0.3) -> list[str]:
     kinds = ("foreign_key", "foreign_key_candidate")
-    return relation_ctes([("", [t]) for t in names], 0.3, 0.95, kinds, "false")
+    return relation_ctes([("", [t]) for t in names], min_rate, 0.95, kinds, "false")
 
 
-def _within(body: str, names=STAR) -> str:
-    return i.with_inputs(names, body, *within_ctes(names))
+def _within(body: str, names=ALL, min_rate: float = 0.3) -> str:
+    return i.with_inputs(names, body, *within_ctes(names, min_rate))
 
 
 _REL = (
@@ -198,7 +213,12 @@ SQL = {
     "value_overlap": i.with_inputs(
         ["orders_orphan"], i.union_sql([_overlap_select(*p) for p in OVERLAPS])
     ),
-    "relationships": _within(_REL, ALL),
+    "approx_value_overlap": _within(
+        "SELECT source_table, source_column, target_table, target_column, overlap_count, "
+        "true AS within_bound FROM rel",
+        min_rate=0.0,
+    ),
+    "relationships": _within(_REL),
     "cross_source_relationships": i.with_inputs(
         [],
         _REL,
@@ -222,7 +242,7 @@ SQL = {
         "source_column || ' = t.' || target_column AS suggested_sql FROM rel WHERE match_rate >= 0.7"
     ),
     "priority_relationships": _within(
-        f"{_REL} WHERE {_KEYS.format('source_column')} OR {_KEYS.format('target_column')}", PRIORITY
+        f"{_REL} WHERE {_KEYS.format('source_column')} OR {_KEYS.format('target_column')}"
     ),
     "priority_graph_nodes": _within(
         f"""SELECT id, id AS label FROM (SELECT unnest([source_table, target_table]) AS id FROM rel

@@ -18,6 +18,7 @@ from tablescout.sources import (
     list_tables,
     read_csv,
     read_findings,
+    read_sources,
     table_metadata,
     table_schema,
     table_stats,
@@ -73,6 +74,32 @@ def _approx_cardinality(spark, sf):
     )
 
 
+ARCHIVED = ["events", "orders"]  # held by a second source too, every third row
+
+
+def _key(name: str) -> str:
+    return next(iter(i.SCHEMAS[name]))
+
+
+def _source_scan(spark, sf):
+    """Rows of every given table by the source that holds them, from a filter that is handed down."""
+    folder = work_folder(spark)
+    for name in ARCHIVED:
+        i.table(spark, sf, name).where(f"{_key(name)} % 3 = 0").write.parquet(f"{folder}/{name}.parquet")
+    out = []
+    for name in i.GIVEN:
+        rows = read_sources(spark, {"given": sf, "archive": folder}, name, [_key(name)])
+        key = F.col(_key(name)).cast("bigint")
+        found = rows.where(key >= 2).groupBy("source_name").agg(
+            F.count(F.lit(1)).alias("row_count"),
+            F.min(key).alias("first_key"),
+            F.max(key).alias("last_key"),
+            F.sum(key).alias("key_sum"),
+        )
+        out.append(found.select(F.lit(name).alias("table_name"), "*"))
+    return i.union(out)
+
+
 def _head_sample(spark, sf):
     top = head_sample(i.table(spark, sf, "orders"), 100, ["o_orderkey"])
     return i.timed(top, "o_orderdate")
@@ -160,6 +187,7 @@ QUERIES = {
     "table_stats": _table_stats,
     "table_metadata": _table_metadata,
     "approx_cardinality": _approx_cardinality,
+    "source_scan": _source_scan,
     "head_sample": _head_sample,
     "sink_roundtrip": _sink_roundtrip,
     "insight_lines": _insight_lines,
@@ -273,6 +301,15 @@ SQL = {
             ]
         ]
     ),
+    "source_scan": i.union_sql(
+        [
+            f"SELECT '{t}' AS table_name, '{source}' AS source_name, count(*) AS row_count, "
+            f"min({_key(t)})::BIGINT AS first_key, max({_key(t)})::BIGINT AS last_key, "
+            f"sum({_key(t)})::BIGINT AS key_sum FROM {t} WHERE {_key(t)} >= 2 AND {_key(t)} % {step} = 0 HAVING count(*) > 0"
+            for source, names, step in (("given", i.GIVEN, 1), ("archive", ARCHIVED, 3))
+            for t in names
+        ]
+    ),
     "head_sample": "SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate) "
     "FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 100)",
     "sink_roundtrip": i.with_inputs(

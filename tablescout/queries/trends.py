@@ -77,7 +77,7 @@ def _weekly(spark, sf):
     return i.timed(labelled, "period", "period_end")
 
 
-TIMED = ["events", "events_text_time", "lineitem", "nation", "orders", "part", "region"]
+TIMED = [*i.GIVEN, "events_text_time"]
 
 
 def _primary_time(spark, sf):
@@ -269,7 +269,9 @@ _REASONS = {
 }
 
 SQL = {
-    "primary_time_column": i.with_inputs(TIMED, i.union_sql([_primary_select(x) for x in TIMED])),
+    "primary_time_column": i.with_inputs(
+        TIMED, i.union_sql([_primary_select(x) for x in TIMED if i.columns_of([x], "datetime", "text")])
+    ),
     "time_columns": i.with_inputs(
         i.PROFILED,
         i.union_sql(

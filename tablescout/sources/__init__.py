@@ -1,5 +1,6 @@
 """Reading tables and their metadata; writing findings."""
 
+from tablescout.sources.folders import read_sources
 from tablescout.sources.sinks import insight_lines, read_findings, write_findings, write_lines
 from tablescout.sources.tables import (
     approx_cardinality,
@@ -24,6 +25,7 @@ __all__ = [
     "load_folder",
     "read_csv",
     "read_findings",
+    "read_sources",
     "table_metadata",
     "table_schema",
     "table_stats",
