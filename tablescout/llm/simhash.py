@@ -15,7 +15,8 @@ SEED, WORDS = 42, 3
 BLOCK = 65_536  # shingles whose bits are counted at once
 BITS, HALF = 64, 32
 NODE_BITS = 12  # depth of the trie nodes that are dealt to tasks
-HOT_NODE = 20_000  # fingerprints below a node from which its pairs are dealt at twice the depth
+WAY_BITS = 4
+HOT_GROUP = 100_000  # fingerprints of a group of node pairs from which it is dealt in smaller ones
 LEAF_PAIRS = 64  # node pairs with at most so many pairs of leaves are compared leaf by leaf
 AT_ONCE = 1_000_000  # node pairs or pairs of leaves held at once
 
@@ -63,62 +64,140 @@ def _budget(depth: int, errors: int) -> int:
     return errors // 2 if depth <= HALF else errors
 
 
-def _deal(fps: DataFrame, hot: list[int], errors: int) -> DataFrame:
-    """Each fingerprint beside every trie node pair that it takes part in: (node, other, fp).
+# What a group of fingerprints stands for. Its own ones lie below one node.
+PLAIN, DEEP = 0, 1  # pairs among its own, and of those with the others, which differ in one bit
+ACROSS = 2  # pairs of its own with the others alone
+BLOCKS = 3  # as ACROSS, but the others are of the same node
+GROUP = ["node", "mode", "cell"]
 
-    A node of ``NODE_BITS`` bits is paired with itself and with the nodes one bit away; the
-    pair belongs to the smaller node, whose fingerprints have ``other`` false. Pairs with a hot
-    node are dealt one level deeper in the same way. ``node`` holds trie, level and prefixes.
+
+def _neighbours(node, own, rest):
+    """The entries of a node's fingerprint: its own, and one with each smaller node a bit away."""
+    smaller = [(node.bitwiseAND(1 << j) != 0, node.bitwiseXOR(F.lit(1 << j))) for j in range(NODE_BITS)]
+    return [own(node), *[F.when(is_set, rest(there)) for is_set, there in smaller]]
+
+
+def _shallow(fps: DataFrame) -> DataFrame:
+    """(n, other, key): both tries' fingerprints beside the nodes of ``NODE_BITS`` bits.
+
+    A node is paired with itself and with the nodes one bit away; the pair belongs to the
+    smaller node, whose fingerprints have ``other`` false. ``n`` holds trie and prefix.
     """
-    if errors not in (2, 3):
-        raise ValueError("the tries are cut for 2 or 3 differing bits")
-    hot_nodes = F.array(*[F.lit(n) for n in hot]).cast("array<long>")
     swapped = F.shiftleft("fp", HALF).bitwiseOR(F.shiftrightunsigned("fp", HALF))
-    both = fps.select(
-        F.explode(
-            F.array(
-                F.struct(F.lit(0).alias("trie"), F.col("fp").alias("key")),
-                F.struct(F.lit(1).alias("trie"), swapped.alias("key")),
+    tries = [
+        F.struct(F.lit(trie).cast("long").alias("trie"), key.alias("key"))
+        for trie, key in ((0, F.col("fp")), (1, swapped))
+    ]
+    both = fps.select(F.inline(F.array(*tries)))
+    prefix = F.shiftrightunsigned("key", BITS - NODE_BITS)
+    named = both.select("key", (F.col("trie") * (1 << NODE_BITS) + prefix).alias("n"))
+
+    def entry(other):
+        return lambda node: F.struct(node.alias("n"), F.lit(other).alias("other"))
+
+    each = F.array_compact(F.array(*_neighbours(F.col("n"), entry(False), entry(True))))
+    return named.select("key", F.explode(each).alias("e")).select("e.n", "e.other", "key")
+
+
+def _deeper(rows: DataFrame) -> DataFrame:
+    """The rows of hot groups beside the node pairs of twice the depth below theirs.
+
+    Way 1 is a node with itself, whose lower nodes pair as the upper ones did. Way 2 + j is the
+    node with the one that differs in bit j: with that error only equal lower nodes may pair.
+    """
+    n, other = F.col("n"), F.col("other")
+    lower = F.shiftrightunsigned("key", BITS - 2 * NODE_BITS).bitwiseAND((1 << NODE_BITS) - 1)
+    rows = rows.select("*", lower.alias("s"))
+
+    def entry(way, mode, other):
+        def of(node):
+            packed = (F.shiftleft(n, WAY_BITS) + way) * (1 << NODE_BITS) + node
+            return F.struct(
+                packed.alias("node"), F.lit(mode).alias("mode"), F.lit(other).alias("other")
             )
-        ).alias("t")
-    ).select("t.*")
-    node = F.shiftrightunsigned("key", BITS - NODE_BITS)
-    below = F.shiftrightunsigned("key", BITS - 2 * NODE_BITS).bitwiseAND((1 << NODE_BITS) - 1)
-    named = both.select(
-        "key",
-        (F.col("trie").cast("long") * (1 << NODE_BITS) + node).alias("n"),
-        below.alias("s"),
+
+        return of
+
+    own = _neighbours(F.col("s"), entry(1, DEEP, False), entry(1, DEEP, True))
+    for j in range(NODE_BITS):
+        own.append(F.when(n.bitwiseAND(1 << j) == 0, entry(2 + j, ACROSS, False)(F.col("s"))))
+    differs = F.shiftrightunsigned("key", BITS - NODE_BITS).bitwiseXOR(n).bitwiseAND((1 << NODE_BITS) - 1)
+    way = F.bit_count(differs - 1) + 2
+    rest = F.array(entry(way, ACROSS, True)(F.col("s")))
+    each = F.when(other, rest).otherwise(F.array_compact(F.array(*own)))
+    return rows.select("key", F.explode(each).alias("e")).select("e.*", "key")
+
+
+def _cells(rows: DataFrame, hot: int) -> DataFrame:
+    """Every group of more than ``hot`` rows as pairs of blocks of about ``hot`` rows at most.
+
+    Blocks are cut by a hash. A block meets itself, every other block of its own node and every
+    block of the others, each meeting in a cell of its own, so no pair is lost however many
+    fingerprints agree in all the bits of a node.
+    """
+    sizes = rows.groupBy("node").agg(
+        F.count_if(~F.col("other")).alias("n_own"), F.count_if("other").alias("n_other")
+    )
+    large = sizes.where(F.col("n_own") + F.col("n_other") > hot).select(
+        "node",
+        F.ceil(F.col("n_own") / hot).cast("int").alias("owns"),
+        F.ceil(F.col("n_other") / hot).cast("int").alias("others"),
+    )
+    owns, others = F.col("owns"), F.col("others")
+    hashed = F.xxhash64("key")
+
+    def cell(mode, first, second, width, other):
+        number = first.cast("long") * width + second + 1
+        return F.struct(
+            F.lit(mode).alias("mode"), number.alias("cell"), F.lit(other).alias("other")
+        )
+
+    def count_to(end):
+        return F.when(end > 0, F.sequence(F.lit(0), end - 1)).otherwise(F.array().cast("array<int>"))
+
+    block = F.pmod(hashed, F.when(F.col("other"), others).otherwise(owns)).cast("int")
+    placed = rows.join(large, "node", "left").withColumn("b", block)
+    b = F.col("b")
+    within = F.transform(
+        count_to(owns),
+        lambda j: F.when(j == b, cell(DEEP, b, b, owns, False))
+        .when(j > b, cell(BLOCKS, b, j, owns, False))
+        .otherwise(cell(BLOCKS, j, b, owns, True)),
+    )
+    nothing = F.filter(within, lambda _: F.lit(False))
+    with_others = F.transform(count_to(others), lambda j: cell(ACROSS, b, j, others, False))
+    own = F.concat(F.when(F.col("mode") == DEEP, within).otherwise(nothing), with_others)
+    rest = F.transform(count_to(owns), lambda j: cell(ACROSS, j, b, others, True))
+    whole = F.array(
+        F.struct("mode", F.lit(0).cast("long").alias("cell"), "other")
+    )
+    each = F.when(owns.isNull(), whole).when(F.col("other"), rest).otherwise(own)
+    return placed.select("node", "key", F.explode(each).alias("e")).select(
+        "node", "e.mode", "e.cell", "e.other", "key"
     )
 
-    def is_hot(column):
-        return F.array_contains(hot_nodes, column) if hot else F.lit(False)
 
-    def entry(low, way, sub, other):
-        # way: 0 plain pair, 1 a hot node with itself, 2 + j a hot pair that differs in bit j
-        packed = (low * (NODE_BITS + 2) + way) * (1 << NODE_BITS) + sub
-        return F.struct(packed.alias("node"), F.lit(other).alias("other"))
+def _deal(fps: DataFrame, hot: int, errors: int) -> DataFrame:
+    """(node, mode, cell, other, key): each fingerprint in every group that it takes part in.
 
-    n, s = F.col("n"), F.col("s")
-    zero = F.lit(0).cast("long")
-    plain = [F.when(~is_hot(n), entry(n, zero, zero, False))]
-    deep = [F.when(is_hot(n), entry(n, zero + 1, s, False))]
-    for j in range(NODE_BITS):
-        bit = 1 << j
-        there = n.bitwiseXOR(F.lit(bit).cast("long"))
-        larger = n.bitwiseAND(bit) != 0
-        either = is_hot(n) | is_hot(there)
-        plain.append(F.when(larger & ~either, entry(there, zero, zero, True)))
-        if hot:
-            deep.append(F.when(either & larger, entry(there, zero + 2 + j, s, True)))
-            deep.append(F.when(either & ~larger, entry(n, zero + 2 + j, s, False)))
-            deep.append(
-                F.when(
-                    is_hot(n) & (s.bitwiseAND(bit) != 0),
-                    entry(n, zero + 1, s.bitwiseXOR(F.lit(bit).cast("long")), True),
-                )
-            )
-    each = F.filter(F.array(*plain, *(deep if hot else [])), lambda x: x.isNotNull())
-    return named.select(F.explode(each).alias("e"), "key").select("e.node", "e.other", "key")
+    Groups of more than ``hot`` fingerprints are dealt at twice the depth, and those still too
+    large there by pairs of blocks. Sizes are joined as tables: at most two for each prefix of
+    ``NODE_BITS`` bits, then those of hot groups alone.
+    """
+    if errors not in (2, 3):
+        raise ValueError("the tries are cut for 2 or 3 differing bits")
+    rows = _shallow(fps)
+    large = rows.groupBy("n").count().where(F.col("count") > hot).select("n")
+    # At most 2 * 2 ** NODE_BITS rows, whatever the data.
+    large = F.broadcast(large)
+    cool = rows.join(large, "n", "left_anti").select(
+        (F.shiftleft("n", WAY_BITS) * (1 << NODE_BITS)).alias("node"),
+        F.lit(PLAIN).alias("mode"),
+        F.lit(0).cast("long").alias("cell"),
+        "other",
+        "key",
+    )
+    return cool.unionByName(_cells(_deeper(rows.join(large, "n", "left_semi")), hot))
 
 
 def _near_pairs(keys: np.ndarray, pairs: list[np.ndarray], depth: int, errors: int):
@@ -180,8 +259,7 @@ def _links_of(errors: int):
         for part in batches:
             rest = part if rest is None else pd.concat([rest, part])
             if len(rest) >= AT_ONCE // 4:
-                open_node = rest["node"].iloc[-1]
-                still = rest["node"] == open_node
+                still = (rest[GROUP] == rest[GROUP].iloc[-1]).all(axis=1)
                 yield from _links(rest[~still], errors)
                 rest = rest[still]
         if rest is not None:
@@ -191,20 +269,22 @@ def _links_of(errors: int):
 
 
 def _links(rows: pd.DataFrame, errors: int):
-    """Spanning links among the fingerprints of whole node pairs."""
+    """Spanning links among the fingerprints of whole groups."""
     if not len(rows):
         return
-    node, other = rows["node"].to_numpy(), rows["other"].to_numpy()
     keys = rows["key"].to_numpy().view(np.uint64)
-    order = np.lexsort((keys, other, node))
-    node, other, keys = node[order], other[order], keys[order]
-    begins = np.flatnonzero(np.diff(node, prepend=node[0] - 1))
+    marks = [rows[c].to_numpy() for c in (*GROUP, "other")]
+    order = np.lexsort((keys, *marks[::-1]))
+    keys, (node, mode, cell, other) = keys[order], (m[order] for m in marks)
+    new = np.ones(len(keys), bool)
+    new[1:] = (np.diff(node) != 0) | (np.diff(mode) != 0) | (np.diff(cell) != 0)
+    begins = np.flatnonzero(new)
     ends = np.append(begins[1:], len(node))
     own = np.append(0, np.cumsum(~other))
     middles = begins + own[ends] - own[begins]
-    way = (node[begins] >> NODE_BITS) % (NODE_BITS + 2)
+    mode = mode[begins]
     group = np.repeat(np.arange(len(begins)), ends - begins)
-    for depth, chosen in ((NODE_BITS, way == 0), (2 * NODE_BITS, way > 0)):
+    for depth, chosen in ((NODE_BITS, mode == PLAIN), (2 * NODE_BITS, mode != PLAIN)):
         # the others of a group come from several nodes, each a range of the sorted keys
         prefix = (keys >> np.uint64(BITS - depth)).astype(np.int64)
         fresh = (np.diff(prefix, prepend=-1) != 0) | (np.diff(group, prepend=-1) != 0)
@@ -214,20 +294,19 @@ def _links(rows: pd.DataFrame, errors: int):
         of = group[first]
         take = other[first] & chosen[of]
         first, past, of = first[take], past[take], of[take]
-        alone = chosen & (way < 2)
+        alone = chosen & ((mode == PLAIN) | (mode == DEEP))
         b, m = begins[alone], middles[alone]
         pairs = [
             np.concatenate(x)
             for x in zip(
                 (b, m, b, m, np.zeros(len(b), np.int64)),
-                (begins[of], middles[of], first, past, np.ones(len(of), np.int64)),
+                (begins[of], middles[of], first, past, (mode[of] != BLOCKS).astype(np.int64)),
                 strict=True,
             )
         ]
         filled = (pairs[0] < pairs[1]) & (pairs[2] < pairs[3])
         for i, j in _near_pairs(keys, [x[filled] for x in pairs], depth, errors):
-            trie = node[i] >> NODE_BITS
-            swap = trie // (NODE_BITS + 2) >> NODE_BITS > 0
+            swap = node[i] >> (2 * NODE_BITS + WAY_BITS) > 0
             x, y = keys[i], keys[j]
             half = np.uint64(HALF)
             x = np.where(swap, (x << half) | (x >> half), x).view(np.int64)
@@ -236,25 +315,18 @@ def _links(rows: pd.DataFrame, errors: int):
             yield pd.DataFrame({"a": child, "b": root})
 
 
-def links(fps: DataFrame, errors: int = 3, hot_node: int = HOT_NODE) -> DataFrame:
+def links(fps: DataFrame, errors: int = 3, hot_group: int = HOT_GROUP) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints within ``errors`` differing bits.
 
     ``fps`` has the distinct fingerprints in ``fp``. Every pair in reach is found in one of the
     two tries; of the pairs that a task finds together only a spanning forest is returned, so
-    the connected components are those of all pairs and a dense group stays small.
+    the connected components are those of all pairs and a dense group stays small. No task
+    compares groups of more than about twice ``hot_group`` fingerprints.
     """
-    tries = []
-    for key in ("fp", f"shiftleft(fp, {HALF}) | shiftrightunsigned(fp, {HALF})"):
-        tries.append(F.expr(f"shiftrightunsigned({key}, {BITS - NODE_BITS})"))
-    named = fps.select(
-        F.explode(F.array(tries[0], tries[1] + F.lit(1 << NODE_BITS))).alias("n")
-    )
-    # At most two counts for each of the 2 ** NODE_BITS prefixes reach the driver.
-    hot = [r[0] for r in named.groupBy("n").count().where(F.col("count") > hot_node).collect()]
-    dealt = _deal(fps, sorted(hot), errors)
     return (
-        dealt.repartition("node")
-        .sortWithinPartitions("node")
+        _deal(fps, hot_group, errors)
+        .repartition(*GROUP)
+        .sortWithinPartitions(*GROUP)
         .mapInPandas(_links_of(errors), "a long, b long")
     )
 

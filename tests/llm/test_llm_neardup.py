@@ -56,7 +56,7 @@ def test_fingerprints(spark):
     }
 
 
-@pytest.mark.parametrize("hot", [20_000, 5])
+@pytest.mark.parametrize("hot", [20_000, 40, 5])
 def test_trie_join_finds_all_links(spark, hot):
     draw = np.random.default_rng(2)
     keys = draw.integers(0, 2**63, 300, dtype=np.uint64)
@@ -76,6 +76,35 @@ def test_trie_join_finds_all_links(spark, hot):
     assert closure(len(keys), found) == expected
 
 
+def trie_links(spark, keys, hot):
+    df = spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "fp long")
+    place = {int(k): i for i, k in enumerate(keys.view(np.int64))}
+    return [(place[r["a"]], place[r["b"]]) for r in simhash.links(df, 3, hot).collect()]
+
+
+@pytest.mark.parametrize("hot", [300, 64])
+def test_a_node_that_is_hot_at_any_depth_is_split(spark, hot):
+    """Two nodes of 24 bits, one bit apart, hold nearly all fingerprints; few links among them."""
+    draw = np.random.default_rng(5)
+    low = draw.integers(0, 2**40, 1400, dtype=np.uint64)
+    for at in range(0, 900, 3):  # chains of three within reach of one another
+        for step in (1, 2):
+            flips = draw.choice(40, 2, replace=False).astype(np.uint64)
+            low[at + step] = low[at + step - 1] ^ np.bitwise_or.reduce(np.uint64(1) << flips)
+    head = np.uint64(0xABCDE5) << np.uint64(40)
+    apart = np.where(np.arange(1400) % 3 == 1, np.uint64(1) << np.uint64(45), np.uint64(0))
+    keys = np.unique(np.concatenate([head ^ apart ^ low, draw.integers(0, 2**63, 50, dtype=np.uint64)]))
+    close = np.bitwise_count(keys[:, None] ^ keys[None]) <= 3
+    expected = closure(len(keys), zip(*np.nonzero(np.triu(close, 1)), strict=True))
+    assert len(set(expected)) < len(keys) - 500
+    assert closure(len(keys), trie_links(spark, keys, hot)) == expected
+    df = spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "fp long")
+    dealt = simhash._deal(df, hot, 3).groupBy(*simhash.GROUP).count()
+    cells = dealt.where("cell > 0").count()
+    assert cells > 10 and dealt.agg({"count": "max"}).first()[0] <= 3 * hot
+    assert dealt.where(f"cell = 0 and mode > 0 and count > {hot}").count() == 0
+
+
 def test_near_duplicate_texts(spark):
     base = " ".join(f"w{i}" for i in range(400))
     texts = [base, base + " x", base, base.upper(), "other " * 9, None, "", "z", base.replace("w7 ", "")]
