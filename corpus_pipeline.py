@@ -28,7 +28,7 @@ def _held(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter and those, but for short ones, of no clear language."""
+    """Drops documents without a letter (a null text too) and those of no clear language."""
     found = language_id.identify(_held(docs), language_id.fit(docs), "_text", columns=["_doc"])
     return found.where(~F.col("rejected")).select("_doc.*")
 
