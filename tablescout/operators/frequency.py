@@ -1,7 +1,8 @@
-"""Value frequencies of many columns in one scan and one shuffle.
+"""Value frequencies of many columns in one scan and one shuffle per type of key.
 
 Each row is unpivoted into (column, typed key) pairs. Keys stay in typed slots, so integers
-keep all their digits, and texts are compared in full, whatever their length. Grouping by (column, key) spreads well, and a value that fills a third of the table is
+keep all their digits, and texts are compared in full, whatever their length. A slot is grouped
+by itself: numbers then move without room for texts, and every column is still read once. Grouping by (column, key) spreads well, and a value that fills a third of the table is
 reduced to one row per map task before the shuffle.
 """
 
@@ -27,6 +28,7 @@ from tablescout.functions.types import (
 )
 
 KEYS = ["int_key", "float_key", "text_key"]
+KINDS = ["BIGINT", "DOUBLE", "STRING"]
 COUNTABLE = (NUMERIC, DATETIME, TEXT, BOOLEAN)
 # Sketched counts are within a few percent; columns this many times over a limit are surely over it.
 SURELY = 2
@@ -46,24 +48,38 @@ def key_slots(field: T.StructField) -> dict[str, str]:
         slots["int_key"] = micros_sql(c, field.dataType)
     else:
         slots["text_key"] = c
-    return {k: f"CAST({slots[k]} AS {t})" for k, t in zip(KEYS, ("BIGINT", "DOUBLE", "STRING"))}
+    return slots
 
 
-def column_values(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Unpivot to ``(ordinal, int_key, float_key, text_key)``, missing values left out."""
-    fields = {f.name: (i, f) for i, f in enumerate(df.schema.fields)}
-    rows = [{"ordinal": str(fields[c][0]), **key_slots(fields[c][1])} for c in columns]
-    values = nan_to_null(df).select(inline_rows(rows))
-    return values.where("int_key IS NOT NULL OR float_key IS NOT NULL OR text_key IS NOT NULL")
+def _slot(field: T.StructField) -> tuple[str, str]:
+    """The slot that holds the column's values, and their SQL text.
+
+    Zone-free times stay as they are until they are grouped: turning one into a number is slow.
+    """
+    if isinstance(field.dataType, T.TimestampNTZType):
+        return "time_key", ident(field.name)
+    return next(
+        (k, f"CAST({sql} AS {kind})") for (k, sql), kind in zip(key_slots(field).items(), KINDS) if sql != "NULL"
+    )
 
 
 def frequencies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``(ordinal, column_name, int_key, float_key, text_key, n)`` for the given columns."""
     names = columns if columns is not None else names_of(df, *COUNTABLE)
-    counted = (
-        column_values(df, names).groupBy("ordinal", *KEYS).agg(F.count(F.lit(1)).alias("n"))
-    )
-    return counted.select(
+    micros = micros_sql("time_key", T.TimestampNTZType())
+    by_slot: dict[str, list[dict[str, str]]] = {}
+    for i, field in enumerate(df.schema.fields):
+        if field.name in names:
+            slot, sql = _slot(field)
+            by_slot.setdefault(slot, []).append({"ordinal": str(i), slot: sql})
+    parts = []
+    for slot, rows in by_slot.items():
+        values = nan_to_null(df).select(inline_rows(rows)).where(f"{slot} IS NOT NULL")
+        counted = values.groupBy("ordinal", slot).agg(F.count(F.lit(1)).alias("n"))
+        held = {slot: slot} if slot in KEYS else {"int_key": micros}
+        keys = [f"CAST({held.get(k, 'NULL')} AS {kind}) AS {k}" for k, kind in zip(KEYS, KINDS)]
+        parts.append(counted.selectExpr("ordinal", *keys, "n"))
+    return union_all(parts).select(
         "ordinal", label_of("ordinal", df.columns).alias("column_name"), *KEYS, "n"
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import batched
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,6 +33,10 @@ from tablescout.operators.frequency import distinct_counts, frequencies
 from tablescout.operators.quantiles import column_quantiles
 
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
+# A column has up to 12 fields of running totals. Spark generates no code for an aggregate of more
+# than 100, and evaluates it several times slower.
+COLUMNS_PER_SCAN = 5
+COUNTED_PER_SCAN = 90
 
 
 def _nested(kind: T.DataType) -> bool:
@@ -85,8 +91,10 @@ def table_profile(tables: dict[str, DataFrame]) -> DataFrame:
     return union_all(parts)
 
 
-def _column_aggregates(name: str, kind: str, fractional: bool) -> dict[str, str]:
-    """Cheap aggregates of one column; all columns of a table share one scan."""
+def _column_aggregates(
+    name: str, kind: str, fractional: bool, binary: bool = False
+) -> dict[str, str]:
+    """Cheap aggregates of one column; ``binary`` tells floats and doubles from decimals."""
     c = ident(name)
     out = {"present": f"count({c})"}
     if kind == NUMERIC:
@@ -101,7 +109,11 @@ def _column_aggregates(name: str, kind: str, fractional: bool) -> dict[str, str]
             "zero_count": f"count_if({c} = 0)",
         }
         if fractional:
-            out["fraction_count"] = f"count_if({c} % 1 <> 0)"
+            # Doubles divide slowly; from 2^52 on, and for decimals, only ``%`` is exact.
+            uneven = f"{c} % 1 <> 0"
+            if binary:
+                uneven = f"if(abs({c}) < 4503599627370496D, {c} <> floor({c}), {uneven})"
+            out["fraction_count"] = f"count_if({uneven})"
     elif kind == DATETIME:
         out |= {
             "min_time": f"date_format(min({c}), '{TIME_FORMAT}')",
@@ -145,20 +157,35 @@ def column_stats(
     only: list[str] | None = None,
     families: list[str] | None = None,
 ) -> DataFrame:
-    """One row per column with every statistic that needs no grouping: one scan per table.
+    """One row per column with every statistic that needs no grouping; each column is read once.
+
+    Columns are aggregated ``COLUMNS_PER_SCAN`` at a time, or ``COUNTED_PER_SCAN`` where they are
+    only counted.
 
     ``only`` names the statistics to compute beside the counts of rows and missing values, and
     ``families`` the kinds of columns to look at; columns left out are not read.
     """
     chosen = {s: t for s, t in _STAT_TYPES.items() if only is None or s in only}
     parts = []
-    for table, df in tables.items():
+    wanted = [
+        (table, df, list(group))
+        for table, df in tables.items()
+        for group in batched(
+            [
+                (i, f)
+                for i, f in enumerate(df.schema.fields)
+                if families is None or family(f.dataType) in families
+            ],
+            COLUMNS_PER_SCAN if chosen else COUNTED_PER_SCAN,
+        )
+    ]
+    for table, df, fields in wanted:
         aggregates, rows = ["count(1) AS n"], []
-        for i, f in enumerate(df.schema.fields):
+        for i, f in fields:
             kind = family(f.dataType)
-            if families is not None and kind not in families:
-                continue
-            stats = _column_aggregates(f.name, kind, not is_integral(f.dataType))
+            stats = _column_aggregates(
+                f.name, kind, not is_integral(f.dataType), is_fractional(f.dataType)
+            )
             stats = {s: sql for s, sql in stats.items() if s == "present" or s in chosen}
             aggregates += [f"{sql} AS {stat}_{i}" for stat, sql in stats.items()]
             row = {
@@ -177,15 +204,14 @@ def column_stats(
                 value = f"{stat}_{i}" if stat in stats else empty
                 row[stat] = f"coalesce(CAST({value} AS {dtype}), {empty})"
             rows.append(row)
-        if rows:
-            wide = nan_to_null(df).selectExpr(*aggregates)
-            parts.append(wide.select(inline_rows(rows)))
-    fields = (
+        wide = nan_to_null(df).selectExpr(*aggregates)
+        parts.append(wide.select(inline_rows(rows)))
+    schema = (
         "table_name string, column_name string, ordinal int, dtype string, family string,"
         "integral boolean, row_count bigint, null_count bigint, present_count bigint"
     ) + "".join(f", {s} {t}" for s, t in chosen.items())
     null_pct = F.coalesce(F.try_divide(F.col("null_count"), F.col("row_count")), F.lit(0.0))
-    return union_all(parts, tables, fields).withColumn("null_pct", null_pct)
+    return union_all(parts, tables, schema).withColumn("null_pct", null_pct)
 
 
 def numeric_role() -> Column:
