@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tablescout.functions.local import pin
 from tablescout.operators import trends as t
 from tablescout.operators.profile import column_overview, column_stats
 from tablescout.queries import inputs as i
@@ -141,8 +142,9 @@ def _failures(spark, sf):
 
 def _panel(spark, sf):
     tables = _batch_tables(spark, sf)
-    trends, _ = t.trend_batch(spark, tables, BATCH)
-    panel = t.trend_panel(trends, column_overview(tables))
+    overview = pin(column_overview(tables))
+    trends, _ = t.trend_batch(spark, tables, BATCH, overview)
+    panel = t.trend_panel(trends, overview)
     return i.timed(panel.withColumn("value", F.round("value", 3)), "period")
 
 

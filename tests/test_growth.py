@@ -4,8 +4,9 @@ import re
 
 from pyspark.sql import functions as F
 
-from tablescout.operators import profile
+from tablescout.operators import profile, trends
 from tablescout.operators.frequency import frequencies
+from tablescout.queries import trends as trend_queries
 
 
 def _plan(spark, df):
@@ -40,3 +41,16 @@ def test_numbers_are_grouped_without_room_for_texts(spark):
     assert found == {
         "a": (1, None, None, 1), "b": (None, None, "x", 1), "c": (None, 0.5, None, 1), "d": (-500000, None, None, 1),
     }
+
+
+def test_the_panel_looks_at_its_tables_once(spark, monkeypatch):
+    calls = []
+
+    def counted(tables):
+        calls.append(sorted(tables))
+        return profile.column_overview(tables)
+
+    monkeypatch.setattr(trends, "column_overview", counted)
+    monkeypatch.setattr(trend_queries, "column_overview", counted)
+    trend_queries.QUERIES["trend_panel"](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
