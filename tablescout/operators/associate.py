@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablescout.functions.local import settle, work_folder
 from tablescout.functions.sqltext import local_frame
 from tablescout.functions.tails import chi_square_p
 from tablescout.functions.types import TEXT, col, names_of, union_all
@@ -61,6 +62,8 @@ def table_associations(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def _measured(cells: DataFrame, labels: list[tuple[str, str, str]]) -> DataFrame:
+    # Read for both totals and for the sums: without this, all pairs of all rows are counted again.
+    cells = settle(cells, work_folder(cells.sparkSession), "cells")
     rows = cells.groupBy("pair", "a").agg(F.sum("n").alias("r"))
     cols = cells.groupBy("pair", "b").agg(F.sum("n").alias("c"))
     shape = (

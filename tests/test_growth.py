@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from tablescout.operators import profile, trends
+from tablescout.operators.associate import associations
 from tablescout.operators.frequency import frequencies
 from tablescout.queries import trends as trend_queries
 
@@ -54,3 +55,17 @@ def test_the_panel_looks_at_its_tables_once(spark, monkeypatch):
     monkeypatch.setattr(trend_queries, "column_overview", counted)
     trend_queries.QUERIES["trend_panel"](spark, "/root/testdata/sf0.001")
     assert len(calls) == 1
+
+
+def test_pairs_of_columns_are_counted_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(rows):
+        for row in rows:
+            seen.add(1)
+            yield row
+
+    texts = spark.range(40).select(F.col("id").cast("string").alias("a"), (F.col("id") % 3).cast("string").alias("b"))
+    df = spark.createDataFrame(texts.rdd.mapPartitions(look), texts.schema)
+    assert associations(df).count() == 1
+    assert seen.value == 40
