@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,24 +105,27 @@ def table_metadata(spark: SparkSession, source: dict[str, DataFrame]) -> DataFra
     return table_schema(spark, source).join(counts, "table_name")
 
 
+def _as_given(file: str) -> str:
+    """The path that a reader takes for a file's URI: no escapes of a URI, and no pattern in it."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", unquote(file))
+
+
 def table_stats(source: dict[str, DataFrame]) -> DataFrame:
-    """Rows, bytes, files and last change of file-backed tables."""
+    """Rows, bytes, files and last change of file-backed tables.
+
+    Files are counted as they are listed, with or without rows; none is opened for it.
+    """
     parts = []
     for table, df in source.items():
-        # One row per file leaves the map side; a file is named once whatever its row count.
-        files = df.groupBy(F.col("_metadata.file_path").alias("path")).agg(
-            F.count(F.lit(1)).alias("n"),
-            F.max("_metadata.file_size").alias("size"),
-            F.max("_metadata.file_modification_time").alias("changed"),
-        )
-        parts.append(
-            files.agg(
-                F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
-                F.sum("size").alias("bytes"),
-                F.count(F.lit(1)).alias("files"),
-                F.max("changed").alias("last_altered"),
-            ).select(F.lit(table).alias("table_name"), "*")
+        rows = df.agg(F.count(F.lit(1)).alias("row_count"))
+        listed = df.sparkSession.read.format("binaryFile").load([_as_given(f) for f in df.inputFiles()])
+        files = listed.select("path", "length", "modificationTime").agg(
+            F.sum("length").alias("bytes"),
+            F.count(F.lit(1)).alias("files"),
+            F.max("modificationTime").alias("last_altered"),
         )
+        # One row each.
+        parts.append(rows.crossJoin(files).select(F.lit(table).alias("table_name"), "*"))
     return union_all(parts)
 
 
