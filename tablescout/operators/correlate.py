@@ -12,13 +12,16 @@ from tablescout.functions.local import settle, work_folder
 from tablescout.functions.sqltext import ident, inline_rows, local_frame
 from tablescout.functions.tails import student_two_sided
 from tablescout.functions.types import NUMERIC, col, names_of, nan_to_null, union_all
+from tablescout.operators.ranges import (
+    CELLS, COUNTS, PRODUCTS, RANKED, cells, products, ranked, rows_of, slot_counts,
+)
 from tablescout.operators.sketches import ROWS_PER_TASK, merged, quantiles_sql
 
 _CORRELATION = (
     "table_name string, method string, col_a string, col_b string, r double, n bigint"
 )
 
-HOT_EDGES = 64  # a value that fills more than this part of a column is ranked by counting
+HOT_EDGES = 1024  # a value that fills more than this part of a column is ranked by counting
 PERFECT = 2e-6  # of 1 - r^2: below it a correlation counts as perfect
 
 
@@ -27,15 +30,13 @@ def _pair_matrix(
     table: str,
     pairs: list[tuple[str, str]],
     method: str,
-    held: list[tuple[str, str]] | None = None,
 ) -> DataFrame:
     """All pairs in one scan: rows are unpivoted to complete pairs and their moments grouped.
 
     There are as many groups as column pairs, combined before the shuffle. One short grouped
     aggregate runs several times faster than one aggregate list as wide as the pair list.
-    ``held`` names the columns of ``df`` that hold a pair, where these are not its names.
     """
-    rows = [{"i": str(i), "a": ident(a), "b": ident(b)} for i, (a, b) in enumerate(held or pairs)]
+    rows = [{"i": str(i), "a": ident(a), "b": ident(b)} for i, (a, b) in enumerate(pairs)]
     moments = (
         df.select(inline_rows(rows))
         .where("a IS NOT NULL AND b IS NOT NULL")
@@ -46,8 +47,13 @@ def _pair_matrix(
             F.count(F.lit(1)).alias("n"),
         )
     )
+    return _correlated(moments, table, pairs, method)
+
+
+def _correlated(moments: DataFrame, table: str, pairs: list[tuple[str, str]], method: str) -> DataFrame:
+    """Correlations of the pairs, numbered ``i`` in ``moments``: ``i, covariance, spread, n``."""
     labels = local_frame(
-        df.sparkSession,
+        moments.sparkSession,
         [(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, col_a string, col_b string"
     )
     # ``corr`` fails on a constant column in ANSI mode; here an undefined correlation is 0.
@@ -80,10 +86,9 @@ def pearson(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def _hot_values(values: DataFrame, names: list[str], rows: int) -> list[list[float]]:
-    """Per column, the values that fill more than ``1 / HOT_EDGES`` of it; at most so many.
+    """Per column, the values that cut it into ``HOT_EDGES`` parts; so all that fill one are there.
 
-    Such a value stands at two neighbouring places of a sketch. Tables that one task reads are
-    not looked at: there a value cannot fill more than one task.
+    Tables that one task reads are not cut: there a value cannot fill more than one task.
     """
     if rows <= ROWS_PER_TASK:
         return [[] for _ in names]
@@ -94,7 +99,7 @@ def _hot_values(values: DataFrame, names: list[str], rows: int) -> list[list[flo
     found = wide.select(
         *[F.expr(quantiles_sql(f"s{i}", f"n{i}", places)).alias(f"q{i}") for i in range(len(names))]
     ).first()
-    return [sorted({a for a, b in zip(q or [], (q or [])[1:]) if a == b}) for q in found]
+    return [sorted(set(q or [])) for q in found]
 
 
 def ranks(
@@ -102,88 +107,80 @@ def ranks(
 ) -> DataFrame:
     """``_row`` and, per list, the average rank of the row's value in it: ``r0, r1, ...``.
 
-    A list is a column and a condition on the rows that count. All lists are unpivoted, dealt
-    by ranges of (list, value) and put together again by row: the two shuffles of rows. Hot
-    values are counted instead, so no range is larger than the others. Equal values stand side
-    by side in one range; the positions of earlier ranges are added from a table of one row per
-    range and list.
+    A list is a column and a condition on the rows that count, ``hot`` the sorted edges that cut
+    it. Values at an edge are ranked by counts alone. The others are dealt by (list, range), ranked
+    there, and put together again in blocks of rows: the two shuffles, in which the numbers of a
+    block and range travel as one row. A range holds as many rows as lie between two edges; the
+    counts tell how many rows come before it. The lists are written to ``folder`` first, so that
+    all passes see the same rows in the same order.
     """
-    spark = values.sparkSession
-    cells = [
-        {"i": str(i), "v": f"if({condition}, {ident(c)} + 0.0D, NULL)"}
-        for i, (c, condition) in enumerate(lists)
-    ]
-    numbered = values.withColumn("_row", F.monotonically_increasing_id())
-    unpivoted = numbered.select("_row", inline_rows(cells)).where("v IS NOT NULL")
-    known = [(i, h) for i, some in enumerate(hot) for h in some]
-    apart, ahead = None, F.lit(0)
-    if known:
-        facts = local_frame(spark, known, "i int, h double")
-        # At most HOT_EDGES rows a list: broadcasting them is bounded by the schema.
-        counted = (
-            unpivoted.join(F.broadcast(facts), "i")
-            .groupBy("i", "h")
-            .agg(F.count_if(F.expr("v < h")).alias("below"), F.count_if(F.expr("v = h")).alias("n"))
-            .collect()
-        )
-        ranked = [(r["i"], r["h"], r["below"] + (r["n"] + 1) / 2) for r in counted]
-        by_value = local_frame(spark, ranked, "i int, v double, rank double")
-        apart = unpivoted.join(F.broadcast(by_value), ["i", "v"]).select("_row", "i", "rank")
-        unpivoted = unpivoted.join(F.broadcast(by_value), ["i", "v"], "left_anti")
-        for r in counted:
-            ahead = ahead + F.when((F.col("i") == r["i"]) & (F.col("v") > r["h"]), r["n"]).otherwise(0)
-    dealt = unpivoted.repartitionByRange("i", "v").sortWithinPartitions("i", "v")
-    ties = W.partitionBy("i", "v")
-    placed = dealt.withColumn("_at", F.monotonically_increasing_id()).select(
-        "_row",
-        "i",
-        ahead.alias("ahead"),
-        F.min("_at").over(ties).alias("first"),
-        F.count(F.lit(1)).over(ties).alias("n"),
-        # The upper bits of the number are the range's, the lower ones count within it.
-        F.shiftright("_at", 33).alias("part"),
-    )
-    placed = settle(placed, folder, "ranks")
-    before = W.partitionBy("i").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy("i", "part")
-        .agg(F.min("first").alias("start"), F.count(F.lit(1)).alias("m"))
-        .select("i", "part", (F.coalesce(F.sum("m").over(before), F.lit(0)) - F.col("start")).alias("offset"))
-    )
-    found = placed.join(offsets, ["i", "part"]).select(
-        "_row", "i", F.expr("offset + first + ahead + (n + 1) / 2").alias("rank")
-    )
-    if apart is not None:
-        found = found.unionByName(apart)
-    return found.groupBy("_row").agg(
-        *[F.expr(f"max(if(i = {i}, rank, NULL))").alias(f"r{i}") for i in range(len(lists))]
+    listed = [f"if({condition}, {ident(c)} + 0.0D, NULL) AS l{i}" for i, (c, condition) in enumerate(lists)]
+    stored = settle(values.selectExpr(*listed), folder, "lists")
+    counts = [{} for _ in lists]
+    if any(hot):
+        # At most two rows per edge reach the driver.
+        counted = stored.mapInArrow(slot_counts(hot), COUNTS).groupBy("i", "slot").agg(F.sum("n").alias("n"))
+        for r in counted.collect():
+            counts[r["i"]][r["slot"]] = r["n"]
+    numbered = stored.select(F.monotonically_increasing_id().alias("_row"), "*")
+    dealt = numbered.mapInArrow(cells(hot, counts), CELLS)
+    placed = dealt.groupBy("i", "below").applyInArrow(ranked, RANKED)
+    schema = ", ".join(["_row bigint", *[f"r{i} double" for i in range(len(lists))]])
+    return placed.groupBy("_row").applyInArrow(rows_of(len(lists)), schema)
+
+
+def _lists(
+    values: DataFrame, names: list[str], sizes: list[int]
+) -> tuple[list[tuple[str, str]], list[tuple[int, int]], list[int]]:
+    """The lists to rank, the two lists of each pair of ``names``, and the rows of each list.
+
+    A pair with missing values is ranked over its complete rows; a column whose partner misses
+    none shares its ranks with the other such pairs.
+    """
+    some = {c for c, n in zip(names, sizes[1:]) if n < sizes[0]}
+    place, held = {}, []
+    for a, b in combinations(names, 2):
+        sides = [(x, f"{ident(y)} IS NOT NULL" if y in some else "true") for x, y in ((a, b), (b, a))]
+        # Without the rows that the other column misses, each side has the same rows.
+        sides = [(x, f"{ident(x)} IS NOT NULL AND {c}" if x in some else c) for x, c in sides]
+        held.append(tuple(place.setdefault(side, len(place)) for side in sides))
+    lists = list(place)
+    if not some:
+        return lists, held, [sizes[0]] * len(lists)
+    counted = values.agg(*[F.count_if(F.expr(c)) for _, c in lists]).first()
+    return lists, held, list(counted)
+
+
+def _rank_matrix(table: str, values: DataFrame, sizes: list[int]) -> DataFrame:
+    names = values.columns
+    lists, held, rows = _lists(values, names, sizes)
+    hot = dict(zip(names, _hot_values(values, names, sizes[0])))
+    found = ranks(values, lists, [hot[c] for c, _ in lists], work_folder(values.sparkSession))
+    # The mean rank follows from the number of rows, so one pass sums all products.
+    sums = found.drop("_row").mapInArrow(products(held, [(n + 1) / 2 for n in rows]), PRODUCTS)
+    moments = sums.groupBy("i").agg(
+        F.sum("xy").alias("covariance"),
+        (F.sqrt(F.sum("xx")) * F.sqrt(F.sum("yy"))).alias("spread"),
+        F.sum("n").alias("n"),
     )
+    return _correlated(moments, table, list(combinations(names, 2)), "spearman")
 
 
 def spearman(tables: dict[str, DataFrame]) -> DataFrame:
     """Pearson on average ranks, re-ranked over the complete rows of a pair if values miss."""
-    parts = []
-    for table, df in tables.items():
-        names = sorted(names_of(df, NUMERIC))
-        if len(names) < 2:
-            continue
-        values = _doubles(df)
-        # One row with one count per column decides which columns can share ranks.
-        sizes = values.agg(F.count(F.lit(1)), *[F.count(col(c)) for c in names]).first()
-        whole = [c for c, n in zip(names, sizes[1:]) if n == sizes[0]]
-        lists = [(c, "true") for c in whole]
-        place = {c: f"r{i}" for i, c in enumerate(whole)}
-        pairs, held = list(combinations(names, 2)), []
-        for a, b in pairs:
-            if a in place and b in place:
-                held.append((place[a], place[b]))
-                continue
-            held.append((f"r{len(lists)}", f"r{len(lists) + 1}"))
-            lists += [(a, f"{ident(b)} IS NOT NULL"), (b, f"{ident(a)} IS NOT NULL")]
-        hot = dict(zip(names, _hot_values(values, names, sizes[0])))
-        ranked = ranks(values, lists, [hot[c] for c, _ in lists], work_folder(df.sparkSession))
-        parts.append(_pair_matrix(ranked, table, pairs, "spearman", held))
-    return union_all(parts, tables, _CORRELATION)
+    found = {t: sorted(names_of(df, NUMERIC)) for t, df in tables.items()}
+    values = {t: _doubles(tables[t]).select(*map(col, c)) for t, c in found.items() if len(c) > 1}
+    if not values:
+        return union_all([], tables, _CORRELATION)
+    # One row per table: its rows and those of each column.
+    sizes = union_all(
+        [
+            v.agg(F.array(F.count(F.lit(1)), *[F.count(col(c)) for c in v.columns]).alias("n"))
+            .select(F.lit(t).alias("table_name"), "n")
+            for t, v in values.items()
+        ]
+    ).collect()
+    return union_all([_rank_matrix(r["table_name"], values[r["table_name"]], r["n"]) for r in sizes])
 
 
 def strong_pairs(correlations: DataFrame, threshold: float = 0.7) -> DataFrame:

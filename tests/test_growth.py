@@ -4,7 +4,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from tablescout.operators import profile, trends
+from tablescout.functions.local import work_folder
+from tablescout.operators import correlate, profile, trends
 from tablescout.operators.associate import associations
 from tablescout.operators.frequency import frequencies
 from tablescout.queries import trends as trend_queries
@@ -69,3 +70,21 @@ def test_pairs_of_columns_are_counted_once(spark):
     df = spark.createDataFrame(texts.rdd.mapPartitions(look), texts.schema)
     assert associations(df).count() == 1
     assert seen.value == 40
+
+
+def test_ranks_take_two_shuffles_and_no_join(spark):
+    df = spark.range(70_000).coalesce(1).select(
+        (F.col("id") * 7919 % 1000).cast("double").alias("a"),
+        F.when(F.col("id") % 3 != 0, F.col("id") * 48271 % 65537 / 8 - 100).alias("b"),
+        F.when(F.col("id") % 100 == 0, float("inf")).otherwise(F.col("id") % 2).alias("c"),
+    )
+    lists = [("a", "true"), ("b", "true"), ("a", "b IS NOT NULL"), ("c", "true")]
+    hot = [[3.0, 500.0], [0.0, 17.25], [3.0, 500.0], [0.0, 1.0]]
+    found = correlate.ranks(df, lists, hot, work_folder(spark))
+    plan = _plan(spark, found)
+    assert plan.count("Exchange") == 2 and "Join" not in plan and "Window" not in plan
+    got = found.orderBy("_row").toPandas()
+    given = df.toPandas()
+    given["a_b"] = given["a"].where(given["b"].notna())
+    for i, c in enumerate(["a", "b", "a_b", "c"]):
+        assert got[f"r{i}"].equals(given[c].rank()), c
