@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tablescout.functions.sqltext import local_frame
 
+AT_ONCE = 6
+Item, Result = TypeVar("Item"), TypeVar("Result")
+
 
 def pin(df: DataFrame) -> DataFrame:
     """Evaluate a frame of one row per column (or table) once, for several rules to read.
@@ -42,3 +48,12 @@ def settle(df: DataFrame, folder: str, name: str) -> DataFrame:
     path = f"{folder}/{name}"
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def at_once(work: Callable[[Item], Result], items: Iterable[Item]) -> list[Result]:
+    """``work`` of each item, in order; a few items start their jobs side by side.
+
+    So the short jobs of small tables run while the long ones of a large table do.
+    """
+    with ThreadPoolExecutor(AT_ONCE) as threads:
+        return list(threads.map(work, items))

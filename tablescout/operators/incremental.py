@@ -23,6 +23,7 @@ from tablescout.operators.profile import TIME_FORMAT
 from tablescout.operators.sketches import FAN, SKETCH_K, quantiles_sql
 
 HLL_BITS = 12
+FORM = 2  # of the states; those of other forms do not merge with them
 FILE = ["file", "changed", "length"]
 #: What is stored of a column in a file, with its SQL text where it does not apply.
 PARTS = {
@@ -30,7 +31,7 @@ PARTS = {
     "min_time": "string", "max_time": "string", "sketch": "binary", "hll": "binary",
 }
 STATE = (
-    "run string, file string, changed timestamp, length bigint, rows bigint, ordinal int, "
+    "run string, form int, file string, changed timestamp, length bigint, rows bigint, ordinal int, "
     + ", ".join(f"{name} {kind}" for name, kind in PARTS.items())
 )
 
@@ -50,53 +51,76 @@ def files_of(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stored_states(spark: SparkSession, store: str) -> DataFrame:
-    """All states written so far; none where the store does not exist yet."""
+    """All states of this form written so far; none where the store does not exist yet."""
     try:
-        return spark.read.schema(STATE).parquet(store)
+        return spark.read.schema(STATE).parquet(store).where(F.col("form") == FORM)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], STATE)
 
 
-def _state(field: T.StructField, k: int) -> dict[str, str]:
-    """SQL text of what is stored of one column."""
+def _inputs(field: T.StructField) -> dict[str, str]:
+    """SQL text of what the aggregates of a column read: value, number, hash."""
     c, kind = ident(field.name), family(field.dataType)
     if is_fractional(field.dataType):
         c = f"nanvl({c}, CAST(NULL AS {field.dataType.simpleString()}))"
-    out = {name: f"CAST(NULL AS {t})" for name, t in PARTS.items()} | {"present": f"count({c})"}
+    out = {"d": f"CAST({c} AS DOUBLE)"} if kind == NUMERIC else {"v": c}
+    if kind != OTHER:
+        # The null test stays outside: a hash of NULL is a value.
+        out["h"] = f"if({c} IS NULL, NULL, xxhash64({c}))"
+    return out
+
+
+def _state(kind: str, names: dict[str, str], k: int) -> dict[str, str]:
+    """SQL text of what is aggregated of one column, over the names of its inputs."""
+    out = {}
     if kind == NUMERIC:
-        d = f"CAST({c} AS DOUBLE)"
-        out |= {
-            "min": f"min({d})",
-            "max": f"max({d})",
-            "mean": f"avg({d})",
-            "m2": f"var_pop({d}) * count({c})",
-            "sketch": f"kll_sketch_agg_double({d}, {k})",
-        }
+        d = names["d"]
+        out = {"mean": f"avg({d})", "m2": f"var_pop({d})", "sketch": f"kll_sketch_agg_double({d}, {k})"}
+    else:
+        out["present"] = f"count({names['v']})"
     if kind == DATETIME:
-        out |= {f"{m}_time": f"date_format({m}({c}), '{TIME_FORMAT}')" for m in ("min", "max")}
+        out |= {f"{m}_time": f"date_format({m}({names['v']}), '{TIME_FORMAT}')" for m in ("min", "max")}
     if kind != OTHER:
-        key = c if kind == TEXT else f"CAST({c} AS STRING)"
-        # The null test stays outside: a hash of NULL is a value.
-        out["hll"] = f"hll_sketch_agg(if({c} IS NULL, NULL, xxhash64({key})), {HLL_BITS})"
+        out["hll"] = f"hll_sketch_agg({names['h']}, {HLL_BITS})"
     return out
 
 
+def _row(i: int, aggregated: dict[str, str]) -> dict[str, str]:
+    """SQL text of the stored row of column ``i``.
+
+    A sketch holds the count and both extremes of a number exactly.
+    """
+    out = {name: f"CAST(NULL AS {t})" for name, t in PARTS.items()}
+    out |= {name: f"_{name}_{i}" for name in aggregated}
+    if "sketch" in aggregated:
+        out["present"] = f"kll_sketch_get_n_double(_sketch_{i})"
+        for name, place in (("min", 0.0), ("max", 1.0)):
+            out[name] = quantiles_sql(f"_sketch_{i}", out["present"], [place]) + "[0]"
+        out["m2"] = f"_m2_{i} * {out['present']}"
+    return {"ordinal": str(i), **out}
+
+
 def file_states(df: DataFrame, run: str, k: int = SKETCH_K) -> DataFrame:
-    """States of the files that ``df`` reads: one row per file and column, from one scan."""
-    aggregates, rows = ["count(1) AS _rows"], []
+    """States of the files that ``df`` reads: one row per file and column, from one scan.
+
+    Sketches evaluate their inputs one by one, row by row; so these are columns of a projection,
+    which runs as generated code.
+    """
+    inputs, aggregates, rows = [], ["count(1) AS _rows"], []
     for i, field in enumerate(df.schema.fields):
-        aggregates += [f"{sql} AS _{name}_{i}" for name, sql in _state(field, k).items()]
-        rows.append({"ordinal": str(i), **{name: f"_{name}_{i}" for name in PARTS}})
-    by_file = df.select("*", F.col("_metadata").alias("_m")).groupBy(
-        F.col("_m.file_path").alias("file"),
-        F.col("_m.file_modification_time").alias("changed"),
-        F.col("_m.file_size").alias("length"),
+        read = _inputs(field)
+        inputs += [f"{sql} AS _{name}_{i}" for name, sql in read.items()]
+        stored = _state(family(field.dataType), {name: f"_{name}_{i}" for name in read}, k)
+        aggregates += [f"{sql} AS _{name}_{i}" for name, sql in stored.items()]
+        rows.append(_row(i, stored))
+    by_file = df.select(F.col("_metadata").alias("_m"), "*").selectExpr(
+        "_m.file_path AS file", "_m.file_modification_time AS changed", "_m.file_size AS length", *inputs
     )
-    states = by_file.agg(*[F.expr(a) for a in aggregates])
+    states = by_file.groupBy(*FILE).agg(*[F.expr(a) for a in aggregates])
     return states.select(
-        F.lit(run).alias("run"), *FILE, F.col("_rows").alias("rows"), inline_rows(rows)
+        F.lit(run).alias("run"), F.lit(FORM).alias("form"), *FILE, F.col("_rows").alias("rows"), inline_rows(rows)
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tablescout.functions.local import work_folder
+from tablescout.functions.local import at_once, work_folder
 from tablescout.operators.correlate import pearson
 from tablescout.operators.incremental import incremental_profile
 from tablescout.operators.insights import correlation_insights, missingness_insights, rank_insights
@@ -148,8 +148,8 @@ _PROFILE = ["min", "max", "mean", "std"]
 
 def _incremental_profile(spark, sf):
     """A profile after a quarter of the files was replaced and a quarter added: only these are read."""
-    parts = []
-    for name in STORED:
+
+    def profile(name):
         df = i.table(spark, sf, name)
         folder, key = work_folder(spark), F.col(f"`{df.columns[0]}`")
         dealt = df.withColumn("_part", F.pmod(key, F.lit(4)).cast("int"))
@@ -159,7 +159,9 @@ def _incremental_profile(spark, sf):
         later = dealt.where("_part IN (1, 3)").write.mode("overwrite").partitionBy("_part")
         later.option("partitionOverwriteMode", "dynamic").parquet(f"{folder}/table")
         found = incremental_profile(spark, f"{folder}/table", f"{folder}/states")
-        parts.append(found.select(F.lit(name).alias("table_name"), "*").drop("dtype", "p50", "approx_distinct"))
+        return found.select(F.lit(name).alias("table_name"), "*").drop("dtype", "p50", "approx_distinct")
+
+    parts = at_once(profile, STORED)
     return i.rounded(i.union(parts), 4, *_PROFILE)
 
 

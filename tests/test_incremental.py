@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tablescout.operators.incremental import files_of, incremental_profile, stored_states
+from tablescout.operators.incremental import file_states, files_of, incremental_profile, stored_states
 from tablescout.operators.sketches import rank_error
 
 SCHEMA = "a int, b double, c string, t timestamp_ntz, e array<int>"
@@ -65,3 +65,25 @@ def test_a_table_without_rows(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(folder)
     rows = incremental_profile(spark, folder, f"{tmp_path}/s").collect()
     assert all(r["row_count"] in (0, None) for r in rows)
+
+
+def test_states_of_another_form_are_scanned_again(spark, tmp_path):
+    folder, store = f"{tmp_path}/table", f"{tmp_path}/store"
+    part(spark, folder, "p0", 0, 1000)
+    incremental_profile(spark, folder, store).collect()
+    spark.read.parquet(store).drop("form").write.parquet(f"{tmp_path}/older")
+    rows = incremental_profile(spark, folder, f"{tmp_path}/older").collect()
+    assert {(r["row_count"], r["scanned_rows"]) for r in rows} == {(1000, 1000)}
+
+
+def test_a_scan_aggregates_a_number_by_three_moments_and_two_sketches(spark, tmp_path):
+    """Counts and extremes come from the sketch, and what sketches read is projected first."""
+    folder = f"{tmp_path}/t"
+    rows = [(float("inf"), 1), (float("nan"), 2), (-0.0, 3), (None, None), (2.5, 7), (-8.25, 2**53)]
+    spark.createDataFrame(rows, "b double, a bigint").coalesce(1).write.parquet(folder)
+    states = file_states(spark.read.parquet(folder), "r")
+    plan = states._jdf.queryExecution().optimizedPlan().toString()
+    line = next(x for x in plan.splitlines() if "Aggregate [" in x)
+    assert "min(" not in line and "max(" not in line and "xxhash64" not in line and "cast" not in line
+    got = {r["ordinal"]: (r["rows"], r["present"], r["min"], r["max"]) for r in states.collect()}
+    assert got == {0: (6, 4, -8.25, float("inf")), 1: (6, 5, 1.0, 2.0**53)}
