@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tablescout.functions.local import settle, work_folder
+from tablescout.functions.local import at_once, settle, work_folder
 from tablescout.functions.sqltext import ident, inline_rows, local_frame
 from tablescout.functions.tails import student_two_sided
 from tablescout.functions.types import NUMERIC, col, names_of, nan_to_null, union_all
@@ -102,14 +102,14 @@ def _hot_values(values: DataFrame, names: list[str], rows: int) -> list[list[flo
     return [sorted(set(q or [])) for q in found]
 
 
-def ranks(
+def _ranked_cells(
     values: DataFrame, lists: list[tuple[str, str]], hot: list[list[float]], folder: str
 ) -> DataFrame:
-    """``_row`` and, per list, the average rank of the row's value in it: ``r0, r1, ...``.
+    """The average ranks of the rows' values in each list, as ``RANKED``.
 
     A list is a column and a condition on the rows that count, ``hot`` the sorted edges that cut
     it. Values at an edge are ranked by counts alone. The others are dealt by (list, range), ranked
-    there, and put together again in blocks of rows: the two shuffles, in which the numbers of a
+    there, and then put together in blocks of rows: the two shuffles, in which the numbers of a
     block and range travel as one row. A range holds as many rows as lie between two edges; the
     counts tell how many rows come before it. The lists are written to ``folder`` first, so that
     all passes see the same rows in the same order.
@@ -124,7 +124,14 @@ def ranks(
             counts[r["i"]][r["slot"]] = r["n"]
     numbered = stored.select(F.monotonically_increasing_id().alias("_row"), "*")
     dealt = numbered.mapInArrow(cells(hot, counts), CELLS)
-    placed = dealt.groupBy("i", "below").applyInArrow(ranked, RANKED)
+    return dealt.groupBy("i", "below").applyInArrow(ranked, RANKED)
+
+
+def ranks(
+    values: DataFrame, lists: list[tuple[str, str]], hot: list[list[float]], folder: str
+) -> DataFrame:
+    """``_row`` and, per list, the average rank of the row's value in it: ``r0, r1, ...``."""
+    placed = _ranked_cells(values, lists, hot, folder)
     schema = ", ".join(["_row bigint", *[f"r{i} double" for i in range(len(lists))]])
     return placed.groupBy("_row").applyInArrow(rows_of(len(lists)), schema)
 
@@ -155,9 +162,9 @@ def _rank_matrix(table: str, values: DataFrame, sizes: list[int]) -> DataFrame:
     names = values.columns
     lists, held, rows = _lists(values, names, sizes)
     hot = dict(zip(names, _hot_values(values, names, sizes[0])))
-    found = ranks(values, lists, [hot[c] for c, _ in lists], work_folder(values.sparkSession))
-    # The mean rank follows from the number of rows, so one pass sums all products.
-    sums = found.drop("_row").mapInArrow(products(held, [(n + 1) / 2 for n in rows]), PRODUCTS)
+    placed = _ranked_cells(values, lists, [hot[c] for c, _ in lists], work_folder(values.sparkSession))
+    # The mean rank follows from the number of rows, so a block of rows is summed as it is put together.
+    sums = placed.groupBy("_row").applyInArrow(products(held, [(n + 1) / 2 for n in rows]), PRODUCTS)
     moments = sums.groupBy("i").agg(
         F.sum("xy").alias("covariance"),
         (F.sqrt(F.sum("xx")) * F.sqrt(F.sum("yy"))).alias("spread"),
@@ -180,7 +187,7 @@ def spearman(tables: dict[str, DataFrame]) -> DataFrame:
             for t, v in values.items()
         ]
     ).collect()
-    return union_all([_rank_matrix(r["table_name"], values[r["table_name"]], r["n"]) for r in sizes])
+    return union_all(at_once(lambda r: _rank_matrix(r["table_name"], values[r["table_name"]], r["n"]), sizes))
 
 
 def strong_pairs(correlations: DataFrame, threshold: float = 0.7) -> DataFrame:

@@ -137,14 +137,20 @@ def ranked(slot: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([slot["_row"], slot["i"], slot["at"], found], ["_row", "i", "at", "rank"])
 
 
+def _ranks(block: pa.Table, lists: int) -> np.ndarray:
+    """The ranks of a block of rows by list and place, NaN where there is none."""
+    at, ends = _unpacked(block["at"], np.uint16)
+    ranks, _ = _unpacked(block["rank"], np.float64)
+    out = np.full((lists, int(at.max()) + 1), np.nan)
+    out[np.repeat(block["i"].to_numpy(), np.diff(np.append(0, ends))), at] = ranks
+    return out
+
+
 def rows_of(lists: int) -> Callable[[pa.Table], pa.Table]:
     """The ranked cells of a block as rows ``_row, r0, r1, ...``."""
 
     def gather(block: pa.Table) -> pa.Table:
-        at, ends = _unpacked(block["at"], np.uint16)
-        ranks, _ = _unpacked(block["rank"], np.float64)
-        out = np.full((lists, int(at.max()) + 1), np.nan)
-        out[np.repeat(block["i"].to_numpy(), np.diff(np.append(0, ends))), at] = ranks
+        out = _ranks(block, lists)
         kept = np.flatnonzero(~np.isnan(out).all(axis=0))
         columns = [pa.array(block["_row"][0].as_py() + kept)]
         columns += [pa.array(r[kept], mask=np.isnan(r[kept])) for r in out]
@@ -153,21 +159,17 @@ def rows_of(lists: int) -> Callable[[pa.Table], pa.Table]:
     return gather
 
 
-def products(pairs: list[tuple[int, int]], means: list[float]) -> Callable[[Batches], Batches]:
-    """Per pair of columns with the same rows, sums of products of deviations, as ``PRODUCTS``."""
+def products(pairs: list[tuple[int, int]], means: list[float]) -> Callable[[pa.Table], pa.Table]:
+    """Per pair of lists with the same rows, a block's sums of products of deviations, as ``PRODUCTS``."""
 
-    def multiply(batches: Batches) -> Batches:
-        middle = np.array(means)[:, None]
-        total, present = np.zeros((len(means), len(means))), np.zeros(len(means), np.int64)
-        for batch in batches:
-            ranks = np.stack([_numbers(c) for c in batch.columns])
-            there = ~np.isnan(ranks)
-            apart = np.where(there, ranks - middle, 0.0)
-            total += apart @ apart.T
-            present += there.sum(axis=1)
+    def multiply(block: pa.Table) -> pa.Table:
+        ranks = _ranks(block, len(means))
+        there = ~np.isnan(ranks)
+        apart = np.where(there, ranks - np.array(means)[:, None], 0.0)
+        total, present = apart @ apart.T, there.sum(axis=1)
         a, b = (np.array(side, np.int64) for side in zip(*pairs))
         squares = np.diag(total)
         found = [np.arange(len(pairs), dtype=np.int32), total[a, b], squares[a], squares[b], present[a]]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["i", "xy", "xx", "yy", "n"])
+        return pa.Table.from_arrays([pa.array(x) for x in found], ["i", "xy", "xx", "yy", "n"])
 
     return multiply
